@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, functions as F
 from gaugework.functions.scalars import quoted
 from gaugework.operators import dbscan, kmeans, outliers
 from gaugework.operators.features import METHODS as SCALINGS, fit_preparation, split
-from gaugework.session import reliable_checkpoint
+from gaugework.session import stored
 
 CLUSTERINGS = ("kmeans", "dbscan")
 MIN_ROWS_TO_CHOOSE_K = 10
@@ -60,7 +60,7 @@ class Clustering:
         """
         key, _ = split(df, key_col, features)
         flagged, prep = self.flag(df, key_col, features)
-        flagged = reliable_checkpoint(flagged)
+        flagged = stored(flagged)
         main, outlying = outliers.split_outliers(flagged)
         rows = main.count()
         if not rows:

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from gaugework.functions.scalars import quoted
 from gaugework.operators.joins import attach
-from gaugework.session import reliable_checkpoint
+from gaugework.session import stored
 
 EPS = 0.5
 MIN_POINTS = 5
@@ -71,9 +71,9 @@ class _Grid:
         self.d = len(self.columns)
         # a shade below eps / sqrt(d), so rounding cannot stretch a cell beyond eps
         self.side = eps / math.sqrt(max(self.d, 1)) * (1 - 1e-9)
-        self.points = reliable_checkpoint(self._points(df))
-        self.units = reliable_checkpoint(self._units())
-        self.units = reliable_checkpoint(self._with_core(self.units))
+        self.points = stored(self._points(df))
+        self.units = stored(self._units())
+        self.units = stored(self._with_core(self.units))
 
     # -- layout --------------------------------------------------------------
 
@@ -187,7 +187,7 @@ class _Grid:
             (F.col("w") + F.coalesce("sure_w", F.lit(0))).alias("rows"),
             F.coalesce("open", F.lit(0)).alias("open"),
         )
-        judged = reliable_checkpoint(judged)
+        judged = stored(judged)
         short = judged.where((F.col("open") > 0) & (F.col("rows") < self.min_points)).select("uid")
         more = self._open_weight(left.join(short, "uid"), right)
         total = F.col("rows") + F.coalesce("more", F.lit(0))
@@ -209,7 +209,7 @@ class _Grid:
 
     def components(self) -> DataFrame:
         """``node, comp``: core nodes and the least node of their component."""
-        comps = reliable_checkpoint(self.core_nodes().withColumn("comp", F.col("node")))
+        comps = stored(self.core_nodes().withColumn("comp", F.col("node")))
         comps = _merge_all(comps, self._sure_edges)
         return _merge_all(comps, self._open_edges)
 
@@ -232,7 +232,7 @@ class _Grid:
         schema = f"first {ordered.schema['first'].dataType.simpleString()}, number bigint"
         indexed = ordered.select("first").rdd.zipWithIndex().map(lambda e: (e[0][0], e[1]))
         numbered = self.points.sparkSession.createDataFrame(indexed, schema)
-        return reliable_checkpoint(
+        return stored(
             comps.join(keys, "comp").join(numbered, "first").select("node", "number")
         )
 
@@ -271,11 +271,11 @@ def _merge_all(comps: DataFrame, edges_of: Callable[[DataFrame], DataFrame]) ->
     """Merge components along edges until none connects two of them."""
     while True:
         least = edges_of(comps).groupBy(F.col("a_comp").alias("comp")).agg(F.min("b_comp").alias("parent"))
-        parents = reliable_checkpoint(least)
+        parents = stored(least)
         if parents.isEmpty():
             return comps
         roots = _roots(parents)
-        comps = reliable_checkpoint(
+        comps = stored(
             comps.join(roots, "comp", "left").select("node", F.coalesce("root", "comp").alias("comp"))
         )
 
@@ -287,14 +287,14 @@ def _roots(parents: DataFrame) -> DataFrame:
     """
     back = parents.select(F.col("comp").alias("parent"), F.col("parent").alias("back"))
     is_root = (F.col("back") == F.col("comp")) & (F.col("comp") < F.col("parent"))
-    jumps = reliable_checkpoint(
+    jumps = stored(
         parents.join(back, "parent").select(
             "comp", F.when(is_root, F.col("comp")).otherwise(F.col("parent")).alias("root")
         )
     )
     while True:
         ahead = jumps.select(F.col("comp").alias("root"), F.col("root").alias("next"))
-        moved = reliable_checkpoint(jumps.join(ahead, "root").select("comp", "root", "next"))
+        moved = stored(jumps.join(ahead, "root").select("comp", "root", "next"))
         if moved.where(F.col("root") != F.col("next")).isEmpty():
             return jumps
         jumps = moved.select("comp", F.col("next").alias("root"))

@@ -18,6 +18,10 @@ from gaugework.sources.metrics import METRIC, VALUE, MetricFrame
 
 PROBS = (0.05, 0.25, 0.5, 0.75, 0.95)
 
+MOMENTS = ("all_rows", "total_records", "n", "mean", "std_dev", "g1", "g2", "min", "max")
+# Above this many metrics their aggregates no longer fit one generated method.
+WIDE_LIMIT = 8
+
 PROFILE_FIELDS = (
     "metric_name", "mean", "median", "std_dev", "skewness", "kurtosis", "min", "max",
     "p05", "p25", "p75", "p95", "iqr", "null_count", "null_percentage",
@@ -29,7 +33,7 @@ def profile(
     data: MetricFrame | DataFrame,
     keys: Sequence[str] = (METRIC,),
     quantile_mode: str = "exact",
-    small_group: int = Q.SMALL_GROUP,
+    small_group: int | None = None,
 ) -> DataFrame:
     """One profile row per metric; metrics without a non-zero value are absent.
 
@@ -46,24 +50,33 @@ def profile(
         q = F.percentile_approx("x", list(PROBS), F.lit(Q.ACCURACY)).alias("q")
         stats = long.groupBy(*keys).agg(*moments, q)
     else:
-        stats = long.groupBy(*keys).agg(*moments).persist()
+        if isinstance(data, MetricFrame) and len(data.metrics) <= WIDE_LIMIT:
+            stats = _wide_moments(data).persist()
+        else:
+            stats = long.groupBy(*keys).agg(*moments).persist()
         stats = stats.join(Q.percentiles(long, keys, "x", PROBS, stats, small_group), keys)
     others = [k for k in keys if k != METRIC]
     return _fields(stats.where(F.col("n") > 0), others)
 
 
 def _moments(x: Column, value: Column) -> list[Column]:
-    return [
-        F.count("*").alias("all_rows"),
-        F.count(value).alias("total_records"),
-        F.count(x).alias("n"),
-        F.avg(x).alias("mean"),
-        F.stddev_samp(x).alias("std_dev"),
-        F.skewness(x).alias("g1"),
-        F.kurtosis(x).alias("g2"),
-        F.min(x).alias("min"),
-        F.max(x).alias("max"),
-    ]
+    values = (
+        F.count("*"), F.count(value), F.count(x), F.avg(x), F.stddev_samp(x),
+        F.skewness(x), F.kurtosis(x), F.min(x), F.max(x),
+    )
+    return [v.alias(name) for v, name in zip(values, MOMENTS)]
+
+
+def _wide_moments(frame: MetricFrame) -> DataFrame:
+    """The moments of a few metrics straight from their columns, without going long."""
+    aggregates, lines = [], []
+    for i, name in enumerate(frame.metrics):
+        value = quoted(name)
+        moments = _moments(non_zero(value), value)
+        aggregates += [m.alias(f"m{i}_{j}") for j, m in enumerate(moments)]
+        fields = [F.col(f"m{i}_{j}").alias(field) for j, field in enumerate(MOMENTS)]
+        lines.append(F.struct(F.lit(name).alias(METRIC), *fields))
+    return frame.df.agg(*aggregates).select(F.inline(F.array(*lines)))
 
 
 def _fields(stats: DataFrame, others: list[str]) -> DataFrame:
@@ -164,7 +177,7 @@ def null_counts(df: DataFrame, columns: Sequence[str] | None = None) -> DataFram
 
 
 def describe(
-    df: DataFrame, features: Sequence[str], small_group: int = Q.SMALL_GROUP
+    df: DataFrame, features: Sequence[str], small_group: int | None = None
 ) -> DataFrame:
     """Count, mean, deviation, extremes and exact quartiles per feature."""
     long = df.unpivot([], [nan_to_double(f) for f in features], "feature", VALUE)

@@ -1,8 +1,8 @@
 """Exact, linearly interpolated percentiles whose memory does not grow with a group.
 
-Spark's ``percentile`` keeps every distinct value of a group in one task. It is
-used only while the largest group is known to be small. Beyond that the wanted
-ranks are located by counting: each pass splits the interval that holds a rank
+Collecting and sorting a group's values in one task is done only while the largest
+group, or all values together, are counted to be few. Beyond that the wanted ranks
+are located by counting: each pass splits the interval that holds a rank
 into equal bins, counts them map-side and keeps the one bin the rank falls into,
 until that bin is small enough to sort. A metric holding most rows is spread over
 all tasks in every pass, and a bin of equal values is settled without sorting.
@@ -15,18 +15,29 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from gaugework.operators.joins import attach
+from gaugework.session import stored
 
-SMALL_GROUP = 20_000
+SMALL_GROUP = 100_000
+SMALL_TOTAL = 4_000_000
 BINS = 8_192
-MAX_PASSES = 150
+MAX_PASSES = 24
 # Rank error of the approximate mode is rows / ACCURACY.
 ACCURACY = 10_000
 _LARGEST = 1.7976931348623157e308
+# Lifts the logarithm of the least positive double above zero.
+_LOG_SHIFT = 745.2
 
 
-def percentile_array(value: Column, probs: Sequence[float]) -> Column:
-    """Exact percentiles as one aggregate; for groups of proven size."""
-    return F.percentile(value, F.array(*[F.lit(float(p)) for p in probs]))
+def sorted_percentiles(values: Column, n: Column, probs: Sequence[float]) -> Column:
+    """Percentiles read off an ascending array of ``n`` values."""
+    points = []
+    for p in probs:
+        position = (n - 1) * F.lit(float(p))
+        share = position - F.floor(position)
+        lower = F.get(values, F.floor(position).cast("int"))
+        upper = F.get(values, F.ceil(position).cast("int"))
+        points.append(lower * (1 - share) + upper * share)
+    return F.array(*points)
 
 
 def group_bounds(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
@@ -41,38 +52,46 @@ def percentiles(
     value: str,
     probs: Sequence[float],
     bounds: DataFrame | None = None,
-    small_group: int = SMALL_GROUP,
+    small_group: int | None = None,
     bins: int = BINS,
 ) -> DataFrame:
     """``keys`` plus ``q``, the exact percentiles of the non-missing ``value``.
 
     ``bounds`` may bring persisted ``keys, n, min, max`` that were computed anyway.
+    ``small_group`` sets the largest group to collect in place of the default limits.
     """
     keys = list(keys)
     data = df.select(*keys, F.col(value).alias("v")).where(F.col("v").isNotNull())
     if bounds is None:
         bounds = group_bounds(data, keys, "v").persist()
     bounds = bounds.where(F.col("n") > 0).select(*keys, "n", "min", "max")
-    size = bounds.agg(F.max("n").alias("rows"), F.count("*").alias("groups")).first()
-    if (size["rows"] or 0) <= small_group:
-        return data.groupBy(*keys).agg(percentile_array(F.col("v"), probs).alias("q"))
+    size = bounds.agg(
+        F.max("n").alias("rows"), F.sum("n").alias("total"), F.count("*").alias("groups")
+    ).first()
+    few = small_group is None and (size["total"] or 0) <= SMALL_TOTAL
+    small_group = SMALL_GROUP if small_group is None else small_group
+    if few or (size["rows"] or 0) <= small_group:
+        lists = data.groupBy(*keys).agg(F.sort_array(F.collect_list("v")).alias("sorted"))
+        return lists.select(*keys, sorted_percentiles(F.col("sorted"), F.size("sorted"), probs).alias("q"))
 
     intervals = _whole_range(bounds, probs)
-    settled, groups = [], size["groups"]
-    for _ in range(MAX_PASSES):
-        ranks = _locate(data, keys, intervals, groups, bins).persist()
+    settled, groups, most = [], size["groups"], 1
+    for step in range(MAX_PASSES):
+        scale = _by_magnitude if step % 2 else _as_it_is
+        ranks = stored(_locate(data, keys, intervals, groups, most, bins, scale))
         settled.append(ranks.where(F.col("lower").isNotNull()).select(*keys, "t", "lower", "upper"))
         open_ranks = ranks.where(F.col("lower").isNull())
-        intervals = _open_intervals(open_ranks, keys).persist()
+        intervals = _open_intervals(open_ranks, keys)
         left = intervals.agg(
             F.max(F.array_max(F.transform("intervals", lambda s: s["rows"]))).alias("rows"),
+            F.max(F.size("intervals")).alias("most"),
             F.count("*").alias("groups"),
         ).first()
-        groups = left["groups"]
+        groups, most = left["groups"], left["most"]
         if (left["rows"] or 0) <= small_group:
             break
     if groups:
-        settled.append(_sorted_ranks(data, keys, intervals, groups))
+        settled.append(_sorted_ranks(data, keys, intervals, groups, most))
     ends = settled[0]
     for part in settled[1:]:
         ends = ends.unionByName(part)
@@ -108,28 +127,56 @@ def _whole_range(bounds: DataFrame, probs: Sequence[float]) -> DataFrame:
     return bounds.select(*others, F.array(interval).alias("intervals"))
 
 
-def _inside(data, keys, intervals, groups):
-    """The rows that lie in an open interval; intervals of a group are disjoint."""
-    bare = F.transform("intervals", lambda s: F.struct(s["lo"].alias("lo"), s["hi"].alias("hi")))
-    joined = attach(data, intervals.select(*keys, bare.alias("ends")), keys, known_rows=groups)
-    hit = F.get(F.filter("ends", lambda s: F.col("v").between(s["lo"], s["hi"])), F.lit(0))
-    rows = joined.select(*keys, "v", hit.alias("hit")).where(F.col("hit").isNotNull())
-    return rows.select(*keys, "v", F.col("hit.lo").alias("lo"), F.col("hit.hi").alias("hi"))
+def _inside(data, keys, intervals, groups, most):
+    """The rows that lie in an open interval, with its ends.
 
-
-def _locate(data, keys, intervals, groups, bins):
+    The at most ``most`` intervals of a group are disjoint and travel as plain
+    columns, so the test stays in generated code.
+    """
+    ends = []
+    for i in range(most):
+        interval = F.get("intervals", F.lit(i))
+        ends += [interval["lo"].alias(f"lo{i}"), interval["hi"].alias(f"hi{i}")]
+    joined = attach(data, intervals.select(*keys, *ends), keys, known_rows=groups)
+    v = F.col("v")
+    if most == 1:
+        joined = joined.where((v >= F.col("lo0")) & (v <= F.col("hi0")))
+        return joined.select(*keys, "v", F.col("lo0").alias("lo"), F.col("hi0").alias("hi"))
+    lo, hi = F.lit(None).cast("double"), F.lit(None).cast("double")
+    for i in reversed(range(most)):
+        here = (v >= F.col(f"lo{i}")) & (v <= F.col(f"hi{i}"))
+        lo = F.when(here, F.col(f"lo{i}")).otherwise(lo)
+        hi = F.when(here, F.col(f"hi{i}")).otherwise(hi)
+    return joined.select(*keys, "v", lo.alias("lo"), hi.alias("hi")).where(F.col("lo").isNotNull())
+
+
+def _as_it_is(value: Column) -> Column:
+    return value / 2
+
+
+def _by_magnitude(value: Column) -> Column:
+    """Signed logarithm that is monotone over all doubles, 0 at 0."""
+    size = F.abs(value)
+    return F.when(size > 0, F.signum(value) * (F.log(size) + _LOG_SHIFT)).otherwise(F.lit(0.0))
+
+
+def _locate(data, keys, intervals, groups, most, bins, scale):
     """Count equal bins of each interval and find the bin of every wanted rank.
 
     Two neighbouring ranks in different bins are that bin's greatest value and the
     next bin's least; a bin of one value settles both. Other ranks stay open, with
-    ``lower`` NULL and the bin as their next interval.
+    ``lower`` NULL and the bin as their next interval. Bins are equal on ``scale``,
+    which alternates so that values of very different size separate quickly too.
     """
-    lo = F.greatest("lo", F.lit(-_LARGEST)) / 2
-    hi = F.least("hi", F.lit(_LARGEST)) / 2
-    step = F.try_divide(F.col("v") / 2 - lo, (hi - lo) / bins)
+
+    def finite(value: Column) -> Column:
+        return F.greatest(F.least(value, F.lit(_LARGEST)), F.lit(-_LARGEST))
+
+    v, lo, hi = (scale(finite(F.col(c))) for c in ("v", "lo", "hi"))
+    step = F.try_divide(v - lo, (hi - lo) / bins)
     bin_ = F.greatest(F.least(F.floor(F.coalesce(step, F.lit(0.0))), F.lit(bins - 1)), F.lit(0))
     counted = (
-        _inside(data, keys, intervals, groups)
+        _inside(data, keys, intervals, groups, most)
         .groupBy(*keys, "lo", bin_.cast("int").alias("bin"))
         .agg(F.count("*").alias("rows"), F.min("v").alias("least"), F.max("v").alias("most"))
     )
@@ -141,7 +188,7 @@ def _locate(data, keys, intervals, groups, bins):
     start = F.col("below") + F.col("upto") - F.col("rows")
     end = F.col("below") + F.col("upto")
     placed = (
-        ranked.join(wanted, [*keys, "lo"])
+        attach(ranked, wanted, [*keys, "lo"], known_rows=groups * most)
         .select(*keys, "rows", "least", "most", "following",
                 start.alias("start"), end.alias("end"), F.explode("targets").alias("t"))
         .where((F.col("t.first") >= F.col("start")) & (F.col("t.first") < F.col("end")))
@@ -169,10 +216,10 @@ def _open_intervals(open_ranks, keys):
     return bins.groupBy(*keys).agg(F.collect_list(interval).alias("intervals"))
 
 
-def _sorted_ranks(data, keys, intervals, groups):
+def _sorted_ranks(data, keys, intervals, groups, most):
     """Sort the few values left in each interval and read the ranks off."""
     values = (
-        _inside(data, keys, intervals, groups)
+        _inside(data, keys, intervals, groups, most)
         .groupBy(*keys, "lo")
         .agg(F.sort_array(F.collect_list("v")).alias("sorted"))
     )
@@ -181,6 +228,6 @@ def _sorted_ranks(data, keys, intervals, groups):
     )
     first = (F.col("t.first") - F.col("below")).cast("int")
     last = (F.col("t.last") - F.col("below")).cast("int")
-    return values.join(wanted, [*keys, "lo"]).select(
+    return attach(values, wanted, [*keys, "lo"], known_rows=groups * most).select(
         *keys, "t", F.get("sorted", first).alias("lower"), F.get("sorted", last).alias("upper")
     )
