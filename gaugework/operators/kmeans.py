@@ -1,8 +1,9 @@
 """k-means with many starts and many k in shared passes, and the choice of k.
 
-Every pass assigns each row to the nearest centre of all models still moving and
-adds up the new centres map-side, so ten starts of nine sizes cost as many scans
-as the slowest single fit.
+Starts are drawn from and first settled on a bounded sample, one task per start.
+From there every pass reads all rows, assigns each to the nearest centre of all
+models still moving and adds up the new centres map-side, so ten starts of nine
+sizes cost as many scans as the slowest single fit.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from gaugework.functions.scalars import quoted
 
@@ -62,7 +63,7 @@ def fit_many(
     tolerance = TOLERANCE * float(np.mean(variances))
     seeds = _seed_points(points, len(columns), rows, seed)
     slots = [(k, s) for k in ks for s in range(starts)]
-    centers = [_spread_seeds(seeds, k, np.random.default_rng([seed, k, s])) for k, s in slots]
+    centers = _starts(df.sparkSession, seeds, slots, seed, tolerance)
     models: list[Model | None] = [None] * len(slots)
     moving = list(range(len(slots)))
     for step in range(MAX_PASSES + 1):
@@ -100,6 +101,34 @@ def _seed_points(points: DataFrame, size: int, rows: int, seed: int) -> np.ndarr
     return chosen.select(*names).toPandas().to_numpy(float)
 
 
+def _starts(
+    spark: SparkSession, seeds: np.ndarray, slots: Sequence[tuple[int, int]], seed: int, tolerance: float
+) -> list[np.ndarray]:
+    """Centres per slot, settled on the seed rows; the slots are spread over the tasks."""
+
+    def settle(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            found = []
+            for i in batch["id"]:
+                k, start = slots[i]
+                centers = _spread_seeds(seeds, k, np.random.default_rng([seed, k, start]))
+                for _ in range(MAX_PASSES):
+                    member = np.eye(k)[_distances(seeds, centers).argmin(axis=1)]
+                    sizes = member.sum(axis=0)[:, None]
+                    moved = np.divide(member.T @ seeds, sizes, out=centers.copy(), where=sizes > 0)
+                    shift = ((moved - centers) ** 2).sum()
+                    centers = moved
+                    if shift <= tolerance:
+                        break
+                found.append(centers.ravel())
+            yield pd.DataFrame({"id": batch["id"], "centers": found})
+
+    tasks = min(len(slots), spark.sparkContext.defaultParallelism)
+    rows = spark.range(0, len(slots), 1, tasks).mapInPandas(settle, "id long, centers array<double>").collect()
+    settled = {r["id"]: np.array(r["centers"]).reshape(slots[r["id"]][0], -1) for r in rows}
+    return [settled[i] for i in range(len(slots))]
+
+
 def _spread_seeds(points: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
     """First centres by squared-distance draws (k-means++)."""
     centers = [points[rng.integers(len(points))]]

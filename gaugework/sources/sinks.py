@@ -75,7 +75,7 @@ def wiki_rows(df: DataFrame) -> DataFrame:
 
 def wiki_lines(df: DataFrame) -> DataFrame:
     """``part, line``: the header line (part 0) and the body lines (part 1)."""
-    header = df.sparkSession.range(1).select(F.lit(0).alias("part"), F.lit(wiki_header(df)).alias("line"))
+    header = df.sparkSession.range(0, 1, 1, 1).select(F.lit(0).alias("part"), F.lit(wiki_header(df)).alias("line"))
     return header.unionAll(wiki_rows(df).select(F.lit(1).alias("part"), "line"))
 
 
