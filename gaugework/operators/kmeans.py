@@ -20,7 +20,7 @@ from gaugework.functions.scalars import quoted
 STARTS = 10
 MAX_PASSES = 300
 TOLERANCE = 1e-4
-SEED_ROWS = 4_096
+SEED_ROWS = 16_384
 # Up to this many rows every pair of rows is compared in the silhouette.
 EXACT_SILHOUETTE_ROWS = 10_000
 

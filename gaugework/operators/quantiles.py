@@ -36,10 +36,14 @@ def sorted_percentiles(values: Column, n: Column, probs: Sequence[float]) -> Col
         share = position - F.floor(position)
         lower = F.get(values, F.floor(position).cast("int"))
         upper = F.get(values, F.ceil(position).cast("int"))
-        points.append(lower * (1 - share) + upper * share)
+        points.append(_between(lower, upper, share))
     return F.array(*points)
 
 
+def _between(lower: Column, upper: Column, share: Column) -> Column:
+    return F.when(share > 0, lower * (1 - share) + upper * share).otherwise(lower)
+
+
 def group_bounds(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     """Count, least and greatest value per group."""
     v = F.col(value)
@@ -64,18 +68,34 @@ def percentiles(
     data = df.select(*keys, F.col(value).alias("v")).where(F.col("v").isNotNull())
     if bounds is None:
         bounds = group_bounds(data, keys, "v").persist()
+    few = small_group is None
+    small_group = SMALL_GROUP if small_group is None else small_group
     bounds = bounds.where(F.col("n") > 0).select(*keys, "n", "min", "max")
     size = bounds.agg(
-        F.max("n").alias("rows"), F.sum("n").alias("total"), F.count("*").alias("groups")
+        F.sum("n").alias("total"),
+        F.count("*").alias("groups"),
+        F.count_if(F.col("n") > small_group).alias("large"),
     ).first()
-    few = small_group is None and (size["total"] or 0) <= SMALL_TOTAL
-    small_group = SMALL_GROUP if small_group is None else small_group
-    if few or (size["rows"] or 0) <= small_group:
-        lists = data.groupBy(*keys).agg(F.sort_array(F.collect_list("v")).alias("sorted"))
-        return lists.select(*keys, sorted_percentiles(F.col("sorted"), F.size("sorted"), probs).alias("q"))
+    if not size["large"] or (few and size["total"] <= SMALL_TOTAL):
+        return _collected(data, keys, probs)
+    large = bounds.where(F.col("n") > small_group)
+    counted = _counted(data, keys, large, size["large"], probs, small_group, bins)
+    if size["large"] == size["groups"]:
+        return counted
+    rest = attach(data, large.select(*keys), keys, "left_anti", known_rows=size["large"])
+    return counted.unionByName(_collected(rest, keys, probs))
+
+
+def _collected(data, keys, probs):
+    """Percentiles of small groups from their sorted values."""
+    lists = data.groupBy(*keys).agg(F.sort_array(F.collect_list("v")).alias("sorted"))
+    return lists.select(*keys, sorted_percentiles(F.col("sorted"), F.size("sorted"), probs).alias("q"))
+
 
+def _counted(data, keys, bounds, groups, probs, small_group, bins):
+    """Percentiles of large groups by counting bins, pass by pass."""
     intervals = _whole_range(bounds, probs)
-    settled, groups, most = [], size["groups"], 1
+    settled, most = [], 1
     for step in range(MAX_PASSES):
         scale = _by_magnitude if step % 2 else _as_it_is
         ranks = stored(_locate(data, keys, intervals, groups, most, bins, scale))
@@ -96,7 +116,7 @@ def percentiles(
     for part in settled[1:]:
         ends = ends.unionByName(part)
     share = F.col("t.share")
-    point = F.col("lower") * (1 - share) + F.col("upper") * share
+    point = _between(F.col("lower"), F.col("upper"), share)
     entry = F.struct(F.col("t.i").alias("i"), point.alias("q"))
     return ends.groupBy(*keys).agg(
         F.transform(F.sort_array(F.collect_list(entry)), lambda e: e["q"]).alias("q")

@@ -51,10 +51,8 @@ def export_report(report: ProfilingReport, folder: str, prefix: str = "") -> lis
     return [sinks.write_csv(df, f"{folder}/{prefix}_{name}.csv") for name, df in tables.items()]
 
 
-def group_distributions(long: DataFrame, group: DataFrame) -> dict[str, DataFrame]:
-    """Distribution tables of the metrics in a group, by a semi join on the readings."""
-    names = group.select(METRIC).distinct().persist()
-    readings = attach(long, names, [METRIC], "left_semi")
+def distributions(readings: DataFrame) -> dict[str, DataFrame]:
+    """The distribution tables of all metrics in a long table."""
     return {
         "histogram": distribution.histogram(readings),
         "density": distribution.kde(readings),
@@ -63,6 +61,11 @@ def group_distributions(long: DataFrame, group: DataFrame) -> dict[str, DataFram
     }
 
 
+def group_readings(long: DataFrame, group: DataFrame) -> DataFrame:
+    """The readings of the metrics in a group, by a semi join."""
+    return attach(long, group.select(METRIC).distinct(), [METRIC], "left_semi")
+
+
 def profile_sources(frames: dict[str, MetricFrame | DataFrame]) -> DataFrame:
     """Profiles of several sources from one job, keyed by source and metric."""
     return profile(union_sources(frames), keys=(SOURCE, METRIC))
@@ -163,14 +166,21 @@ class Director:
         return record
 
     def _distributions(self, config, frame, builder, groups, target) -> list[str]:
-        """Tables for the flagged groups; a failure here is only a warning."""
+        """Tables for the flagged groups; a failure here is only a warning.
+
+        The metrics of a wide source are columns, so a group names the few columns
+        to read.
+        """
         if not config.generate_visualization:
             return []
         paths = []
         for name in builder.visualizations:
             path = f"{target}/{config.file_name}_{name}_distribution"
             try:
-                for table, df in group_distributions(frame.long(), groups[name]).items():
+                wanted = [row[METRIC] for row in groups[name].select(METRIC).collect()]
+                if not wanted:
+                    continue
+                for table, df in distributions(frame.only(wanted).long()).items():
                     sinks.write_csv(df, f"{path}/{table}.csv")
                 paths.append(path)
             except Exception as error:

@@ -8,7 +8,7 @@ from gaugework.operators import distribution as D
 from gaugework.operators import profile
 from gaugework.plans.groups import ReportBuilder
 from gaugework.plans.reports import metric_report
-from gaugework.plans.runs import group_distributions
+from gaugework.plans.runs import group_readings
 from gaugework.queries import inputs as I
 from gaugework.queries.oracle import moments, profile_ctes, r
 from gaugework.queries.registry import query, rounded
@@ -121,5 +121,5 @@ def group_distribution(spark, folder):
     """Histogram of the metrics in the flagged p95 group."""
     lines = I.line_metrics(spark, folder)
     builder = metric_report(ReportBuilder(profile.profile(lines)))
-    tables = group_distributions(lines.long(), builder.build_single("p95"))
-    return _digits(tables["histogram"], density=9, bin_left=4, bin_right=4)
+    readings = group_readings(lines.long(), builder.build_single("p95"))
+    return _digits(D.histogram(readings), density=9, bin_left=4, bin_right=4)
