@@ -63,7 +63,7 @@ def fit_many(
     tolerance = TOLERANCE * float(np.mean(variances))
     seeds = _seed_points(points, len(columns), rows, seed)
     slots = [(k, s) for k in ks for s in range(starts)]
-    centers = _starts(df.sparkSession, seeds, slots, seed, tolerance)
+    centers = _starts(df.sparkSession, seeds, slots, seed)
     models: list[Model | None] = [None] * len(slots)
     moving = list(range(len(slots)))
     for step in range(MAX_PASSES + 1):
@@ -102,7 +102,7 @@ def _seed_points(points: DataFrame, size: int, rows: int, seed: int) -> np.ndarr
 
 
 def _starts(
-    spark: SparkSession, seeds: np.ndarray, slots: Sequence[tuple[int, int]], seed: int, tolerance: float
+    spark: SparkSession, seeds: np.ndarray, slots: Sequence[tuple[int, int]], seed: int
 ) -> list[np.ndarray]:
     """Centres per slot, settled on the seed rows; the slots are spread over the tasks."""
 
@@ -116,9 +116,9 @@ def _starts(
                     member = np.eye(k)[_distances(seeds, centers).argmin(axis=1)]
                     sizes = member.sum(axis=0)[:, None]
                     moved = np.divide(member.T @ seeds, sizes, out=centers.copy(), where=sizes > 0)
-                    shift = ((moved - centers) ** 2).sum()
+                    at_rest = np.array_equal(moved, centers)
                     centers = moved
-                    if shift <= tolerance:
+                    if at_rest:
                         break
                 found.append(centers.ravel())
             yield pd.DataFrame({"id": batch["id"], "centers": found})

@@ -21,6 +21,7 @@ SMALL_GROUP = 100_000
 SMALL_TOTAL = 4_000_000
 BINS = 8_192
 MAX_PASSES = 24
+LITERAL_GROUPS = 16
 # Rank error of the approximate mode is rows / ACCURACY.
 ACCURACY = 10_000
 _LARGEST = 1.7976931348623157e308
@@ -151,13 +152,18 @@ def _inside(data, keys, intervals, groups, most):
     """The rows that lie in an open interval, with its ends.
 
     The at most ``most`` intervals of a group are disjoint and travel as plain
-    columns, so the test stays in generated code.
+    columns, so the test stays in generated code. Those of a few metrics are
+    written into the plan, which saves a hash lookup per row.
     """
     ends = []
     for i in range(most):
         interval = F.get("intervals", F.lit(i))
         ends += [interval["lo"].alias(f"lo{i}"), interval["hi"].alias(f"hi{i}")]
-    joined = attach(data, intervals.select(*keys, *ends), keys, known_rows=groups)
+    flat = intervals.select(*keys, *ends)
+    if len(keys) == 1 and groups <= LITERAL_GROUPS:
+        joined = _with_literals(data, keys[0], flat)
+    else:
+        joined = attach(data, flat, keys, known_rows=groups)
     v = F.col("v")
     if most == 1:
         joined = joined.where((v >= F.col("lo0")) & (v <= F.col("hi0")))
@@ -170,6 +176,18 @@ def _inside(data, keys, intervals, groups, most):
     return joined.select(*keys, "v", lo.alias("lo"), hi.alias("hi")).where(F.col("lo").isNotNull())
 
 
+def _with_literals(data, key, flat):
+    """The columns of ``flat`` per key as CASE expressions."""
+    rows = flat.collect()
+    columns = []
+    for name in flat.columns[1:]:
+        value = F.lit(None).cast("double")
+        for row in rows:
+            value = F.when(F.col(key) == F.lit(row[key]), F.lit(row[name]).cast("double")).otherwise(value)
+        columns.append(value.alias(name))
+    return data.select("*", *columns)
+
+
 def _as_it_is(value: Column) -> Column:
     return value / 2
 
