@@ -31,7 +31,7 @@ def is_missing(value: Any) -> bool:
 def column_condition(column: str, operator: str, value: Any = None) -> Condition:
     """The predicate ``column operator value``; a bad operator fails here."""
     if operator not in OPERATORS:
-        raise ValueError(f"Unsupported operator: {operator}")
+        raise ValueError(f"no filter operator {operator!r}; there are {', '.join(OPERATORS)}")
 
     def condition(df: DataFrame) -> Column:
         return _compile(df, column, operator, value)

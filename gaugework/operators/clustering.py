@@ -30,7 +30,7 @@ class Clustering:
 
     def __post_init__(self):
         if self.clustering_method not in CLUSTERINGS:
-            raise ValueError("Unsupported clustering method. Use 'kmeans' or 'dbscan'")
+            raise ValueError(f"unknown clustering method: {self.clustering_method}")
         if self.normalization_method not in SCALINGS:
             raise ValueError(f"unknown normalization method: {self.normalization_method}")
         if self.outlier_method is not None and self.outlier_method not in outliers.METHODS:

@@ -162,7 +162,7 @@ class ReportBuilder:
         Only filters count here, and each row appears at most once per occurrence.
         """
         if operation not in ("intersection", "union"):
-            raise ValueError("Operation must be 'intersection' or 'union'")
+            raise ValueError(f"groups combine by intersection or union, not {operation!r}")
         masks = [as_mask(all_of(self._known(n).filters, self.df)) for n in group_names]
         if operation == "intersection":
             combined = functools.reduce(lambda a, b: a & b, masks, F.lit(True))
@@ -210,7 +210,7 @@ class ReportBuilder:
 
     def _known(self, name: str | None) -> GroupSpec:
         if name not in self.groups:
-            raise ValueError(f"Filter group '{name}' does not exist")
+            raise ValueError(f"no filter group is called {name!r}")
         return self.groups[name]
 
     def _transformed(self, chain: Iterable[Transformation]) -> DataFrame:

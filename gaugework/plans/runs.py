@@ -94,7 +94,7 @@ class Director:
 
     def config(self, name: str) -> ReportConfig:
         if name not in self.configs:
-            raise ValueError(f"Unknown builder: {name}. Available: {list(self.configs)}")
+            raise ValueError(f"no report is registered as {name!r}; there are {sorted(self.configs)}")
         return self.configs[name]
 
     def process(self, config: ReportConfig, folder: str, with_run: bool = True) -> tuple:

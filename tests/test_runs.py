@@ -62,7 +62,7 @@ def test_failures(spark, sources, tmp_path):
     director.records.clear()
     results = {r["builder_name"]: r for r in director.process_all(str(tmp_path / "b"), fail_fast=False).collect()}
     assert not results["bad"]["success"] and results["bad"]["error"] and results["good"]["success"]
-    with pytest.raises(ValueError, match="Unknown builder"):
+    with pytest.raises(ValueError, match="no report is registered"):
         director.config("absent")
     with pytest.raises(Exception):
         director.process(director.config("bad"), str(tmp_path / "c"))
