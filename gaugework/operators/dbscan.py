@@ -73,6 +73,8 @@ class _Grid:
         self.side = eps / math.sqrt(max(self.d, 1)) * (1 - 1e-9)
         self.points = stored(self._points(df))
         self.units = stored(self._units())
+        # without boxes of several vectors every pair of units is sure or apart
+        self.boxes = not self.units.where(F.col("lo") != F.col("hi")).isEmpty()
         self.units = stored(self._with_core(self.units))
 
     # -- layout --------------------------------------------------------------
@@ -189,9 +191,10 @@ class _Grid:
         )
         judged = stored(judged)
         short = judged.where((F.col("open") > 0) & (F.col("rows") < self.min_points)).select("uid")
-        more = self._open_weight(left.join(short, "uid"), right)
-        total = F.col("rows") + F.coalesce("more", F.lit(0))
-        core = judged.join(more, "uid", "left").where(total >= self.min_points).select("uid", F.lit(True).alias("found"))
+        if self.boxes and not short.isEmpty():
+            more = self._open_weight(left.join(short, "uid"), right)
+            judged = judged.join(more, "uid", "left").withColumn("rows", F.col("rows") + F.coalesce("more", F.lit(0)))
+        core = judged.where(F.col("rows") >= self.min_points).select("uid", F.lit(True).alias("found"))
         return units.join(core, "uid", "left").withColumn(
             "core", F.col("dense") | F.coalesce("found", F.lit(False))
         ).drop("found")
@@ -211,7 +214,7 @@ class _Grid:
         """``node, comp``: core nodes and the least node of their component."""
         comps = stored(self.core_nodes().withColumn("comp", F.col("node")))
         comps = _merge_all(comps, self._sure_edges)
-        return _merge_all(comps, self._open_edges)
+        return _merge_all(comps, self._open_edges) if self.boxes else comps
 
     def _core_pairs(self, comps: DataFrame) -> DataFrame:
         side = self.units.where("core").join(comps, "node").select("uid", "node", "comp", "lo", "hi")

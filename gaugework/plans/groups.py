@@ -151,9 +151,12 @@ class ReportBuilder:
         parts = []
         for chain, specs in self._by_transformations(names).items():
             df = self._transformed(chain)
-            tags = [F.when(all_of(s.filters, df), F.lit(s.name)) for s in specs]
+            masks = [all_of(s.filters, df) for s in specs]
+            tags = [F.when(mask, F.lit(s.name)) for mask, s in zip(masks, specs)]
             tag = F.explode(F.array_compact(F.array(*tags))).alias("group_name")
-            parts.append(df.select(tag, *[quoted(c) for c in df.columns]))
+            # rows of no group are dropped first, by a filter that can reach the scan
+            wanted = df.where(functools.reduce(lambda a, b: a | b, masks))
+            parts.append(wanted.select(tag, *[quoted(c) for c in df.columns]))
         return functools.reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
     def build_combined(self, group_names: Sequence[str], operation: str = "intersection") -> DataFrame:

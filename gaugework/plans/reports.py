@@ -54,8 +54,12 @@ def metric_report(builder: ReportBuilder, limits: Thresholds = Thresholds()) ->
         builder.create_filter_group(group, text)
         for column, limit in limits.of(group).items():
             builder.add_column_filter(column, ">", limit)
-        for column in SORTED_BY.get(group, (group,)):
-            builder.add_sort_column(column, ascending=False)
+        columns = SORTED_BY.get(group, (group,))
+        if len(columns) == 1:
+            builder.set_sorting(columns, ascending=False)
+        else:
+            for column in columns:
+                builder.add_sort_column(column, ascending=False)
         builder.select_columns(REPORT_COLUMNS)
         if group in WITH_DISTRIBUTIONS:
             builder.add_visualization()
