@@ -11,6 +11,11 @@ Pairs of boxes come from an equi-join on coarse blocks and go straight into an
 aggregate over the left side; no list of pairs is kept. Clusters grow by merging
 every component with its least neighbouring component, which halves the number of
 open components per round.
+
+Where a block is crowded, a bounded sample per block is compared first: it settles
+most core questions and joins the crowd into one component. What is left is then
+compared in full, except members of a block's leading component with blocks that
+the same component leads: any edge there starts at a unit outside that component.
 """
 
 from __future__ import annotations
@@ -19,7 +24,7 @@ import itertools
 import math
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from gaugework.functions.scalars import quoted
 from gaugework.operators.joins import attach
@@ -29,6 +34,9 @@ EPS = 0.5
 MIN_POINTS = 5
 SUB_CELLS = 4
 BLOCK_DIMENSIONS = 3
+# A block with more units than this counts as crowded.
+CROWD = 2_000
+SAMPLE = 200
 
 
 def cluster(
@@ -75,6 +83,8 @@ class _Grid:
         self.units = stored(self._units())
         # without boxes of several vectors every pair of units is sure or apart
         self.boxes = not self.units.where(F.col("lo") != F.col("hi")).isEmpty()
+        largest = self.units.groupBy(self._block()).count().agg(F.max("count")).first()[0]
+        self.crowded = (largest or 0) > CROWD
         self.units = stored(self._with_core(self.units))
 
     # -- layout --------------------------------------------------------------
@@ -124,25 +134,38 @@ class _Grid:
 
     # -- pairs ---------------------------------------------------------------
 
-    def _pairs(self, left: DataFrame, right: DataFrame) -> DataFrame:
+    def _block(self) -> Column:
+        """The coarse block of a unit; units within eps are in neighbouring blocks."""
+        width = self.eps * (1 + 1 / SUB_CELLS) * (1 + 1e-9)
+        home = [F.floor(F.get("lo", F.lit(i)) / width) for i in range(min(BLOCK_DIMENSIONS, self.d))]
+        return F.array(*home) if home else F.array().cast("array<bigint>")
+
+    def _sample(self, side: DataFrame) -> DataFrame:
+        """At most ``SAMPLE`` units per block, cut before the shuffle."""
+        order = Window.partitionBy("block").orderBy(F.xxhash64("uid"), "uid")
+        ranked = side.withColumn("block", self._block()).withColumn("rank", F.row_number().over(order))
+        return ranked.where(F.col("rank") <= SAMPLE).drop("block", "rank")
+
+    def _pairs(self, left: DataFrame, right: DataFrame, leaders: DataFrame | None = None) -> DataFrame:
         """Unit pairs of different nodes that may be within eps.
 
         Columns of the sides carry the prefixes ``a_`` and ``b_``; ``sure`` tells
-        that all vectors of the pair are within eps.
+        that all vectors of the pair are within eps. With ``leaders`` a left unit
+        that ``leads`` its block skips blocks led by its own component.
         """
         blocks = min(BLOCK_DIMENSIONS, self.d)
-        width = self.eps * (1 + 1 / SUB_CELLS) * (1 + 1e-9)
-        home = [F.floor(F.get("lo", F.lit(i)) / width) for i in range(blocks)]
         shifts = [F.array(*[F.lit(s).cast("bigint") for s in shift])
                   for shift in itertools.product((-1, 0, 1), repeat=blocks)]
-        a = left.select(*[F.col(c).alias(f"a_{c}") for c in left.columns], _block(home).alias("home"))
+        a = left.select(*[F.col(c).alias(f"a_{c}") for c in left.columns], self._block().alias("home"))
         if blocks:
             a = a.withColumn("shift", F.explode(F.array(*shifts))).withColumn(
                 "block", F.zip_with("home", "shift", lambda h, s: h + s)
             )
         else:
             a = a.withColumn("block", F.col("home"))
-        b = right.select(*[F.col(c).alias(f"b_{c}") for c in right.columns], _block(home).alias("block"))
+        if leaders is not None:
+            a = attach(a, leaders, ["block"]).where(~F.col("a_leads") | (F.col("leader") != F.col("a_comp"))).drop("leader")
+        b = right.select(*[F.col(c).alias(f"b_{c}") for c in right.columns], self._block().alias("block"))
         near, far = F.lit(0.0), F.lit(0.0)
         for i in range(self.d):
             a_lo, a_hi = F.get("a_lo", F.lit(i)), F.get("a_hi", F.lit(i))
@@ -179,6 +202,12 @@ class _Grid:
         """Units of dense cells are core; single vectors are counted out."""
         left = units.where(~F.col("dense")).select("uid", "node", "w", "lo", "hi")
         right = units.select("uid", "node", "w", "lo", "hi")
+        settled = None
+        if self.crowded:
+            near = self._pairs(left, self._sample(right)).where("sure")
+            weights = near.groupBy(F.col("a_uid").alias("uid"), F.col("a_w").alias("w")).agg(F.sum("b_w").alias("more"))
+            settled = stored(weights.where(F.col("w") + F.col("more") >= self.min_points).select("uid"))
+            left = left.join(settled, "uid", "left_anti")
         pairs = self._pairs(left, right)
         counted = pairs.groupBy("a_uid").agg(
             F.sum(F.when(F.col("sure"), F.col("b_w"))).alias("sure_w"),
@@ -194,7 +223,10 @@ class _Grid:
         if self.boxes and not short.isEmpty():
             more = self._open_weight(left.join(short, "uid"), right)
             judged = judged.join(more, "uid", "left").withColumn("rows", F.col("rows") + F.coalesce("more", F.lit(0)))
-        core = judged.where(F.col("rows") >= self.min_points).select("uid", F.lit(True).alias("found"))
+        core = judged.where(F.col("rows") >= self.min_points).select("uid")
+        if settled is not None:
+            core = core.unionByName(settled)
+        core = core.withColumn("found", F.lit(True))
         return units.join(core, "uid", "left").withColumn(
             "core", F.col("dense") | F.coalesce("found", F.lit(False))
         ).drop("found")
@@ -213,20 +245,38 @@ class _Grid:
     def components(self) -> DataFrame:
         """``node, comp``: core nodes and the least node of their component."""
         comps = stored(self.core_nodes().withColumn("comp", F.col("node")))
+        if self.crowded:
+            comps = _merge_all(comps, self._sampled_edges)
         comps = _merge_all(comps, self._sure_edges)
         return _merge_all(comps, self._open_edges) if self.boxes else comps
 
+    def _core_side(self, comps: DataFrame) -> DataFrame:
+        return self.units.where("core").join(comps, "node").select("uid", "node", "comp", "lo", "hi")
+
     def _core_pairs(self, comps: DataFrame) -> DataFrame:
-        side = self.units.where("core").join(comps, "node").select("uid", "node", "comp", "lo", "hi")
-        return self._pairs(side, side).where(F.col("a_comp") != F.col("b_comp"))
+        """Core pairs of different components, each from at least one side."""
+        side = self._core_side(comps)
+        left, leaders = side, None
+        if self.crowded:
+            placed = side.withColumn("block", self._block())
+            sizes = placed.groupBy("block", "comp").agg(F.count("*").alias("n"))
+            leaders = stored(sizes.groupBy("block").agg(F.max_by("comp", F.struct("n", "comp")).alias("leader")))
+            left = attach(placed, leaders, ["block"]).withColumn("leads", F.col("comp") == F.col("leader"))
+            left = left.select(*side.columns, "leads")
+        return self._pairs(left, side, leaders).where(F.col("a_comp") != F.col("b_comp"))
+
+    def _sampled_edges(self, comps: DataFrame) -> DataFrame:
+        side = self._core_side(comps)
+        pairs = self._pairs(side, self._sample(side)).where(F.col("a_comp") != F.col("b_comp"))
+        return _both_ways(pairs.where("sure"))
 
     def _sure_edges(self, comps: DataFrame) -> DataFrame:
-        return self._core_pairs(comps).where("sure").select("a_comp", "b_comp")
+        return _both_ways(self._core_pairs(comps).where("sure"))
 
     def _open_edges(self, comps: DataFrame) -> DataFrame:
         open_pairs = self._core_pairs(comps).where(~F.col("sure"))
         wanted = open_pairs.select("a_uid", "b_uid", "a_comp", "b_comp")
-        return self._member_pairs(wanted).select("a_comp", "b_comp")
+        return _both_ways(self._member_pairs(wanted))
 
     def numbers(self, comps: DataFrame) -> DataFrame:
         """``node, number``: components numbered by their least core key."""
@@ -266,8 +316,13 @@ def _array(values: list[Column]) -> Column:
     return F.array(*values) if values else F.array().cast("array<double>")
 
 
-def _block(home: list[Column]) -> Column:
-    return F.array(*home) if home else F.array().cast("array<bigint>")
+def _both_ways(pairs: DataFrame) -> DataFrame:
+    """Component edges in both directions, repeats dropped map-side."""
+    edges = pairs.groupBy("a_comp", "b_comp").agg(F.lit(1).alias("one")).drop("one")
+    ends = F.array(
+        F.struct("a_comp", "b_comp"), F.struct(F.col("b_comp").alias("a_comp"), F.col("a_comp").alias("b_comp"))
+    )
+    return edges.select(F.inline(ends))
 
 
 def _merge_all(comps: DataFrame, edges_of: Callable[[DataFrame], DataFrame]) -> DataFrame:

@@ -124,7 +124,10 @@ def brute_force(x, eps, min_points):
     return label
 
 
-def test_dbscan_equals_brute_force(spark):
+@pytest.mark.parametrize("crowd,sample", [(2000, 200), (3, 4)])
+def test_dbscan_equals_brute_force(spark, monkeypatch, crowd, sample):
+    monkeypatch.setattr(dbscan, "CROWD", crowd)
+    monkeypatch.setattr(dbscan, "SAMPLE", sample)
     rng = np.random.default_rng(0)
     for d, n, copies in ((2, 400, 150), (5, 200, 20)):
         x = np.concatenate([rng.normal(0, 0.6, (n // 2, d)), rng.normal(2, 0.3, (n // 3, d)), rng.uniform(-4, 6, (n // 4, d))])
