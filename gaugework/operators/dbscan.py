@@ -27,6 +27,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from gaugework.functions.scalars import quoted
+from gaugework.operators import joins
 from gaugework.operators.joins import attach
 from gaugework.session import stored
 
@@ -37,6 +38,8 @@ BLOCK_DIMENSIONS = 3
 # A block with more units than this counts as crowded.
 CROWD = 2_000
 SAMPLE = 200
+SALTS = 16
+WRITTEN_OUT = 3
 
 
 def cluster(
@@ -83,8 +86,8 @@ class _Grid:
         self.units = stored(self._units())
         # without boxes of several vectors every pair of units is sure or apart
         self.boxes = not self.units.where(F.col("lo") != F.col("hi")).isEmpty()
-        largest = self.units.groupBy(self._block()).count().agg(F.max("count")).first()[0]
-        self.crowded = (largest or 0) > CROWD
+        sizes = self.units.groupBy(self._block()).count().agg(F.max("count"), F.sum("count")).first()
+        self.crowded, self.rows = (sizes[0] or 0) > CROWD, sizes[1] or 0
         self.units = stored(self._with_core(self.units))
 
     # -- layout --------------------------------------------------------------
@@ -141,21 +144,28 @@ class _Grid:
         return F.array(*home) if home else F.array().cast("array<bigint>")
 
     def _sample(self, side: DataFrame) -> DataFrame:
-        """At most ``SAMPLE`` units per block, cut before the shuffle."""
+        """At most ``SAMPLE`` units per block, cut before the shuffle; a stored table."""
         order = Window.partitionBy("block").orderBy(F.xxhash64("uid"), "uid")
         ranked = side.withColumn("block", self._block()).withColumn("rank", F.row_number().over(order))
-        return ranked.where(F.col("rank") <= SAMPLE).drop("block", "rank")
+        return stored(ranked.where(F.col("rank") <= SAMPLE).drop("block", "rank"))
 
-    def _pairs(self, left: DataFrame, right: DataFrame, leaders: DataFrame | None = None) -> DataFrame:
+    def _pairs(
+        self, left: DataFrame, right: DataFrame, leaders: DataFrame | None = None, right_rows: int | None = None
+    ) -> DataFrame:
         """Unit pairs of different nodes that may be within eps.
 
         Columns of the sides carry the prefixes ``a_`` and ``b_``; ``sure`` tells
         that all vectors of the pair are within eps. With ``leaders`` a left unit
         that ``leads`` its block skips blocks led by its own component.
+
+        A right side of checked size is broadcast and the left units stay spread. A
+        larger one is joined by block, the units of crowded blocks split by a salt.
         """
         blocks = min(BLOCK_DIMENSIONS, self.d)
         shifts = [F.array(*[F.lit(s).cast("bigint") for s in shift])
                   for shift in itertools.product((-1, 0, 1), repeat=blocks)]
+        if self.crowded:
+            left = left.repartition(2 * left.sparkSession.sparkContext.defaultParallelism, "uid")
         a = left.select(*[F.col(c).alias(f"a_{c}") for c in left.columns], self._block().alias("home"))
         if blocks:
             a = a.withColumn("shift", F.explode(F.array(*shifts))).withColumn(
@@ -166,19 +176,37 @@ class _Grid:
         if leaders is not None:
             a = attach(a, leaders, ["block"]).where(~F.col("a_leads") | (F.col("leader") != F.col("a_comp"))).drop("leader")
         b = right.select(*[F.col(c).alias(f"b_{c}") for c in right.columns], self._block().alias("block"))
-        near, far = F.lit(0.0), F.lit(0.0)
-        for i in range(self.d):
-            a_lo, a_hi = F.get("a_lo", F.lit(i)), F.get("a_hi", F.lit(i))
-            b_lo, b_hi = F.get("b_lo", F.lit(i)), F.get("b_hi", F.lit(i))
-            gap = F.greatest(b_lo - a_hi, a_lo - b_hi, F.lit(0.0))
-            reach = F.greatest(b_hi - a_lo, a_hi - b_lo)
-            near, far = near + gap * gap, far + reach * reach
+        near, far = self._box_distances()
         limit = self.eps * self.eps
-        matched = a.join(b, "block").where((F.col("a_node") != F.col("b_node")) & (near <= limit))
+        keys = ["block"]
+        right_rows = self.rows if right_rows is None else right_rows
+        if self.crowded and right_rows > joins.BROADCAST_ROWS:
+            a = a.withColumn("salt", F.pmod(F.xxhash64("a_uid"), F.lit(SALTS)).cast("int"))
+            b = b.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+            keys.append("salt")
+        matched = attach(a, b, keys, known_rows=right_rows).where((F.col("a_node") != F.col("b_node")) & (near <= limit))
         return matched.withColumn("sure", far <= limit).drop(
-            "home", "shift", "block", "a_lo", "a_hi", "b_lo", "b_hi"
+            "home", "shift", *keys, "a_lo", "a_hi", "b_lo", "b_hi"
         )
 
+    def _box_distances(self) -> tuple[Column, Column]:
+        """Least and greatest squared distance between the boxes of a pair."""
+        a_lo, a_hi, b_lo, b_hi = (F.col(c) for c in ("a_lo", "a_hi", "b_lo", "b_hi"))
+        if not self.boxes:
+            apart = _total([a_lo, b_lo], lambda a, b: (a - b) * (a - b), self.d)
+            return apart, apart
+
+        def gap(al, ah, bl, bh):
+            between = F.greatest(bl - ah, al - bh, F.lit(0.0))
+            return between * between
+
+        def reach(al, ah, bl, bh):
+            across = F.greatest(bh - al, ah - bl)
+            return across * across
+
+        sides = [a_lo, a_hi, b_lo, b_hi]
+        return _total(sides, gap, self.d), _total(sides, reach, self.d)
+
     def _members(self, prefix: str) -> DataFrame:
         """Vectors with the unit they belong to."""
         owner = self.units.select("node", "sub", "uid")
@@ -190,10 +218,7 @@ class _Grid:
     def _member_pairs(self, open_pairs: DataFrame) -> DataFrame:
         """Unit pairs compared vector by vector; only pairs within eps remain."""
         both = open_pairs.join(self._members("a"), "a_uid").join(self._members("b"), "b_uid")
-        distance = F.lit(0.0)
-        for i in range(self.d):
-            gap = F.get("a_x", F.lit(i)) - F.get("b_x", F.lit(i))
-            distance = distance + gap * gap
+        distance = _total([F.col("a_x"), F.col("b_x")], lambda a, b: (a - b) * (a - b), self.d)
         return both.where(distance <= self.eps * self.eps)
 
     # -- core ----------------------------------------------------------------
@@ -204,7 +229,8 @@ class _Grid:
         right = units.select("uid", "node", "w", "lo", "hi")
         settled = None
         if self.crowded:
-            near = self._pairs(left, self._sample(right)).where("sure")
+            few = self._sample(right)
+            near = self._pairs(left, few, right_rows=few.count()).where("sure")
             weights = near.groupBy(F.col("a_uid").alias("uid"), F.col("a_w").alias("w")).agg(F.sum("b_w").alias("more"))
             settled = stored(weights.where(F.col("w") + F.col("more") >= self.min_points).select("uid"))
             left = left.join(settled, "uid", "left_anti")
@@ -246,7 +272,9 @@ class _Grid:
         """``node, comp``: core nodes and the least node of their component."""
         comps = stored(self.core_nodes().withColumn("comp", F.col("node")))
         if self.crowded:
-            comps = _merge_all(comps, self._sampled_edges)
+            few = self._sample(self.units.where("core").select("uid", "node", "lo", "hi"))
+            rows = few.count()
+            comps = _merge_all(comps, lambda c: self._sampled_edges(c, few, rows))
         comps = _merge_all(comps, self._sure_edges)
         return _merge_all(comps, self._open_edges) if self.boxes else comps
 
@@ -265,10 +293,9 @@ class _Grid:
             left = left.select(*side.columns, "leads")
         return self._pairs(left, side, leaders).where(F.col("a_comp") != F.col("b_comp"))
 
-    def _sampled_edges(self, comps: DataFrame) -> DataFrame:
-        side = self._core_side(comps)
-        pairs = self._pairs(side, self._sample(side)).where(F.col("a_comp") != F.col("b_comp"))
-        return _both_ways(pairs.where("sure"))
+    def _sampled_edges(self, comps: DataFrame, few: DataFrame, rows: int) -> DataFrame:
+        pairs = self._pairs(self._core_side(comps), few.join(comps, "node"), right_rows=rows)
+        return _both_ways(pairs.where("sure").where(F.col("a_comp") != F.col("b_comp")))
 
     def _sure_edges(self, comps: DataFrame) -> DataFrame:
         return _both_ways(self._core_pairs(comps).where("sure"))
@@ -312,6 +339,22 @@ class _Grid:
         return joined.withColumn(name, F.coalesce(F.col(name), default))
 
 
+def _total(sides: list[Column], term: Callable[..., Column], size: int) -> Column:
+    """Sum of ``term`` over the elements of equally long arrays.
+
+    Few elements are written out. More would make a generated method too long for
+    the JVM to compile, so they are summed by array functions.
+    """
+    if size <= WRITTEN_OUT:
+        return sum((term(*[F.get(s, F.lit(i)) for s in sides]) for i in range(size)), F.lit(0.0))
+    rows = F.arrays_zip(*[s.alias(f"s{i}") for i, s in enumerate(sides)]) if len(sides) > 2 else None
+    if rows is None:
+        terms = F.zip_with(*sides, term)
+    else:
+        terms = F.transform(rows, lambda e: term(*[e[f"s{i}"] for i in range(len(sides))]))
+    return F.aggregate(terms, F.lit(0.0), lambda total, t: total + t)
+
+
 def _array(values: list[Column]) -> Column:
     return F.array(*values) if values else F.array().cast("array<double>")
 
