@@ -8,7 +8,8 @@ taken once, distributed, since all documents of a source share the multiplier.
 Rounding spreads the rates over ranks: ordered by size, the document of rank ``r`` gets
 ``floor(rate * r + phase) - floor(rate * (r - 1) + phase)`` copies. Ranks come from counts per
 (source, size, share), so that no task ever holds a whole source; the phase that brings a source
-nearest to its target is found on the counts per size.
+nearest to its target is found on the counts per size. The gap that is left is closed by single
+copies of the smallest documents, by the same ranks.
 """
 
 from __future__ import annotations
@@ -75,43 +76,68 @@ def entropy_mix(
     key = F.col(doc_id)
     share = F.pmod(F.xxhash64(key), F.lit(SHARES)) if share is None else share
     items = stored(docs.select(key.alias("doc_id"), F.col(source).alias("source"), word_count(text).alias("size"), F.coalesce(share, F.lit(0)).cast("int").alias("share")))
-    cells = stored(items.groupBy("source", "size", "share").agg(F.count(F.lit(1)).alias("n")))
-    sizes = cells.groupBy("source", "size").agg(F.sum("n").alias("n"))
-    falling = Window.partitionBy("source").orderBy(F.col("size").desc()).rowsBetween(Window.unboundedPreceding, -1)
-    sizes = stored(sizes.withColumn("above", F.coalesce(F.sum("n").over(falling), F.lit(0))))
-    totals = sizes.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"))
+    cells = _cells(items, falling=True)
+    totals = cells.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"))
     size, goal = F.col("source_size").cast("double"), F.col("target")
     rate = F.when((size > 0) & (goal > 0), F.least(F.exp(_multiplier(size, goal)), F.lit(float(limit)))).otherwise(0.0)
-    plan = stored(targets(totals, weights, limit).withColumn("rate", rate)).withColumnRenamed("source", "_source")
+    plan = stored(targets(totals, weights, limit).withColumn("rate", rate))
 
     def copies(first, last, phase):
         return F.floor(F.col("rate") * last + phase) - F.floor(F.col("rate") * first + phase)
 
     phases = [(2 * k + 1) / (2 * PHASES) for k in range(PHASES)]
-    ranked = sizes.join(plan, sizes["source"].eqNullSafe(plan["_source"]))
-    tried = ranked.groupBy("_source").agg(
+    tried = _with_source(cells, plan).groupBy("source").agg(
         F.first("target").alias("target"),
-        *[F.sum(F.col("size") * copies(F.col("above"), F.col("above") + F.col("n"), F.lit(p))).alias(f"t{k}") for k, p in enumerate(phases)],
-    )
-    nearest = F.array_min(F.array(*[F.struct(F.abs(F.col(f"t{k}") - F.col("target")).alias("off"), F.lit(p).alias("phase")) for k, p in enumerate(phases)]))
-    plan = plan.join(tried.select(F.col("_source").alias("_tried"), nearest["phase"].alias("phase")), F.col("_source").eqNullSafe(F.col("_tried"))).drop("_tried")
-
-    within = Window.partitionBy("source", "size").orderBy("share").rowsBetween(Window.unboundedPreceding, -1)
-    starts = cells.withColumn("before", F.coalesce(F.sum("n").over(within), F.lit(0)))
-    starts = starts.join(
-        sizes.select(F.col("source").alias("_s"), F.col("size").alias("_z"), "above"),
-        F.col("source").eqNullSafe(F.col("_s")) & (F.col("size") == F.col("_z")),
+        *[F.sum(F.col("size") * copies(F.col("before"), F.col("before") + F.col("n"), F.lit(p))).alias(f"t{k}") for k, p in enumerate(phases)],
     )
-    starts = starts.join(plan, F.col("source").eqNullSafe(F.col("_source"))).select(
-        "_source", F.col("size").alias("_size"), F.col("share").alias("_share"), (F.col("above") + F.col("before")).alias("_start"), "source_size", "target", "rate", "phase"
+    tries = [F.struct(F.abs(F.col(f"t{k}") - F.col("target")).alias("off"), F.lit(p).alias("phase"), F.col(f"t{k}").alias("words")) for k, p in enumerate(phases)]
+    best = F.array_min(F.array(*tries))
+    plan = stored(_with_source(plan, tried.select("source", best["phase"].alias("phase"), (F.col("target") - best["words"]).alias("gap"))))
+
+    place = F.col("before") + F.col("_rank")
+    number = F.when(F.col("size") > 0, copies(place - 1, place, F.col("phase"))).otherwise(F.lit(1)).cast("long")
+    rounded = stored(_with_source(_placed(items, cells), plan).withColumn("copies", number).drop("before", "words", "_rank"))
+
+    # What rounding leaves of a source's gap: the smallest documents that can, take or give one copy.
+    able = F.when(F.col("gap") > 0, F.col("copies") + 1 <= F.lit(limit)).otherwise(F.col("copies") > 0) & (F.col("size") > 0)
+    able_rows = rounded.filter(able)
+    reached = F.col("words") + (F.col("_rank") - 0.5) * F.col("size")
+    step = F.when(reached <= F.abs("gap"), F.signum("gap").cast("long")).otherwise(F.lit(0))
+    mended = _placed(able_rows, _cells(able_rows, falling=False)).withColumn("copies", F.col("copies") + step)
+    names = ["doc_id", "source", "size", "source_size", "target", "rate", "copies"]
+    result = rounded.filter(~able).select(names).unionByName(mended.select(names))
+    return result.withColumn("taken", F.col("copies") * F.col("size"))
+
+
+def _with_source(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Inner join by source, null equal to null."""
+    right = right.withColumnRenamed("source", "_source")
+    return left.join(right, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
+
+
+def _cells(items: DataFrame, falling: bool) -> DataFrame:
+    """Rows per (source, size, share) with the rows and words ``before``, in order of size, then share."""
+    cells = stored(items.groupBy("source", "size", "share").agg(F.count(F.lit(1)).alias("n")))
+    none = F.lit(0)
+    sizes = cells.groupBy(F.col("source").alias("_s"), F.col("size").alias("_z")).agg(F.sum("n").alias("_n"))
+    order = Window.partitionBy("_s").orderBy(F.col("_z").desc() if falling else F.col("_z").asc()).rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.select("_s", "_z", F.coalesce(F.sum("_n").over(order), none).alias("_rows"), F.coalesce(F.sum(F.col("_n") * F.col("_z")).over(order), none).alias("_words"))
+    share = Window.partitionBy("source", "size").orderBy("share").rowsBetween(Window.unboundedPreceding, -1)
+    cells = cells.withColumn("_inner", F.coalesce(F.sum("n").over(share), none))
+    joined = cells.join(sizes, F.col("source").eqNullSafe(F.col("_s")) & (F.col("size") == F.col("_z")))
+    return stored(
+        joined.select(
+            "source", "size", "share", "n", (F.col("_rows") + F.col("_inner")).alias("before"), (F.col("_words") + F.col("_inner") * F.col("size")).alias("words")
+        )
     )
+
+
+def _placed(items: DataFrame, cells: DataFrame) -> DataFrame:
+    """``items`` with the rows and words before their cell and their rank in it."""
     rank = F.row_number().over(Window.partitionBy("source", "size", "share").orderBy("doc_id"))
-    placed = items.withColumn("_rank", rank).join(
-        starts, F.col("source").eqNullSafe(F.col("_source")) & (F.col("size") == F.col("_size")) & (F.col("share") == F.col("_share"))
-    )
-    place = F.col("_start") + F.col("_rank")
-    number = F.when(F.col("size") > 0, copies(place - 1, place, F.col("phase"))).otherwise(F.lit(1)).cast("long")
-    return placed.select("doc_id", "source", "size", "source_size", "target", "rate", number.alias("copies"), (number * F.col("size")).alias("taken"))
+    starts = cells.select(F.col("source").alias("_s"), F.col("size").alias("_z"), F.col("share").alias("_h"), "before", "words")
+    same = F.col("source").eqNullSafe(F.col("_s")) & (F.col("size") == F.col("_z")) & (F.col("share") == F.col("_h"))
+    return items.withColumn("_rank", rank).join(starts, same).drop("_s", "_z", "_h")
 
 
 def mixed_documents(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", text: str = "text", **options) -> DataFrame:

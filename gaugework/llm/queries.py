@@ -63,11 +63,21 @@ MIX_SQL = r"""
         SELECT source, target, phase, sum(size * (floor(rate * place + phase) - floor(rate * (place - 1) + phase))) AS words
         FROM ranked, (SELECT (2 * range + 1) / 64.0::DOUBLE AS phase FROM range(32)) GROUP BY ALL
     ), best AS (
-        SELECT source, arg_min(phase, (abs(words - target), phase)) AS phase FROM tried GROUP BY source
+        SELECT source, arg_min(phase, (abs(words - target), phase)) AS phase, arg_min(target - words, (abs(words - target), phase)) AS gap
+        FROM tried GROUP BY source
+    ), rounded AS (
+        SELECT r.*, b.gap,
+               CASE WHEN size > 0 THEN (floor(rate * place + phase) - floor(rate * (place - 1) + phase))::BIGINT ELSE 1 END AS copies
+        FROM ranked r JOIN best b ON r.source IS NOT DISTINCT FROM b.source
+    ), able AS (
+        SELECT *, size > 0 AND CASE WHEN gap > 0 THEN copies + 1 <= 3 ELSE copies > 0 END AS can FROM rounded
+    ), reached AS (
+        SELECT *, sum(size) OVER (PARTITION BY source, can ORDER BY size, doc_id % 256, doc_id ROWS UNBOUNDED PRECEDING) - 0.5 * size AS upto
+        FROM able
     )
-    SELECT r.doc_id, r.size::BIGINT AS size, r.source_size, round(r.target, 6) AS target,
-           (r.size * (floor(rate * place + phase) - floor(rate * (place - 1) + phase)))::BIGINT AS taken
-    FROM ranked r JOIN best b ON r.source IS NOT DISTINCT FROM b.source
+    SELECT doc_id, size::BIGINT AS size, source_size, round(target, 6) AS target,
+           (size * (copies + CASE WHEN can AND upto <= abs(gap) THEN sign(gap) ELSE 0 END))::BIGINT AS taken
+    FROM reached
 """
 
 
