@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from gaugework.llm import chat, exact, mixing
+from gaugework.llm import chat, exact, mixing, near
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -121,3 +121,33 @@ def op9(spark: SparkSession, folder: str) -> DataFrame:
         F.sha2("loss", 256).alias("loss_sha256"),
         F.length("formatted").cast("long").alias("formatted_chars"),
     )
+
+
+NEAR_SQL = r"""
+    WITH RECURSIVE words AS (
+        SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[^\x20\x09-\x0D]+') AS w FROM documents
+    ), shingles AS (
+        SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS s
+        FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM words WHERE len(w) > 0)
+    ), sizes AS (
+        SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id
+    ), common AS (
+        SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c
+        FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY ALL
+    ), links AS (
+        SELECT x, y FROM common JOIN sizes p ON p.doc_id = x JOIN sizes q ON q.doc_id = y WHERE c >= 0.8 * (p.n + q.n - c) - 1e-9
+    ), reach AS (
+        SELECT x, y FROM links UNION SELECT r.x, l.y FROM reach r JOIN links l ON r.y = l.x
+    ), classes AS (
+        SELECT x, min(y) AS y FROM reach GROUP BY x
+    )
+    SELECT d.doc_id, least(d.doc_id, coalesce(k.y, d.doc_id)) AS class_id,
+           (SELECT count(*) FROM links l WHERE l.x = d.doc_id) AS n_links, coalesce(s.n, 0) AS n_shingles,
+           d.doc_id = least(d.doc_id, coalesce(k.y, d.doc_id)) AS kept
+    FROM documents d LEFT JOIN classes k ON k.x = d.doc_id LEFT JOIN sizes s ON s.doc_id = d.doc_id
+"""
+
+
+@query("op8_near_duplicates", NEAR_SQL)
+def op8(spark: SparkSession, folder: str) -> DataFrame:
+    return near.near_duplicates(table(spark, folder, "documents"))
