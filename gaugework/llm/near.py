@@ -31,7 +31,7 @@ from gaugework.session import stored
 WORDS = 5
 SIMILARITY = 0.8
 COORDINATES = 64
-CHILDREN = 4
+CHILDREN = 2
 LEAF = 256
 BLOCK_SETS = 512
 BLOCK_SHINGLES = 1 << 21
@@ -39,11 +39,14 @@ MISSED = 1e-6
 
 
 def runs_needed(similarity: float, missed: float) -> int:
-    """Runs after which a pair at the threshold shares no leaf with probability ``missed`` at most."""
-    lost = 0.0
+    """Runs after which a pair at the threshold shares no leaf with probability ``missed`` at most.
+
+    A run starts from one coordinate; a set then takes ``CHILDREN`` further ones at every split.
+    """
+    lost = 0.0  # all paths of a pair end somewhere below a node that it shares
     for _ in range(64):
         lost = (1 - similarity + similarity * lost) ** CHILDREN
-    return min(math.ceil(math.log(missed) / math.log(lost)), COORDINATES // CHILDREN)
+    return min(math.ceil(math.log(missed) / math.log(1 - similarity + similarity * lost)), COORDINATES)
 
 
 def least_agreement(similarity: float, missed: float) -> int:
@@ -209,12 +212,7 @@ def _verify(schema: pa.Schema, similarity: float):
 
 def _leaves(sets: DataFrame, runs: int, leaf: int) -> DataFrame:
     """(row, leaf, many, much): the leaves of every set with the number of sets and of shingles in them."""
-    sig = lambda i: F.col("sig")[i]
-    roots = [
-        F.struct(F.xxhash64(F.lit(r), F.lit(i), sig(i)).alias("path"), F.shiftleft(F.lit(1).cast("long"), i).alias("used"))
-        for r in range(runs)
-        for i in range(r * CHILDREN, (r + 1) * CHILDREN)
-    ]
+    roots = [F.struct(F.xxhash64(F.lit(i), F.col("sig")[i]).alias("path"), F.expr(f"shiftleft(1L, {i})").alias("used")) for i in range(runs)]
     level = sets.select("row", "n", F.lit(None).cast("long").alias("above"), F.explode(F.array(*roots)).alias("p")).select("row", "n", "above", "p.*")
     found, depth = None, 0
     while True:
@@ -229,14 +227,13 @@ def _leaves(sets: DataFrame, runs: int, leaf: int) -> DataFrame:
         rest = shared.filter(~done)
         if rest.isEmpty():
             return found
-        pick = lambda k: F.pmod(F.xxhash64("path", F.lit(k)), F.lit(COORDINATES)).cast("int")
-        bit = lambda k: F.expr(f"shiftleft(1L, cast(pmod(xxhash64(path, {k}), {COORDINATES}) as int))")
-        children = [
-            F.struct(F.xxhash64("path", F.lit(k), sig(pick(k))).alias("path"), (F.col("used").bitwiseOR(bit(k))).alias("used"), F.col("used").bitwiseAND(bit(k)).alias("again"))
-            for k in range(CHILDREN + 1)
-        ]
-        level = rest.select("row", "path", "used", "n", F.col("many").alias("above")).join(sets.select("row", "sig"), "row")
-        level = level.select("row", "n", "above", F.explode(F.array(*children)).alias("p")).select("row", "n", "above", "p.*").filter("again = 0").drop("again")
+        draws = F.array_distinct(F.transform(F.sequence(F.lit(1), F.lit(8 * CHILDREN)), lambda k: F.pmod(F.xxhash64("path", k), F.lit(COORDINATES)).cast("int")))
+        fresh = F.slice(F.filter(draws, lambda i: F.col("used").bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), i)) == 0), 1, CHILDREN)
+        level = rest.select("row", "path", "used", "n", F.col("many").alias("above"), F.explode(fresh).alias("i")).join(sets.select("row", "sig"), "row")
+        level = level.select(
+            "row", "n", "above", F.xxhash64("path", "i", F.col("sig")[F.col("i")]).alias("path"),
+            F.col("used").bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("i"))).alias("used"),
+        )
         depth += 1
 
 
