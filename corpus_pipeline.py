@@ -1,11 +1,57 @@
-"""The corpus pipeline: documents through five stages."""
+"""The corpus pipeline: documents through five stages, each one operator of gaugework.llm."""
 
-STAGES = []
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from gaugework.llm import exact, leaks, mixing, near, toxic
+from gaugework.llm.queries import fold, table
+from gaugework.session import stored
+
+REJECT_TOXIC = 0.5
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the field, fitted on labelled documents of the table, scores below the limit."""
+    field = toxic.fit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), fold(4) != 2)
+    return toxic.without_toxic(docs, field, REJECT_TOXIC)
+
+
+def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts the document with the largest id."""
+    return exact.without_exact_duplicates(docs)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of near duplicates (five words, similarity 0.8) the document with the smallest id."""
+    return near.without_near_duplicates(docs)
+
+
+def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no item of the benchmark."""
+    return leaks.without_leaks(docs, table(spark, sf_dir, "benchmark"))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The copies of each document that the mix takes, numbered in mix_copy."""
+    return mixing.mixed_documents(docs, share=F.pmod("doc_id", F.lit(mixing.SHARES)))
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("exact_dedup", drop_copies),
+    ("ngram_jaccard", drop_near_copies),
+    ("decontamination", drop_leaks),
+    ("mixing", mix_sources),
+]
+
+# The first stage scores by a trained field, which SQL cannot express.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the documents, each one's result written and read again."""
+    docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+        docs = stored(stage(spark, docs, sf_dir))
     return docs

@@ -6,6 +6,8 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 
 def columns(batch: pa.RecordBatch) -> dict:
@@ -55,3 +57,8 @@ def record_batch(schema: pa.Schema, **values) -> pa.RecordBatch:
 
 def partitions(spark) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def arrow_schema(fields: str) -> pa.Schema:
+    """The Arrow schema of a DDL string, on the driver."""
+    return to_arrow_schema(StructType.fromDDL(fields))

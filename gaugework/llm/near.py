@@ -20,9 +20,9 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
-from gaugework.llm.arrow import key_groups, partitions, record_batch
+from gaugework.llm.arrow import arrow_schema, key_groups, partitions, record_batch
 from gaugework.llm.exact import tree_merge
 from gaugework.llm.graph import components
 from gaugework.llm.words import WordHasher, chunks, mix, shingle_hashes
@@ -270,7 +270,7 @@ def near_duplicates(
     source = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(F.col(text)).alias("text_hash"), F.col(text).cast("string").alias("text"))
     fields = f"doc_id {kind}, text_hash long, row long, print binary, n long, sig array<int>"
     numbered = source.select("doc_id", "text_hash", F.monotonically_increasing_id().alias("row"), "text")
-    profile = stored(numbered.mapInArrow(_profiler(_arrow(spark, fields), words), fields))
+    profile = stored(numbered.mapInArrow(_profiler(arrow_schema(fields), words), fields))
 
     full = profile.filter("n > 0").select("print", F.struct("doc_id", "row").alias("member"))
     classes = stored(tree_merge(full, ["print"], "member", largest=False).select(F.col("member.row").alias("row"), "winner", "members"))
@@ -286,17 +286,17 @@ def near_duplicates(
     cells = _cells(leaves).join(known.select("row", "n", "sig", "leaves"), "row")
     cells = cells.repartition(tasks, *cell).sortWithinPartitions(*cell)
     fields = "row long, leaf long, block int, one int, two int"
-    chosen = stored(cells.mapInArrow(_screen(_arrow(spark, fields), similarity, least_agreement(similarity, missed)), fields))
+    chosen = stored(cells.mapInArrow(_screen(arrow_schema(fields), similarity, least_agreement(similarity, missed)), fields))
 
     wanted = chosen.select("row").distinct().join(known.select("row", "doc_id", "text_hash"), "row")
     wanted = wanted.select("row", F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"))
     texts = source.join(wanted, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_hash")), "inner").select("row", "text")
     fields = "row long, shingles binary"
-    shingles = texts.mapInArrow(_set_reader(_arrow(spark, fields), words), fields).dropDuplicates(["row"])
+    shingles = texts.mapInArrow(_set_reader(arrow_schema(fields), words), fields).dropDuplicates(["row"])
     shingles = stored(shingles.join(known.select("row", "n", "weight", "leaves"), "row"))
     cells = chosen.join(shingles, "row").repartition(tasks, *cell).sortWithinPartitions(*cell)
     fields = "row long, links long, joint long"
-    found = stored(cells.mapInArrow(_verify(_arrow(spark, fields), similarity), fields))
+    found = stored(cells.mapInArrow(_verify(arrow_schema(fields), similarity), fields))
 
     links = found.groupBy("row").agg(F.sum("links").alias("links"))
     roots = components(found.select(F.col("row").alias("a"), F.col("joint").alias("b")))
@@ -311,13 +311,6 @@ def near_duplicates(
     return rows.select("doc_id", winner["doc_id"].alias("class_id"), others.alias("n_links"), F.col("n").alias("n_shingles"), (winner["row"] == F.col("row")).alias("kept"))
 
 
-def _arrow(spark, fields: str) -> pa.Schema:
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import _parse_datatype_string
-
-    return to_arrow_schema(_parse_datatype_string(fields))
-
-
 def without_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """``docs`` with one document of each class; of rows that repeat an id, as many stay as are kept."""
     verdicts = near_duplicates(docs, doc_id, text, **options)
@@ -327,8 +320,6 @@ def without_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str =
     rest = joined.filter(F.col("_rows").isNull()).select(*names)
     if gone.filter("_stay > 0").isEmpty():
         return rest
-    from pyspark.sql import Window
-
     order = Window.partitionBy(doc_id).orderBy(F.xxhash64(text))
     again = joined.filter("_stay > 0").withColumn("_nth", F.row_number().over(order)).filter("_nth <= _stay")
     return rest.unionByName(again.select(*names))

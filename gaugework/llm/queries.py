@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from gaugework.llm import chat, exact, mixing, near
+from gaugework.llm import chat, exact, leaks, mixing, near, toxic
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -151,3 +151,47 @@ NEAR_SQL = r"""
 @query("op8_near_duplicates", NEAR_SQL)
 def op8(spark: SparkSession, folder: str) -> DataFrame:
     return near.near_duplicates(table(spark, folder, "documents"))
+
+
+@query("op4_toxic_field")
+def op4(spark: SparkSession, folder: str) -> DataFrame:
+    documents = table(spark, folder, "documents")
+    field = toxic.fit(documents, table(spark, folder, "labels"), fold(4) != 2)
+    scored = toxic.score(documents, field)
+    return scored.select("doc_id", (fold(4) == 2).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"), "spans")
+
+
+LEAK_SQL = r"""
+    WITH docs AS (
+        SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9\x{80}-\x{10FFFF}]+') AS w FROM documents
+    ), items AS (
+        SELECT item_id, regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9\x{80}-\x{10FFFF}]+') AS w FROM benchmark
+    ), pieces AS (
+        SELECT item_id, len(w) AS n, array_to_string(w[i:i + 4], ' ') AS s, count(*) AS c
+        FROM (SELECT item_id, w, unnest(range(1, len(w) - 3)) AS i FROM items WHERE len(w) >= 5) GROUP BY ALL
+    ), runs AS (
+        SELECT doc_id, len(w) AS m, i, array_to_string(w[i:i + 4], ' ') AS s
+        FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM docs WHERE len(w) >= 5)
+    ), starts AS (
+        SELECT DISTINCT doc_id, item_id, n, least(n, m) AS k, start
+        FROM (SELECT r.doc_id, r.m, p.item_id, p.n, unnest(range(greatest(r.i - p.n + 5, 1), least(r.i, greatest(r.m - p.n + 1, 1)) + 1)) AS start
+              FROM runs r JOIN pieces p ON p.s = r.s)
+    ), inside AS (
+        SELECT t.doc_id, t.item_id, t.n, t.k, t.start, r.s, count(*) AS c
+        FROM starts t JOIN runs r ON r.doc_id = t.doc_id AND r.i BETWEEN t.start AND t.start + t.k - 5 GROUP BY ALL
+    ), alike AS (
+        SELECT x.doc_id, x.item_id, x.n, x.k, x.start, sum(least(x.c, p.c)) AS shared
+        FROM inside x JOIN pieces p ON p.item_id = x.item_id AND p.s = x.s GROUP BY ALL
+    ), scored AS (
+        SELECT doc_id, item_id, k, start, shared::DOUBLE / ((n - 4) + (k - 4) - shared) AS similarity FROM alike
+    )
+    SELECT doc_id, item_id, round(max(similarity), 9) AS similarity, (arg_max(start, (similarity, -start)) - 1)::BIGINT AS start_word,
+           arg_max(k, (similarity, -start))::BIGINT AS n_words
+    FROM scored WHERE similarity >= 0.8 GROUP BY ALL
+"""
+
+
+@query("op3_benchmark_leaks", LEAK_SQL)
+def op3(spark: SparkSession, folder: str) -> DataFrame:
+    found = leaks.leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+    return found.select("doc_id", "item_id", F.round("similarity", 9).alias("similarity"), "start_word", "n_words")
