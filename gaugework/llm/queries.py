@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from gaugework.llm import chat, exact, leaks, mixing, near, toxic
+from gaugework.llm import chat, exact, language, leaks, mixing, near, pages, quality, toxic
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -195,3 +195,31 @@ LEAK_SQL = r"""
 def op3(spark: SparkSession, folder: str) -> DataFrame:
     found = leaks.leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
     return found.select("doc_id", "item_id", F.round("similarity", 9).alias("similarity"), "start_word", "n_words")
+
+
+@query("op1_quality_trees")
+def op1(spark: SparkSession, folder: str) -> DataFrame:
+    scored = quality.quality(table(spark, folder, "documents"), table(spark, folder, "labels"), fold(5) != 0)
+    return scored.select("doc_id", (fold(5) == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+PAGE_SQL = r"""
+    WITH inner_html AS (
+        SELECT page_id, url, regexp_replace(regexp_extract(coalesce(html, ''), '(?s)<article>(.*)</article>', 1), '<[^>]*>', ' ', 'g') AS body FROM pages
+    ), decoded AS (
+        SELECT page_id, url, trim(regexp_replace(regexp_replace(replace(body, '&quot;', '"'), '&amp;?', '&', 'g'), '\s+', ' ', 'g')) AS text FROM inner_html
+    )
+    SELECT page_id, url, text, length(text)::BIGINT AS n_chars FROM decoded
+"""
+
+
+@query("op5_main_text", PAGE_SQL)
+def op5(spark: SparkSession, folder: str) -> DataFrame:
+    return pages.extract(table(spark, folder, "pages"))
+
+
+@query("op10_language")
+def op10(spark: SparkSession, folder: str) -> DataFrame:
+    documents = table(spark, folder, "documents")
+    told = language.languages(documents, language.dictionaries(documents, fold(3) != 1))
+    return told.select("doc_id", (fold(3) == 1).alias("held_out"), "lang_pred", "score", "margin")
