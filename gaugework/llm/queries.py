@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from gaugework.llm import chat, exact, language, leaks, mixing, near, pages, quality, toxic
+from gaugework.llm import chat, exact, language, leaks, mixing, near, pages, quality, repeats, toxic
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -223,3 +223,8 @@ def op10(spark: SparkSession, folder: str) -> DataFrame:
     documents = table(spark, folder, "documents")
     told = language.languages(documents, language.dictionaries(documents, fold(3) != 1))
     return told.select("doc_id", (fold(3) == 1).alias("held_out"), "lang_pred", "score", "margin")
+
+
+@query("op2_repeated_bytes")
+def op2(spark: SparkSession, folder: str) -> DataFrame:
+    return repeats.repeated_bytes(table(spark, folder, "documents")).drop("removed")
