@@ -30,10 +30,15 @@ LENGTH = 400
 GRAM = 64
 BLOCK = 1 << 20
 GROUP = 8192  # contexts of one anchor that one task takes
-BATCH = 16384  # contexts that are induced together
+BATCH = 4096  # contexts that are induced together
 EMPTY_SHA = hashlib.sha256(b"").hexdigest()
 
 
+def slices(batch: pa.RecordBatch, rows: int = 128):
+    """A batch a few rows at a time, so that few texts are Python objects at once."""
+    return (batch.slice(a, rows) for a in range(0, batch.num_rows, rows))
+
+
 class Anchors:
     """The anchors of texts with the first and last window that each stands for."""
 
@@ -108,11 +113,10 @@ def _anchor_reader(schema: pa.Schema, length: int, gram: int):
     def run(batches):
         anchors = Anchors(length, gram)
         for batch in batches:
-            keys, texts = batch.column("key"), batch.column("body").to_pylist()
-            for a in range(0, len(texts), 512):
-                found = anchors.of_texts(texts[a : a + 512])
+            for part in slices(batch):
+                found = anchors.of_texts(part.column("body").to_pylist())
                 lists = [[dict(zip(("hash", "place", "first", "last"), x)) for x in own] for own in found]
-                yield pa.RecordBatch.from_arrays([keys.slice(a, 512), pa.array(lists, schema.field("anchors").type)], schema=schema)
+                yield pa.RecordBatch.from_arrays([part.column("key"), pa.array(lists, schema.field("anchors").type)], schema=schema)
 
     return run
 
@@ -120,19 +124,17 @@ def _anchor_reader(schema: pa.Schema, length: int, gram: int):
 def _context_reader(schema: pa.Schema, length: int):
     def run(batches):
         for batch in batches:
-            out: dict = {f.name: [] for f in schema}
-            size = 0
-            for key, body, anchors in zip(*[batch.column(c).to_pylist() for c in ("key", "body", "anchors")]):
-                for x in anchors:
-                    place, first, last = x["place"], x["first"], x["last"]
-                    values = (x["hash"], x["bucket"], x["buckets"], key, place, first, last, body[first:place], body[place : last + length])
-                    for name, value in zip(out, values):
-                        out[name].append(value)
-                    size += length
-                    if size > 4 << 20:
+            for part in slices(batch):
+                out: dict = {f.name: [] for f in schema}
+                for key, body, anchors in zip(*[part.column(c).to_pylist() for c in ("key", "body", "anchors")]):
+                    for x in anchors:
+                        place, first, last = x["place"], x["first"], x["last"]
+                        values = (x["hash"], x["bucket"], x["buckets"], key, place, first, last, body[first:place], body[place : last + length])
+                        for name, value in zip(out, values):
+                            out[name].append(value)
+                    if len(out["hash"]) >= 4096:
                         yield record_batch(schema, **out)
-                        out, size = {name: [] for name in out}, 0
-            if size:
+                        out = {name: [] for name in out}
                 yield record_batch(schema, **out)
 
     return run
@@ -278,18 +280,19 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 def _cutter(schema: pa.Schema):
     def run(batches):
         for batch in batches:
-            out: dict = {f.name: [] for f in schema}
-            for key, body, spans in zip(*[batch.column(c).to_pylist() for c in ("key", "body", "spans")]):
-                runs = merged([(s["start"], s["stop"]) for s in spans])
-                kept, at = hashlib.sha256(), 0
-                for a, b in runs:
-                    kept.update(body[at:a])
-                    at = b
-                kept.update(body[at:])
-                out["key"].append(key)
-                out["removed"].append([{"start": a, "stop": b} for a, b in runs])
-                out["kept_sha256"].append(kept.hexdigest())
-            yield record_batch(schema, **out)
+            for part in slices(batch):
+                out: dict = {f.name: [] for f in schema}
+                for key, body, spans in zip(*[part.column(c).to_pylist() for c in ("key", "body", "spans")]):
+                    runs = merged([(s["start"], s["stop"]) for s in spans])
+                    kept, at = hashlib.sha256(), 0
+                    for a, b in runs:
+                        kept.update(body[at:a])
+                        at = b
+                    kept.update(body[at:])
+                    out["key"].append(key)
+                    out["removed"].append([{"start": a, "stop": b} for a, b in runs])
+                    out["kept_sha256"].append(kept.hexdigest())
+                yield record_batch(schema, **out)
 
     return run
 
