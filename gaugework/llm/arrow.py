@@ -10,6 +10,12 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 
+def strings(column: pa.Array, rows: int = 256) -> Iterator:
+    """The values of a column, few of them Python objects at once."""
+    for a in range(0, len(column), rows):
+        yield from column.slice(a, rows).to_pylist()
+
+
 def columns(batch: pa.RecordBatch) -> dict:
     """Numbers as arrays, all else as lists."""
     out = {}

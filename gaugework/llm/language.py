@@ -13,7 +13,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from gaugework.llm.arrow import arrow_schema
+from gaugework.llm.arrow import arrow_schema, strings
 
 SAMPLE_TEXTS = 64  # texts per language that fill its dictionary
 SAMPLE_CHARS = 2_000  # of each of them
@@ -78,7 +78,7 @@ def _teller(samples, schema: pa.Schema, narrow: float):
     def run(batches):
         judge = Judge(samples)
         for batch in batches:
-            found = [judge(t) for t in batch.column("text").to_pylist()]
+            found = [judge(t) for t in strings(batch.column("text"))]
             names = [UNKNOWN if margin < narrow else name for name, _, margin in found]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array(names, pa.string()), pa.array([s for _, s, _ in found], pa.float64()), pa.array([m for _, _, m in found], pa.float64())],

@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from gaugework.llm.arrow import arrow_schema
+from gaugework.llm.arrow import arrow_schema, strings
 from gaugework.llm.words import WordHasher, chunks, shingle_hashes
 from gaugework.session import stored
 
@@ -157,7 +157,7 @@ def _searcher(index, ids: list, schema: pa.Schema, threshold: float):
         hasher = WordHasher(words_only=True)
         for batch in batches:
             docs, hashes = batch.column("doc_id"), batch.column("text_hash")
-            for first, texts in chunks([t and t.lower() for t in batch.column("text").to_pylist()]):
+            for first, texts in chunks(t and t.lower() for t in strings(batch.column("text"))):
                 best: dict = {}
                 for text, item, value, start, n in own.search(*hasher(texts), threshold):
                     rank = (value, -start)

@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from gaugework.llm.arrow import arrow_schema, key_groups, partitions, record_batch
+from gaugework.llm.arrow import arrow_schema, key_groups, partitions, record_batch, strings
 from gaugework.llm.exact import tree_merge
 from gaugework.llm.graph import components
 from gaugework.llm.words import WordHasher, chunks, mix, shingle_hashes
@@ -73,9 +73,8 @@ def _profiler(schema: pa.Schema, k: int):
         factors = rng.integers(1, 1 << 63, COORDINATES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
         shifts = rng.integers(0, 1 << 63, COORDINATES, dtype=np.uint64)
         for batch in batches:
-            texts = batch.column("text").to_pylist()
             rest = batch.select([n for n in batch.schema.names if n != "text"])
-            for first, some in chunks([t and t.lower() for t in texts]):
+            for first, some in chunks(t and t.lower() for t in strings(batch.column("text"))):
                 sets = _sets(hasher, some, k)
                 sizes = np.array([len(s) for s in sets], np.int64)
                 flat = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
@@ -107,7 +106,7 @@ def _set_reader(schema: pa.Schema, k: int):
         hasher = WordHasher()
         for batch in batches:
             rows = batch.column("row").to_numpy()
-            for first, some in chunks([t and t.lower() for t in batch.column("text").to_pylist()]):
+            for first, some in chunks(t and t.lower() for t in strings(batch.column("text"))):
                 sets = _sets(hasher, some, k)
                 yield record_batch(schema, row=rows[first : first + len(some)], shingles=[s.tobytes() for s in sets])
 

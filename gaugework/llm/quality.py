@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from gaugework.llm.arrow import arrow_schema
+from gaugework.llm.arrow import arrow_schema, strings
 from gaugework.llm.toxic import labelled_sample
 from gaugework.llm.words import SPACES, WordHasher, chunks, shingle_hashes
 from gaugework.session import stored
@@ -102,7 +102,7 @@ def _measure(schema: pa.Schema):
     def run(batches):
         statistician = Statistician()
         for batch in batches:
-            for first, texts in chunks(batch.column("text").to_pylist()):
+            for first, texts in chunks(strings(batch.column("text"))):
                 x = statistician(texts)
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(first, len(texts)), pa.array(list(x), pa.list_(pa.float64()))], schema=schema)
 

@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from gaugework.llm.arrow import arrow_schema, record_batch
+from gaugework.llm.arrow import arrow_schema, record_batch, strings
 from gaugework.llm.words import WordHasher, chunks, mix
 from gaugework.session import stored
 
@@ -257,7 +257,7 @@ def _count_parts(batches):
     hasher = WordHasher(words_only=True)
     for batch in batches:
         labels = batch.column("label").to_numpy()
-        for first, texts in chunks([same_length_lower(t) for t in batch.column("text").to_pylist()]):
+        for first, texts in chunks(same_length_lower(t) for t in strings(batch.column("text"))):
             tokens = tokenize(hasher, texts)
             own = np.repeat(np.arange(len(texts)), np.diff(tokens.texts))
             for column in range(len(PARTS)):
@@ -279,7 +279,7 @@ def _chain_reader(keys: np.ndarray, bad: np.ndarray):
         hasher, lookup, listed = WordHasher(words_only=True), Lookup(keys), Lookup(bad)
         for batch in batches:
             labels = batch.column("label").to_numpy()
-            for first, texts in chunks([same_length_lower(t) for t in batch.column("text").to_pylist()]):
+            for first, texts in chunks(same_length_lower(t) for t in strings(batch.column("text"))):
                 tokens = tokenize(hasher, texts)
                 places = lookup(tokens.parts)
                 hit = (listed(tokens.parts) < len(bad)).any(axis=1)
@@ -307,7 +307,7 @@ def _summarizer(field: Field):
         hasher, lookup = WordHasher(words_only=True), Lookup(field.keys)
         for batch in batches:
             labels = batch.column("label").to_numpy()
-            for first, texts in chunks([same_length_lower(t) for t in batch.column("text").to_pylist()]):
+            for first, texts in chunks(same_length_lower(t) for t in strings(batch.column("text"))):
                 tokens = tokenize(hasher, texts)
                 x = summary(field_marginals(field, lookup, tokens), tokens.texts)
                 yield record_batch(schema, label=labels[first : first + len(texts)], x=list(x))
@@ -331,7 +331,7 @@ def _scorer(field: Field, schema: pa.Schema, name: str, level: float):
         hasher, lookup = WordHasher(words_only=True), Lookup(field.keys)
         for batch in batches:
             rest = batch.select([n for n in batch.schema.names if n != name])
-            for first, texts in chunks([same_length_lower(t) for t in batch.column(name).to_pylist()]):
+            for first, texts in chunks(same_length_lower(t) for t in strings(batch.column(name))):
                 tokens = tokenize(hasher, texts)
                 p = field_marginals(field, lookup, tokens)
                 x = np.column_stack([summary(p, tokens.texts), np.ones(len(texts))])

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
 
@@ -107,7 +107,7 @@ def shingle_hashes(words: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.n
     return mix(total)[valid], np.concatenate([[0], np.cumsum(counts)])
 
 
-def chunks(texts: Sequence[str | None], limit: int = 4 << 20) -> Iterator[tuple[int, list[bytes]]]:
+def chunks(texts: Iterable[str | None], limit: int = 1 << 20) -> Iterator[tuple[int, list[bytes]]]:
     """Consecutive texts as UTF-8, some ``limit`` bytes at a time, with the index of the first; null is empty."""
     held, size, first = [], 0, 0
     for index, text in enumerate(texts):
