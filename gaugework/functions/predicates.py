@@ -83,9 +83,10 @@ def _compile(df: DataFrame, column: str, operator: str, value: Any) -> Column:
         missing = (cell.isNull() | F.isnan(cell)) if floating else cell.isNull()
         return missing if operator == "isna" else ~missing
     if operator in ("in", "not in"):
+        value = [v for v in value if is_missing(v) or _comparable(kind, v)]
         member = _member(cell, floating, list(value))
         return member if operator == "in" else ~member
-    if is_missing(value):
+    if is_missing(value) or not _comparable(kind, value):
         return F.lit(operator == "!=")
     if operator == "!=":
         return ~cell.eqNullSafe(F.lit(value))
@@ -99,6 +100,12 @@ def _compile(df: DataFrame, column: str, operator: str, value: Any) -> Column:
     return over & ~F.isnan(cell) if floating else over
 
 
+def _comparable(kind: T.DataType, value: Any) -> bool:
+    """A text never equals a number: such cells match nothing, and all of "!=" and "not in"."""
+    number = isinstance(value, (int, float)) and not isinstance(value, bool)
+    return not (isinstance(kind, T.StringType) and number or isinstance(kind, T.NumericType) and isinstance(value, str))
+
+
 def _text(cell: Column, operator: str, value: str) -> Column:
     if operator == "contains":
         return as_mask(cell.rlike(value))

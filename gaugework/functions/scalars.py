@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, functions as F
 
 # Spark writes a double in scientific form outside this range.
@@ -20,6 +21,12 @@ def nan_to_null(value: Column) -> Column:
     return F.nanvl(value, F.lit(None).cast("double"))
 
 
+def present(df, column: str):
+    """``df`` with NaN of a floating ``column`` as NULL."""
+    floating = dict(df.dtypes)[column] in ("double", "float")
+    return df.withColumn(column, nan_to_null(F.col(column))) if floating else df
+
+
 def non_zero(value: Column) -> Column:
     """``value`` where it is neither missing nor zero, else NULL."""
     return F.nullif(value, F.lit(0.0))
@@ -85,8 +92,16 @@ def run_stamp(ts: Column) -> Column:
 
 
 def two_decimals(value: Column) -> Column:
-    """Text with two decimals, NULL kept NULL (a CSV writer leaves it empty)."""
-    return F.when(value.isNotNull() & ~F.isnan(value), F.format_string("%.2f", value))
+    """Text with two decimals, NULL kept NULL (a CSV writer leaves it empty).
+
+    The exact binary value is rounded, which needs more digits than the JVM prints.
+    """
+
+    @F.pandas_udf("string")
+    def formatted(values: pd.Series) -> pd.Series:
+        return values.map(lambda v: None if pd.isna(v) else f"{v:.2f}")
+
+    return formatted(value.cast("double"))
 
 
 def float_text(value: Column) -> Column:

@@ -7,9 +7,9 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
-from gaugework.functions.scalars import non_zero, sample_kurtosis, sample_skewness
+from gaugework.functions.scalars import non_zero, present, sample_kurtosis, sample_skewness
 from gaugework.operators import quantiles as Q
-from gaugework.operators.joins import attach
+from gaugework.operators.joins import attach, join_keys
 from gaugework.operators.profile import nan_to_double
 from gaugework.sources.metrics import METRIC, VALUE
 
@@ -19,6 +19,7 @@ BANDWIDTH = 0.5
 
 
 def _values(long: DataFrame, keys: Sequence[str]) -> DataFrame:
+    long = present(long, VALUE)
     return long.select(*keys, non_zero(F.col(VALUE)).alias("v")).where(F.col("v").isNotNull())
 
 
@@ -48,7 +49,7 @@ def histogram(long: DataFrame, keys: Sequence[str] = (METRIC,), bins: int = BINS
     spine = ranges.select("*", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"))
     left = F.col("lo") + F.col("bin") * F.col("width")
     n_values = F.coalesce("n_values", F.lit(0).cast("bigint"))
-    return spine.join(counted, [*keys, "bin"], "left").select(
+    return join_keys(spine, counted, [*keys, "bin"], "left").select(
         *keys,
         "bin",
         left.alias("bin_left"),
@@ -101,7 +102,7 @@ def kde(
         .agg(F.sum("kernel").alias("kernel"))
     )
     scale = F.col("n") * F.col("h") * math.sqrt(2 * math.pi)
-    return sums.join(shape, keys).select(
+    return join_keys(sums, shape, keys).select(
         *keys, "point", at.alias("x"), (F.col("kernel") / scale).alias("density")
     )
 
@@ -116,7 +117,7 @@ def shape_with_zeros(long: DataFrame, keys: Sequence[str] = (METRIC,)) -> DataFr
     """Skewness and kurtosis of all present values, zeros included."""
     v = F.col(VALUE)
     n = F.count(v)
-    return long.groupBy(*keys).agg(
+    return present(long, VALUE).groupBy(*keys).agg(
         sample_skewness(F.skewness(v), n).alias("skewness"),
         sample_kurtosis(F.kurtosis(v), n).alias("kurtosis"),
     )

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F
@@ -25,6 +26,17 @@ def attach(
     if known_rows is None:
         groups = groups.persist()
         known_rows = groups.count()
-    if known_rows <= BROADCAST_ROWS:
-        groups = F.broadcast(groups)
-    return rows.join(groups, list(keys), how)
+    return join_keys(rows, groups, keys, how, known_rows <= BROADCAST_ROWS)
+
+
+def join_keys(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner", small: bool = False) -> DataFrame:
+    """A join by equal ``keys`` in which NULL equals NULL; the keys of ``left`` stay."""
+    names = {k: f"_right_{k}" for k in keys}
+    right = right.withColumnsRenamed(names)
+    same = functools.reduce(lambda a, b: a & b, [F.col(quoted_name(k)).eqNullSafe(F.col(quoted_name(n))) for k, n in names.items()])
+    joined = left.join(F.broadcast(right) if small else right, same, how)
+    return joined if how in ("left_anti", "left_semi") else joined.drop(*names.values())
+
+
+def quoted_name(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"

@@ -21,8 +21,6 @@ STARTS = 10
 MAX_PASSES = 300
 TOLERANCE = 1e-4
 SEED_ROWS = 16_384
-# Up to this many rows every pair of rows is compared in the silhouette.
-EXACT_SILHOUETTE_ROWS = 10_000
 
 
 @dataclass(frozen=True)
@@ -217,23 +215,21 @@ def select_k(
     max_k: int = 10,
     starts: int = STARTS,
     seed: int = 42,
-    exact_rows: int = EXACT_SILHOUETTE_ROWS,
 ) -> DataFrame:
     """``k, wcss, silhouette, best`` for k = 2..max_k; the first maximum is best.
 
-    Up to ``exact_rows`` rows the silhouette is the mean Euclidean one. A larger
-    table uses the squared Euclidean form, which needs the cluster sums only.
+    The silhouette is the squared Euclidean one, which needs the cluster sums only.
     """
     models = candidates(df, key, columns, max_k, starts, seed)
-    return k_table(df, columns, models, exact_rows)
+    return k_table(df, columns, models)
 
 
 def candidates(df, key, columns, max_k: int = 10, starts: int = STARTS, seed: int = 42) -> list[Model]:
     return fit_many(df, key, columns, list(range(2, max_k + 1)), starts, seed)
 
 
-def k_table(df, columns, models: Sequence[Model], exact_rows: int = EXACT_SILHOUETTE_ROWS) -> DataFrame:
-    scores = silhouettes(df, columns, models, exact_rows)
+def k_table(df, columns, models: Sequence[Model]) -> DataFrame:
+    scores = silhouettes(df, columns, models)
     lines = [(m.k, float(m.cost), float(s)) for m, s in zip(models, scores)]
     best = best_k(models, scores)
     return df.sparkSession.createDataFrame(
@@ -246,11 +242,11 @@ def best_k(models: Sequence[Model], scores: Sequence[float]) -> int:
 
 
 def silhouettes(
-    df: DataFrame, columns: Sequence[str], models: Sequence[Model], exact_rows: int = EXACT_SILHOUETTE_ROWS
+    df: DataFrame, columns: Sequence[str], models: Sequence[Model]
 ) -> list[float]:
     """Mean silhouette of every model, all from one scan."""
     rows = int(models[0].sizes.sum())
-    score = _exact_scores(df, columns, models) if rows <= exact_rows else _squared_scores(models)
+    score = _squared_scores(models)
     names = [f"x{i}" for i in range(len(columns))]
     points = df.select(*[quoted(c).alias(n) for c, n in zip(columns, names)])
 
@@ -270,24 +266,6 @@ def _silhouette(within: np.ndarray, nearest: np.ndarray, alone: np.ndarray) -> n
     return np.where(alone, 0.0, score)
 
 
-def _exact_scores(df, columns, models):
-    """Every row against all rows; the caller has checked that they are few."""
-    everything = df.select(*[quoted(c) for c in columns]).toPandas().to_numpy(float)
-    members = [np.eye(m.k)[_distances(everything, m.centers).argmin(axis=1)] for m in models]
-
-    def score(x: np.ndarray) -> list[float]:
-        totals = [0.0] * len(models)
-        for start in range(0, len(x), 256):
-            part = x[start : start + 256]
-            distance = np.sqrt(_distances(part, everything))
-            for i, model in enumerate(models):
-                label = _distances(part, model.centers).argmin(axis=1)
-                totals[i] += _from_sums(distance @ members[i], members[i].sum(axis=0), label).sum()
-        return totals
-
-    return score
-
-
 def _squared_scores(models):
     """Squared distances to a cluster follow from its size, mean and norms."""
 

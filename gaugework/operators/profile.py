@@ -9,11 +9,13 @@ from pyspark.sql import Column, DataFrame, functions as F
 from gaugework.functions.scalars import (
     non_zero,
     percentage,
+    present,
     quoted,
     sample_kurtosis,
     sample_skewness,
 )
 from gaugework.operators import quantiles as Q
+from gaugework.operators.joins import join_keys
 from gaugework.sources.metrics import METRIC, VALUE, MetricFrame
 
 PROBS = (0.05, 0.25, 0.5, 0.75, 0.95)
@@ -44,7 +46,7 @@ def profile(
         raise ValueError(f"unknown quantile mode: {quantile_mode}")
     keys = list(keys)
     long = data.long() if isinstance(data, MetricFrame) else data
-    long = long.select(*keys, VALUE, non_zero(F.col(VALUE)).alias("x"))
+    long = present(long, VALUE).select(*keys, VALUE, non_zero(F.col(VALUE)).alias("x"))
     moments = _moments(F.col("x"), F.col(VALUE))
     if quantile_mode == "approx":
         q = F.percentile_approx("x", list(PROBS), F.lit(Q.ACCURACY)).alias("q")
@@ -54,7 +56,7 @@ def profile(
             stats = _wide_moments(data).persist()
         else:
             stats = long.groupBy(*keys).agg(*moments).persist()
-        stats = stats.join(Q.percentiles(long, keys, "x", PROBS, stats, small_group), keys)
+        stats = join_keys(stats, Q.percentiles(long, keys, "x", PROBS, stats, small_group), keys)
     others = [k for k in keys if k != METRIC]
     return _fields(stats.where(F.col("n") > 0), others)
 

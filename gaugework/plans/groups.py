@@ -127,6 +127,9 @@ class ReportBuilder:
     def build_single(self, group_name: str | None = None) -> DataFrame:
         """Result of one group, by default the current one."""
         spec = self._known(group_name or self.current)
+        return self._single(spec, spec.columns)
+
+    def _single(self, spec: GroupSpec, columns: Sequence[str] | None) -> DataFrame:
         df = self._transformed(spec.transformations)
         result = df.where(all_of(spec.filters, df)) if spec.filters else df
         sort = spec.sort
@@ -134,8 +137,8 @@ class ReportBuilder:
             sort = (*sort, (self.tie_key, True))
         if sort:
             result = result.orderBy(*[_sort_key(df, c, ascending) for c, ascending in sort])
-        if spec.columns:
-            result = result.select(*[quoted(c) for c in spec.columns])
+        if columns:
+            result = result.select(*[quoted(c) for c in columns])
         return result.limit(spec.limit) if spec.limit else result
 
     def build_all(self) -> dict[str, DataFrame]:
@@ -190,13 +193,30 @@ class ReportBuilder:
         return functools.reduce(DataFrame.unionByName, parts)
 
     def affected_categories(self, names: Sequence[str] | None = None) -> DataFrame:
-        """Per group the distinct metric-name prefixes of its rows."""
-        tagged = self.build_tagged(names)
-        return tagged.select("group_name", name_prefix(F.col(METRIC)).alias("category")).distinct()
+        """Per group the distinct metric-name prefixes of its result rows; "default" is left out."""
+        wanted = [s.name for s in self.named()] if names is None else list(names)
+        parts = []
+        open_ended = [n for n in wanted if n != "default" and not self._known(n).limit]
+        if open_ended:
+            tagged = self.build_tagged(open_ended)
+            parts.append(tagged.select("group_name", METRIC))
+        for name in wanted:
+            if name != "default" and self._known(name).limit:
+                rows = self._single(self._known(name), [METRIC])
+                parts.append(rows.select(F.lit(name).alias("group_name"), METRIC))
+        if not parts:
+            raise ValueError("no filter group is declared")
+        rows = functools.reduce(DataFrame.unionByName, parts)
+        return rows.select("group_name", name_prefix(F.col(METRIC)).alias("category")).distinct()
 
     def group_counts(self) -> DataFrame:
-        """Rows per group from the tagged scan."""
-        return self.build_tagged().groupBy("group_name").agg(F.count("*").alias("n_rows"))
+        """Result rows per group from the tagged scan, limits applied; groups without rows are absent."""
+        found = self.build_tagged().groupBy("group_name").agg(F.count("*").alias("n_rows"))
+        limits = {s.name: s.limit for s in self.named() if s.limit}
+        if not limits:
+            return found
+        most = F.coalesce(*[F.when(F.col("group_name") == n, F.lit(m)) for n, m in limits.items()])
+        return found.withColumn("n_rows", F.least("n_rows", most.cast("bigint")))
 
     # -- helpers -------------------------------------------------------------
 

@@ -100,8 +100,8 @@ def group_all_tagged(spark, folder):
 @query(
     "group_counts",
     " UNION ALL ".join(
-        f"SELECT '{n}' AS group_name, count(*) AS n_rows FROM part WHERE {w}"
-        for n, w in (("cheap_small", CHEAP), ("promo", PROMO), ("top_sizes", TOP))
+        f"SELECT '{n}' AS group_name, least(count(*), {most}) AS n_rows FROM part WHERE {w}"
+        for n, w, most in (("cheap_small", CHEAP, "count(*)"), ("promo", PROMO, "count(*)"), ("top_sizes", TOP, 25))
     ),
 )
 def group_counts(spark, folder):

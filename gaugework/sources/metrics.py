@@ -60,10 +60,19 @@ def from_table(
     return MetricFrame(df.select(*columns), ts, tuple(metrics))
 
 
-def read_text(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
-    """A header CSV as text columns, missing texts as NULL."""
+def read_text(spark: SparkSession, path: str | Sequence[str], multi_line: bool = False) -> DataFrame:
+    """A header CSV as text columns, missing texts as NULL; quotes inside cells are doubled.
+
+    Files of one header are one scan; files whose columns differ or stand in another order are
+    joined by column name. ``multi_line`` lets cells hold line breaks, and files are then not split.
+    """
     paths = [path] if isinstance(path, str) else list(path)
-    raw = spark.read.option("header", True).csv(paths)
+    reader = spark.read.options(header=True, escape='"', multiLine=multi_line)
+    headers: dict[tuple, list[str]] = {}
+    for one in paths:
+        headers.setdefault(tuple(reader.csv(one).columns) if len(paths) > 1 else (), []).append(one)
+    scans = [spark.read.options(header=True, escape='"', multiLine=multi_line).csv(group) for group in headers.values()]
+    raw = functools.reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), scans)
     return raw.select(*[_present(quoted(c)).alias(c) for c in raw.columns])
 
 

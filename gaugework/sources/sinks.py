@@ -8,12 +8,14 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 from gaugework.functions.scalars import float_text, quoted, two_decimals
 
+# Cells keep their white space; quotes are doubled.
+CSV_OPTIONS = {"header": True, "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
 FLOATS = (T.DoubleType, T.FloatType)
 
 
 def write_csv(df: DataFrame, path: str) -> str:
     """A header CSV folder, full precision."""
-    df.write.mode("overwrite").option("header", True).csv(path)
+    df.write.mode("overwrite").options(**CSV_OPTIONS).csv(path)
     return path
 
 
@@ -38,7 +40,7 @@ def save_groups(reports: Mapping[str, DataFrame], file_prefix: str, folder: str)
 
 def save_tagged(tagged: DataFrame, folder: str) -> str:
     """All groups in one write, a folder per ``group_name``."""
-    rounded_text(tagged).write.mode("overwrite").partitionBy("group_name").option("header", True).csv(folder)
+    rounded_text(tagged).write.mode("overwrite").partitionBy("group_name").options(**CSV_OPTIONS).csv(folder)
     return folder
 
 

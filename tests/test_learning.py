@@ -201,19 +201,18 @@ def test_squared_silhouette_equals_spark_evaluator(spark):
 
     df, names = table(spark, blobs(60, spread=2.0))
     model = kmeans.fit(df, "key", names, 4, starts=2)
-    mine = kmeans.silhouettes(df, names, [model], exact_rows=0)[0]
+    mine = kmeans.silhouettes(df, names, [model])[0]
     vectors = VectorAssembler(inputCols=names, outputCol="features").transform(kmeans.assign(df, names, model, "prediction"))
     assert math.isclose(mine, ClusteringEvaluator().evaluate(vectors), rel_tol=1e-6)
 
 
-def test_elbow(spark):
-    curve = spark.createDataFrame([(2, 100.0), (3, 20.0), (4, 18.0), (5, 17.5)], "k int, wcss double")
-    wcss = [100.0, 20.0, 18.0, 17.5]
-    angles = []
-    for i in (1, 2):
-        up, down = np.array([1, wcss[i - 1] - wcss[i]]), np.array([1, wcss[i + 1] - wcss[i]])
-        angles.append(math.acos(np.clip(up @ down / np.linalg.norm(up) / np.linalg.norm(down), -1, 1)))
-    assert kmeans.elbow(curve).first()["k"] == 3 + int(np.argmax(angles))
+@pytest.mark.parametrize(
+    ("wcss", "bend"),
+    [([100.0, 20.0, 18.0, 17.5], 3), ([10.0, 9.9, 5.0, 1.0], 4), ([50.0, 40.0, 10.0, 9.0], 3)],  # worked by hand
+)
+def test_elbow(spark, wcss, bend):
+    curve = spark.createDataFrame([(k, w) for k, w in enumerate(wcss, start=2)], "k int, wcss double")
+    assert kmeans.elbow(curve).first()["k"] == bend
 
 
 # -- together -----------------------------------------------------------------------------------------
