@@ -10,6 +10,7 @@ a logistic model of their sums and maximum, fitted on the sample, gives the docu
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -206,6 +207,13 @@ def field_marginals(field: Field, lookup: Lookup, tokens: Tokens) -> np.ndarray:
     return Chains(tokens.chains).marginals(odds_of(lookup(tokens.parts), field.weights, field.bias), field.start, field.move)
 
 
+def document_scores(field: Field, x: np.ndarray) -> np.ndarray:
+    """The scores of texts with the summaries ``x``."""
+    if not len(field.logistic):
+        return np.full(len(x), field.rate)
+    return 1 / (1 + np.exp(-np.clip(np.column_stack([x, np.ones(len(x))]) @ field.logistic, -30, 30)))
+
+
 def labelled_sample(labels: DataFrame, label: str, chosen: Column, rows: int, doc_id: str = "doc_id") -> DataFrame:
     """At most ``rows`` labelled ids of the chosen ones, by hash order; repeated ids count once, as their largest label."""
     known = labels.filter(F.col(label).isNotNull() & F.col(doc_id).isNotNull() & chosen)
@@ -334,11 +342,8 @@ def _scorer(field: Field, schema: pa.Schema, name: str, level: float):
             for first, texts in chunks(same_length_lower(t) for t in strings(batch.column(name))):
                 tokens = tokenize(hasher, texts)
                 p = field_marginals(field, lookup, tokens)
-                x = np.column_stack([summary(p, tokens.texts), np.ones(len(texts))])
-                if len(field.logistic):
-                    score = 1 / (1 + np.exp(-np.clip(x @ field.logistic, -30, 30)))
-                else:
-                    score = np.full(len(texts), field.rate)
+                x = summary(p, tokens.texts)
+                score = document_scores(field, x)
                 own = rest.slice(first, len(texts))
                 hot = x[:, 0] >= level
                 found = [spans(p, tokens, k) if hot[k] else [] for k in range(len(texts))]
@@ -360,11 +365,25 @@ def score(docs: DataFrame, field: Field, doc_id: str = "doc_id", text: str = "te
     return source.mapInArrow(_scorer(field, arrow_schema(fields), "_text", level), fields)
 
 
+def _judge(field: Field):
+    """Scores of texts, as a function for ``arrow_udf``."""
+
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        hasher, lookup = WordHasher(words_only=True), Lookup(field.keys)
+        for batch in batches:
+            found = [np.zeros(0)]
+            for _, texts in chunks(same_length_lower(t) for t in strings(batch)):
+                tokens = tokenize(hasher, texts)
+                found.append(document_scores(field, summary(field_marginals(field, lookup, tokens), tokens.texts)))
+            yield pa.array(np.concatenate(found), pa.float64())
+
+    return run
+
+
 def without_toxic(docs: DataFrame, field: Field, reject: float = 0.5, text: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose score is below ``reject``, with all their columns."""
-    fields = "_score double, spans array<struct<start:int,stop:int,score:double>>"
-    names = docs.columns
-    inner = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)], F.col(text).cast("string").alias("_text"))
-    kept = ", ".join(f"c{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(names))
-    scored = inner.mapInArrow(_scorer(field, arrow_schema(f"{kept}, {fields}"), "_text", 0.5), f"{kept}, {fields}")
-    return scored.filter(F.col("_score") < reject).select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(names)])
+    """The rows of ``docs`` whose score is below ``reject``, with all their columns.
+
+    Only the texts go to Python, and only their scores come back.
+    """
+    judge = F.arrow_udf(_judge(field), "double")
+    return docs.filter(judge(F.col(f"`{text}`").cast("string")) < reject)
