@@ -9,101 +9,120 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from gaugework.functions.scalars import non_zero, quoted
+from gaugework.session import stored
 from gaugework.sources.metrics import MetricFrame
 
-# Above this many metrics the pair aggregates no longer fit one generated method.
-PAIR_LIMIT = 12
+CELLS = 1 << 20  # pairs that one scan adds up
+STEADY = 1e-6  # share of a column's variance below which a pair's sums lose digits
+SUMS = ("n", "sa", "sb", "saa", "sbb", "sab")
 
 
-def correlation(frame: MetricFrame, pair_limit: int = PAIR_LIMIT) -> DataFrame:
+def correlation(frame: MetricFrame) -> DataFrame:
     """``metric_a, metric_b, corr`` for every ordered pair, diagonal included.
 
-    A pair without variation on its common rows has a NULL correlation.
+    A pair without variation on its common rows has a NULL correlation. Every task adds up
+    masked product sums and one shuffle adds the tasks. Values are shifted by the column means
+    and divided by the column deviations first; the few pairs whose common rows vary far less
+    than their columns are added up once more around the means of their common rows.
     """
-    if len(frame.metrics) <= pair_limit:
-        half = _pair_aggregates(frame)
-    else:
-        half = _product_sums(frame)
-    other = half.where("metric_a <> metric_b").select(
-        F.col("metric_b").alias("metric_a"), F.col("metric_a").alias("metric_b"), "corr"
-    )
-    return half.unionByName(other)
+    names = list(frame.metrics)
+    masked = frame.df.select(*[non_zero(quoted(m)).cast("double").alias(f"m{i}") for i, m in enumerate(names)])
+    totals = stored(_product_sums(masked, len(names)))
+    spread_a, spread_b = F.expr("saa - sa * sa / n"), F.expr("sbb - sb * sb / n")
+    steady = (F.col("n") > 1) & (spread_a > STEADY * F.col("n")) & (spread_b > STEADY * F.col("n"))
+    doubtful = totals.where((F.col("n") > 1) & ~steady).select("a", "b", "n", "mean_a", "mean_b").toPandas()
+    half = totals.select("a", "b", F.when(steady, _coefficient(spread_a, spread_b)).alias("corr"))
+    if len(doubtful):
+        again = _centred_sums(masked, doubtful).withColumnRenamed("corr", "centred")
+        half = half.join(again, ["a", "b"], "left").select("a", "b", F.coalesce("corr", "centred").alias("corr"))
+    label = F.array(*[F.lit(n) for n in names])
+    half = half.select(F.get(label, "a").alias("metric_a"), F.get(label, "b").alias("metric_b"), "corr")
+    both = F.array(F.struct("metric_a", "metric_b", "corr"), F.struct(F.col("metric_b").alias("metric_a"), F.col("metric_a").alias("metric_b"), "corr"))
+    sides = F.when(F.col("metric_a") == F.col("metric_b"), F.slice(both, 1, 1)).otherwise(both)
+    return half.select(F.inline(sides))
 
 
-def correlation_wide(frame: MetricFrame, pair_limit: int = PAIR_LIMIT) -> DataFrame:
+def correlation_wide(frame: MetricFrame) -> DataFrame:
     """The matrix with one row per metric and one column per metric."""
-    long = correlation(frame, pair_limit)
-    wide = long.groupBy("metric_a").pivot("metric_b", list(frame.metrics)).agg(F.first("corr"))
+    wide = correlation(frame).groupBy("metric_a").pivot("metric_b", list(frame.metrics)).agg(F.first("corr"))
     return wide.withColumnRenamed("metric_a", "metric_name")
 
 
-def _pair_aggregates(frame: MetricFrame) -> DataFrame:
-    names = frame.metrics
-    masked = frame.df.select(*[non_zero(quoted(m)).alias(f"m{i}") for i, m in enumerate(names)])
-    pairs = [(i, j) for i in range(len(names)) for j in range(i, len(names))]
-    aggregates = []
-    for i, j in pairs:
-        a, b = F.col(f"m{i}"), F.col(f"m{j}")
-        both = a.isNotNull() & b.isNotNull()
-        a, b = F.when(both, a), F.when(both, b)
-        spread = F.stddev_samp(a) * F.stddev_samp(b)
-        aggregates.append(F.try_divide(F.covar_samp(a, b), spread).alias(f"r{i}_{j}"))
-    row = masked.agg(*aggregates)
-    lines = [
-        F.struct(
-            F.lit(names[i]).alias("metric_a"),
-            F.lit(names[j]).alias("metric_b"),
-            F.col(f"r{i}_{j}").alias("corr"),
-        )
-        for i, j in pairs
-    ]
-    return row.select(F.inline(F.array(*lines)))
-
-
-def _product_sums(frame: MetricFrame) -> DataFrame:
-    """Many metrics: each task adds up masked product sums, one shuffle adds the tasks.
-
-    Values are shifted by the column means and divided by the column deviations
-    first, so that the sums stay well conditioned.
+def _coefficient(spread_a, spread_b):
+    raw = F.expr("sab - sa * sb / n") / F.sqrt(spread_a * spread_b)
+    return F.greatest(F.lit(-1.0), F.least(F.lit(1.0), raw))
+
+
+def _product_sums(masked: DataFrame, size: int) -> DataFrame:
+    """Per pair the sums of scaled values and the raw means on the common rows.
+
+    Wide tables are added up in bands of metrics, so that a task holds ``CELLS`` pairs at most.
     """
-    names = list(frame.metrics)
-    masked = frame.df.select(*[non_zero(quoted(m)).alias(f"m{i}") for i, m in enumerate(names)])
-    size = len(names)
-    scales = masked.agg(
-        *[F.avg(f"m{i}") for i in range(size)], *[F.stddev_pop(f"m{i}") for i in range(size)]
-    ).first()
+    names = masked.columns
+    scales = masked.agg(*[F.avg(m) for m in names], *[F.stddev_pop(m) for m in names]).first()
     mean = np.array([0.0 if v is None else v for v in scales[:size]])
     spread = np.array([1.0 if not v else v for v in scales[size:]])
 
+    def band(lo: int, hi: int):
+        def partial_sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            sums = np.zeros((len(SUMS), hi - lo, size - lo))
+            for batch in batches:
+                x = (batch.to_numpy(dtype=float) - mean[lo:]) / spread[lo:]
+                present = (~np.isnan(x)).astype(float)
+                x = np.nan_to_num(x)
+                square = x * x
+                own, own_present, own_square = x[:, : hi - lo].T, present[:, : hi - lo].T, square[:, : hi - lo].T
+                sums[0] += own_present @ present
+                sums[1] += own @ present
+                sums[2] += own_present @ x
+                sums[3] += own_square @ present
+                sums[4] += own_present @ square
+                sums[5] += own @ x
+            a, b = np.triu_indices(hi - lo, m=size - lo)
+            yield pd.DataFrame({"a": a + lo, "b": b + lo, **{name: sums[k][a, b] for k, name in enumerate(SUMS)}})
+
+        return masked.select(*names[lo:]).mapInPandas(partial_sums, schema)
+
+    schema = "a int, b int, " + ", ".join(f"{s} double" for s in SUMS)
+    height = max(1, CELLS // size)
+    parts = [band(lo, min(lo + height, size)) for lo in range(0, size, height)]
+    whole = parts[0]
+    for part in parts[1:]:
+        whole = whole.union(part)
+    total = whole.groupBy("a", "b").agg(*[F.sum(s).alias(s) for s in SUMS])
+    means, spreads = (F.array(*[F.lit(float(v)) for v in values]) for values in (mean, spread))
+
+    def raw(side: str):
+        return F.get(means, side) + F.get(spreads, side) * F.try_divide(f"s{side}", "n")
+
+    return total.withColumns({"mean_a": raw("a"), "mean_b": raw("b")})
+
+
+def _centred_sums(masked: DataFrame, pairs: pd.DataFrame) -> DataFrame:
+    """``a, b, corr`` of the given pairs, added up around the means of their common rows."""
+    fields = (*SUMS[1:], "low_a", "high_a", "low_b", "high_b")
+
     def partial_sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sums = np.zeros((6, size, size))
+        total = np.zeros((len(fields), len(pairs)))
+        total[[5, 7]], total[[6, 8]] = np.inf, -np.inf
+        a, b = pairs["a"].to_numpy(), pairs["b"].to_numpy()
+        mean_a, mean_b = pairs["mean_a"].to_numpy(), pairs["mean_b"].to_numpy()
         for batch in batches:
-            x = (batch.to_numpy(dtype=float) - mean) / spread
-            present = (~np.isnan(x)).astype(float)
-            x = np.nan_to_num(x)
-            square = x * x
-            sums[0] += present.T @ present
-            sums[1] += x.T @ present
-            sums[2] += present.T @ x
-            sums[3] += square.T @ present
-            sums[4] += present.T @ square
-            sums[5] += x.T @ x
-        a, b = np.triu_indices(size)
-        yield pd.DataFrame(
-            {"a": a, "b": b, **{f"s{k}": sums[k][a, b] for k in range(6)}}
-        )
-
-    schema = "a int, b int, " + ", ".join(f"s{k} double" for k in range(6))
-    total = masked.mapInPandas(partial_sums, schema).groupBy("a", "b").agg(
-        *[F.sum(f"s{k}").alias(f"s{k}") for k in range(6)]
-    )
-    n, sa, sb, saa, sbb, sab = (F.col(f"s{k}") for k in range(6))
-    cross = n * sab - sa * sb
-    spread_a, spread_b = n * saa - sa * sa, n * sbb - sb * sb
-    # a constant pair leaves only rounding noise of the shifted values
-    varies = (spread_a > 1e-12 * n * n) & (spread_b > 1e-12 * n * n) & (n > 1)
-    corr = F.when(varies, F.greatest(F.lit(-1.0), F.least(F.lit(1.0), cross / F.sqrt(spread_a * spread_b))))
-    label = F.array(*[F.lit(n) for n in names])
-    return total.select(
-        F.get(label, F.col("a")).alias("metric_a"), F.get(label, F.col("b")).alias("metric_b"), corr.alias("corr")
-    )
+            values = batch.to_numpy(dtype=float)
+            for lo in range(0, len(pairs), 256):
+                at = slice(lo, lo + 256)
+                x, y = values[:, a[at]], values[:, b[at]]
+                common = ~(np.isnan(x) | np.isnan(y))
+                u, v = np.where(common, x - mean_a[at], 0.0), np.where(common, y - mean_b[at], 0.0)
+                total[:5, at] += [u.sum(axis=0), v.sum(axis=0), (u * u).sum(axis=0), (v * v).sum(axis=0), (u * v).sum(axis=0)]
+                for row, side in ((5, x), (7, y)):
+                    total[row, at] = np.minimum(total[row, at], np.where(common, side, np.inf).min(axis=0, initial=np.inf))
+                    total[row + 1, at] = np.maximum(total[row + 1, at], np.where(common, side, -np.inf).max(axis=0, initial=-np.inf))
+        yield pd.DataFrame({"a": a, "b": b, "n": pairs["n"].to_numpy(), **dict(zip(fields, total))})
+
+    schema = "a int, b int, n double, " + ", ".join(f"{f} double" for f in fields)
+    ways = [F.min(f).alias(f) if f.startswith("low") else F.max(f).alias(f) if f.startswith("high") else F.sum(f).alias(f) for f in fields]
+    total = masked.mapInPandas(partial_sums, schema).groupBy("a", "b", "n").agg(*ways)
+    spread_a, spread_b = F.expr("saa - sa * sa / n"), F.expr("sbb - sb * sb / n")
+    varies = (F.col("low_a") < F.col("high_a")) & (F.col("low_b") < F.col("high_b")) & (spread_a > 0) & (spread_b > 0)
+    return total.select("a", "b", F.when(varies, _coefficient(spread_a, spread_b)).alias("corr"))

@@ -1,9 +1,12 @@
 """k-means with many starts and many k in shared passes, and the choice of k.
 
-Starts are drawn from and first settled on a bounded sample, one task per start.
-From there every pass reads all rows, assigns each to the nearest centre of all
-models still moving and adds up the new centres map-side, so ten starts of nine
-sizes cost as many scans as the slowest single fit.
+Starts come from a few oversampling passes over all rows: each pass draws rows in
+proportion to their squared distance from what was drawn before, the last one counts
+the rows nearest to each drawn one. First centres are chosen among these weighted
+candidates, whose number depends on k alone. From there every pass reads all rows,
+assigns each to the nearest centre of all models still moving and adds up the new
+centres map-side, so ten starts of nine sizes cost as many scans as the slowest
+single fit. The passes are the same for tables of every size.
 """
 
 from __future__ import annotations
@@ -13,14 +16,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from gaugework.functions.scalars import quoted
 
 STARTS = 10
 MAX_PASSES = 300
 TOLERANCE = 1e-4
-SEED_ROWS = 16_384
+DRAW_PASSES = 4
 
 
 @dataclass(frozen=True)
@@ -59,9 +62,9 @@ def fit_many(
     if max(ks) > rows:
         raise ValueError(f"{max(ks)} clusters need at least as many rows, found {rows}")
     tolerance = TOLERANCE * float(np.mean(variances))
-    seeds = _seed_points(points, len(columns), rows, seed)
+    candidates = _candidates(points, len(columns), starts, 2 * max(ks), seed)
     slots = [(k, s) for k in ks for s in range(starts)]
-    centers = _starts(df.sparkSession, seeds, slots, seed)
+    centers = [_settled(*candidates[s], k, np.random.default_rng([seed, k, s])) for k, s in slots]
     models: list[Model | None] = [None] * len(slots)
     moving = list(range(len(slots)))
     for step in range(MAX_PASSES + 1):
@@ -86,54 +89,80 @@ def fit_many(
     return [best[k] for k in ks]
 
 
-def _seed_points(points: DataFrame, size: int, rows: int, seed: int) -> np.ndarray:
-    """A hash sample of at most ``SEED_ROWS`` rows to place the first centres.
+def _candidates(points: DataFrame, size: int, starts: int, per_pass: int, seed: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Per start the weighted candidates: means and sizes of the cells around the drawn rows."""
+    drawn = [np.zeros((0, size)) for _ in range(starts)]
+    for step in range(DRAW_PASSES + 1):
+        found = _draw(points, size, drawn, per_pass, F.xxhash64(*points.columns, F.lit(seed), F.lit(step)))
+        drawn = [np.vstack([old, new]) for old, new in zip(drawn, found)]
+    cells = []
+    for sizes, sums, _, _ in _pass(points, size, drawn):
+        filled = sizes > 0
+        cells.append((sums[filled] / sizes[filled, None], sizes[filled]))
+    return cells
 
-    Only starting points come from it; every pass of the fit reads all rows.
+
+def _draw(points: DataFrame, size: int, drawn: list[np.ndarray], wanted: int, number: Column) -> list[np.ndarray]:
+    """Per start ``wanted`` rows, drawn without replacement by their squared distance from ``drawn``.
+
+    The rows with the largest ``log(u) / weight`` are such a draw, so every task hands on
+    its best ``wanted`` rows only. ``u`` comes from the row's hash, not from its place.
     """
-    space = 1 << 30
-    draw = F.pmod(F.xxhash64("row_key", F.lit(seed)), F.lit(space))
-    keep = space if rows <= 2 * SEED_ROWS else int(space * 2.0 * SEED_ROWS / rows) + 1
     names = [f"x{i}" for i in range(size)]
-    chosen = points.where(draw < keep).orderBy(draw, "row_key").limit(SEED_ROWS)
-    return chosen.select(*names).toPandas().to_numpy(float)
+    offsets = np.cumsum([0] + [len(d) for d in drawn])
+    stacked = np.vstack(drawn)
 
+    def best_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        best = [(np.zeros(0), np.zeros((0, size))) for _ in drawn]
+        for batch in batches:
+            x = batch[names].to_numpy(float)
+            hashed = batch["number"].to_numpy(np.int64).view(np.uint64)
+            distance = _distances(x, stacked)
+            for start, (lo, hi) in enumerate(zip(offsets[:-1], offsets[1:])):
+                weight = distance[:, lo:hi].min(axis=1) if hi > lo else np.ones(len(x))
+                draw = _log_uniform(hashed, start) / np.maximum(weight, 1e-300)
+                draw = np.concatenate([best[start][0], draw])
+                order = np.argsort(-draw, kind="stable")[:wanted]
+                best[start] = draw[order], np.vstack([best[start][1], x])[order]
+        for start, (draw, x) in enumerate(best):
+            yield pd.DataFrame({"start": np.full(len(draw), start), "draw": draw, "x": list(x)})
+
+    rows = points.select(number.alias("number"), *names).mapInPandas(best_rows, "start int, draw double, x array<double>")
+    place = F.row_number().over(Window.partitionBy("start").orderBy(F.col("draw").desc(), "x"))
+    chosen = rows.withColumn("place", place).where(F.col("place") <= wanted).toPandas().sort_values(["start", "place"])
+    by_start = [chosen.loc[chosen["start"] == start, "x"].tolist() for start in range(len(drawn))]
+    return [np.array(x, float).reshape(-1, size) for x in by_start]
+
+
+def _log_uniform(hashed: np.ndarray, start: int) -> np.ndarray:
+    """Logarithms of uniform numbers in (0, 1), other ones for every start."""
+    x = hashed + np.uint64((start + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return np.log(((x >> np.uint64(11)).astype(float) + 0.5) / (1 << 53))
+
+
+def _settled(points: np.ndarray, weights: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
+    """First centres among weighted candidates, settled on these."""
+    centers = _spread_seeds(points, weights, k, rng)
+    for _ in range(MAX_PASSES):
+        member = np.eye(k)[_distances(points, centers).argmin(axis=1)] * weights[:, None]
+        sizes = member.sum(axis=0)[:, None]
+        moved = np.divide(member.T @ points, sizes, out=centers.copy(), where=sizes > 0)
+        if np.array_equal(moved, centers):
+            break
+        centers = moved
+    return centers
 
-def _starts(
-    spark: SparkSession, seeds: np.ndarray, slots: Sequence[tuple[int, int]], seed: int
-) -> list[np.ndarray]:
-    """Centres per slot, settled on the seed rows; the slots are spread over the tasks."""
 
-    def settle(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            found = []
-            for i in batch["id"]:
-                k, start = slots[i]
-                centers = _spread_seeds(seeds, k, np.random.default_rng([seed, k, start]))
-                for _ in range(MAX_PASSES):
-                    member = np.eye(k)[_distances(seeds, centers).argmin(axis=1)]
-                    sizes = member.sum(axis=0)[:, None]
-                    moved = np.divide(member.T @ seeds, sizes, out=centers.copy(), where=sizes > 0)
-                    at_rest = np.array_equal(moved, centers)
-                    centers = moved
-                    if at_rest:
-                        break
-                found.append(centers.ravel())
-            yield pd.DataFrame({"id": batch["id"], "centers": found})
-
-    tasks = min(len(slots), spark.sparkContext.defaultParallelism)
-    rows = spark.range(0, len(slots), 1, tasks).mapInPandas(settle, "id long, centers array<double>").collect()
-    settled = {r["id"]: np.array(r["centers"]).reshape(slots[r["id"]][0], -1) for r in rows}
-    return [settled[i] for i in range(len(slots))]
-
-
-def _spread_seeds(points: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
+def _spread_seeds(points: np.ndarray, weights: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
     """First centres by squared-distance draws (k-means++)."""
-    centers = [points[rng.integers(len(points))]]
+    centers = [points[rng.choice(len(points), p=weights / weights.sum())]]
     nearest = ((points - centers[0]) ** 2).sum(axis=1)
     while len(centers) < k:
-        total = nearest.sum()
-        pick = rng.choice(len(points), p=nearest / total) if total > 0 else rng.integers(len(points))
+        share = nearest * weights
+        total = share.sum()
+        pick = rng.choice(len(points), p=share / total) if total > 0 else rng.integers(len(points))
         centers.append(points[pick])
         nearest = np.minimum(nearest, ((points - centers[-1]) ** 2).sum(axis=1))
     return np.array(centers)

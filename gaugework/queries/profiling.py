@@ -142,11 +142,18 @@ def correlation_wide(spark, folder):
     return rounded(correlation.correlation_wide(I.line_metrics(spark, folder)))
 
 
-@query("correlation_many", f"WITH {I.VECTORS} " + _correlation_long("vectors", I.FEATURES[:16]))
+@query(
+    "correlation_many",
+    f"""WITH {I.VECTORS}, cells AS (
+        SELECT vec_id, metric, nullif(v, 0)::DOUBLE AS v FROM (UNPIVOT vectors ON {", ".join(I.FEATURES)} INTO NAME metric VALUE v)
+    )
+    SELECT x.metric AS metric_a, y.metric AS metric_b, {_corr("x.v", "y.v")} AS corr
+    FROM cells x JOIN cells y USING (vec_id) GROUP BY ALL""",
+)
 def correlation_many(spark, folder):
-    """More metrics than pair aggregates take: the product-sum path."""
+    """All components of the vectors."""
     df = I.vectors(spark, folder)
-    frame = MetricFrame(df.select("vec_id", *I.FEATURES[:16]), "vec_id", tuple(I.FEATURES[:16]))
+    frame = MetricFrame(df.select("vec_id", *I.FEATURES), "vec_id", tuple(I.FEATURES))
     return rounded(correlation.correlation(frame))
 
 

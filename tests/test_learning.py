@@ -163,11 +163,19 @@ def test_kmeans_separates_blobs(spark):
     assert math.isclose(model.cost, expected, rel_tol=1e-6)
 
 
-def test_kmeans_beyond_the_seed_rows(spark, monkeypatch):
-    monkeypatch.setattr(kmeans, "SEED_ROWS", 30)
-    df, names = table(spark, blobs())
-    model = kmeans.fit(df, "key", names, 3)
-    assert sorted(model.sizes) == [120, 120, 120]
+def test_kmeans_starts_do_not_depend_on_partitions(spark):
+    x = np.concatenate([blobs(), np.tile(blobs()[:1], (300, 1))])  # nearly half of the rows are copies
+    df, names = table(spark, x)
+    models = [kmeans.fit(df.repartition(parts), "key", names, 3) for parts in (1, 7)]
+    assert sorted(models[0].sizes) == [120, 120, 420]
+    one, seven = (m.centers[m.centers[:, 0].argsort()] for m in models)  # clusters have no order yet
+    np.testing.assert_allclose(one, seven)
+
+
+def test_kmeans_of_fewer_values_than_clusters(spark):
+    df, names = table(spark, np.repeat([[0.0, 0.0], [4.0, 4.0]], 5, axis=0))
+    model = kmeans.fit(df, "key", names, 3, starts=2)
+    assert model.cost < 1e-9 and model.sizes.sum() == 10
 
 
 def exact_silhouette(x, label):

@@ -105,20 +105,19 @@ def correlations(df):
     return {(r["metric_a"], r["metric_b"]): r["corr"] for r in df.collect()}
 
 
-@pytest.mark.parametrize("pair_limit", [12, 1])
-def test_correlation_masks_zeros_and_constants(spark, pair_limit):
+def test_correlation_masks_zeros_and_constants(spark):
     rows = [(i, float(a), float(b), 7.0) for i, (a, b) in enumerate(zip([1, 2, 0, 4, 5], [2, 0, 3, 9, 10]))]
     frame = from_table(spark.createDataFrame(rows, "t long, a double, b double, c double"))
-    got = correlations(C.correlation(frame, pair_limit))
+    got = correlations(C.correlation(frame))
     assert len(got) == 9
     assert math.isclose(got["a", "b"], 0.99187, abs_tol=1e-5) and got["a", "b"] == got["b", "a"]
     assert math.isclose(got["a", "a"], 1.0)
     assert got["a", "c"] is None and got["c", "c"] is None
-    wide = {r["metric_name"]: r for r in C.correlation_wide(frame, pair_limit).collect()}
+    wide = {r["metric_name"]: r for r in C.correlation_wide(frame).collect()}
     assert math.isclose(wide["b"]["a"], got["a", "b"]) and wide["c"]["a"] is None
 
 
-def test_correlation_paths_agree_with_pandas(spark):
+def test_correlation_agrees_with_pandas(spark, monkeypatch):
     rng = np.random.default_rng(3)
     base = rng.normal(1e6, 1, (400, 1))
     pdf = pd.DataFrame(base + rng.normal(size=(400, 5)), columns=list("abcde"))
@@ -126,11 +125,30 @@ def test_correlation_paths_agree_with_pandas(spark):
     expected = pdf.corr()
     pdf.insert(0, "t", range(400))
     frame = from_table(spark.createDataFrame(pdf))
-    for limit in (12, 1):
-        for (a, b), value in correlations(C.correlation(frame, limit)).items():
+    for cells in (C.CELLS, 10):  # one band of metrics, and several
+        monkeypatch.setattr(C, "CELLS", cells)
+        found = correlations(C.correlation(frame))
+        assert len(found) == 25
+        for (a, b), value in found.items():
             assert math.isclose(value, expected.loc[a, b], abs_tol=1e-9)
 
 
+def test_correlation_of_a_nearly_constant_pair_at_any_width(spark):
+    rng = np.random.default_rng(8)
+    pdf = pd.DataFrame(rng.normal(size=(300, 13)) + 5, columns=list("abcdefghijklm"))
+    a, b = np.full(300, np.nan), np.full(300, np.nan)
+    a[:20] = 1000 + 1e-5 * np.arange(20)
+    a[20:], b[:20] = rng.normal(0, 1e5, 280), a[:20] * 2 + 1e-6 * rng.normal(size=20)
+    pdf["a"], pdf["b"] = a, b
+    pdf["c"] = np.where(np.arange(300) < 20, 0.1, pdf["c"])
+    expected = pdf["a"][:20].corr(pdf["b"][:20])
+    for width in (12, 13):
+        frame = from_table(spark.createDataFrame(pdf.iloc[:, :width].reset_index(names="t")))
+        found = correlations(C.correlation(frame))
+        assert math.isclose(found["a", "b"], expected, abs_tol=1e-6) and expected > 0.9
+        assert found["c", "b"] is None and math.isclose(found["b", "b"], 1.0)
+
+
 def test_csv_types_and_missing_texts(spark, tmp_path):
     (tmp_path / "m.csv").write_text(
         "timestamp,a.b,flag,gap,text,whole\n"
