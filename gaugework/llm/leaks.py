@@ -4,8 +4,11 @@ Documents are read as words (runs of letters and digits, lower case). A window o
 long as a benchmark item. Only windows that share at least one shingle with the benchmark can be
 similar to an item at all; each of these gets a 64-bit SimHash of its words, by running sums per
 bit. The fingerprints of the items of a length are indexed by ``RADIUS + 1`` blocks of bits: two
-fingerprints within ``RADIUS`` bits agree in a whole block, so none is missed. Candidates within the
-radius are verified by the exact weighted Jaccard similarity of their shingles (weight: occurrences).
+fingerprints within ``RADIUS`` bits agree in a whole block, so none is missed. Fingerprints of similar
+windows can be further apart. So every window with enough benchmark shingles to be similar is also a
+candidate for the items of which it holds an anchor: a similar window holds one of any ``anchors(n)``
+shingles of the item, and the rarest ones are taken. All candidates are verified by the exact
+weighted Jaccard similarity of their shingles (weight: occurrences), so no similar window is missed.
 """
 
 from __future__ import annotations
@@ -38,11 +41,24 @@ def fingerprints(words: np.ndarray, starts: np.ndarray, lengths: np.ndarray) ->
     return out
 
 
+def least_shared(own: int, window: np.ndarray, threshold: float) -> np.ndarray:
+    """Shingles that an item of ``own`` shingles and a window must share to be similar."""
+    return np.ceil(threshold * (own + window) / (1 + threshold) - 1e-9)
+
+
+def anchors(own: int, threshold: float) -> int:
+    """So many shingles of an item that a similar window, of any size, holds at least one of them."""
+    return own - max(math.ceil(threshold * own - 1e-9), 1) + 1
+
+
 class LengthIndex:
-    """The items of one number of words, by blocks of their fingerprints."""
+    """The items of one number of words, by blocks of their fingerprints and by their anchors."""
 
-    def __init__(self, items: np.ndarray, prints: np.ndarray):
+    def __init__(self, items: np.ndarray, prints: np.ndarray, rare: list[np.ndarray]):
         self.items, self.prints = items, prints
+        names, places = np.concatenate(rare), np.repeat(np.arange(len(items)), [len(r) for r in rare])
+        order = np.argsort(names, kind="stable")
+        self.anchors, self.anchored = names[order], places[order]
         cuts = [round(64 * k / (RADIUS + 1)) for k in range(RADIUS + 2)]
         self.blocks = []
         for a, b in zip(cuts, cuts[1:]):
@@ -52,7 +68,7 @@ class LengthIndex:
             self.blocks.append((shift, mask, values[order], order))
 
     def candidates(self, windows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(window, item) places of all pairs within the radius."""
+        """(window, item) places, window x items + item, of all pairs within the radius."""
         pairs = []
         for shift, mask, values, order in self.blocks:
             wanted = (windows >> shift) & mask
@@ -62,30 +78,56 @@ class LengthIndex:
             place = order[np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low, n)]
             near = np.bitwise_count(windows[at] ^ self.prints[place]) <= RADIUS
             pairs.append(at[near] * len(self.items) + place[near])
-        found = np.unique(np.concatenate(pairs))
-        return found // len(self.items), found % len(self.items)
+        return np.unique(np.concatenate(pairs))
+
+    def holding(self, hit: np.ndarray, names: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
+        """(window, item) places of all pairs whose window holds an anchor of the item.
+
+        ``names`` are the shingles at the words ``hit``; windows are in order, each has the
+        shingles from its start to before its stop, and stops never decrease.
+        """
+        low, high = np.searchsorted(self.anchors, names, "left"), np.searchsorted(self.anchors, names, "right")
+        held = high > low
+        hit, low, high = hit[held], low[held], high[held]
+        first, last = np.searchsorted(stops, hit, "right"), np.searchsorted(starts, hit, "right")
+        inside = last > first
+        low, n, first, many = low[inside], (high - low)[inside], first[inside], (last - first)[inside]
+        pairs = [np.zeros(0, np.int64)]
+        for a, b, w, m in zip(low, n, first, many):
+            pairs.append(np.unique((np.arange(w, w + m)[:, None] * len(self.items) + self.anchored[a : a + b]).ravel()))
+        return np.unique(np.concatenate(pairs))
 
 
 class BenchmarkIndex:
     """The items of one broadcast block."""
 
-    def __init__(self, texts: list[str | None], k: int):
+    def __init__(self, texts: list[str | None], k: int, threshold: float):
         words, bounds = WordHasher(words_only=True)([(t or "").lower().encode("utf-8", "surrogatepass") for t in texts])
         lengths = np.diff(bounds)
-        self.k, self.shingles, self.lengths = k, {}, {}
+        self.k, self.threshold, self.shingles, self.lengths = k, threshold, {}, {}
         prints = fingerprints(words, bounds[:-1], lengths)
         self.sets: list = [None] * len(texts)
         for n in np.unique(lengths[lengths > 0]):
             items = np.flatnonzero(lengths == n)
-            self.lengths[int(n)] = LengthIndex(items, prints[items])
             size = min(k, int(n))
             for i in items:
                 own, _ = shingle_hashes(words[bounds[i] : bounds[i + 1]], np.array([0, n]), size)
                 self.sets[i] = np.unique(own, return_counts=True)
                 self.shingles.setdefault(size, []).append(self.sets[i][0])
-        self.shingles = {size: np.unique(np.concatenate(found)) for size, found in self.shingles.items()}
+        known = {size: np.unique(np.concatenate(found), return_counts=True) for size, found in self.shingles.items()}
+        self.shingles = {size: names for size, (names, _) in known.items()}
+        for n in np.unique(lengths[lengths > 0]):
+            items, size = np.flatnonzero(lengths == n), min(k, int(n))
+            rare = [self.rarest(i, anchors(int(n) - size + 1, threshold), *known[size]) for i in items]
+            self.lengths[int(n)] = LengthIndex(items, prints[items], rare)
         self.maybe = {size: np.bincount((s >> np.uint64(42)).astype(np.int64), minlength=1 << 22) > 0 for size, s in self.shingles.items()}
 
+    def rarest(self, item: int, wanted: int, names: np.ndarray, used: np.ndarray) -> np.ndarray:
+        """Shingles of an item that stand for ``wanted`` occurrences, those of the fewest items first."""
+        own, times = self.sets[item]
+        order = np.argsort(used[np.searchsorted(names, own)], kind="stable")
+        return own[order[: np.searchsorted(np.cumsum(times[order]), wanted) + 1]]
+
     def hits(self, shingles: np.ndarray, size: int) -> np.ndarray:
         """Places of the shingles that the benchmark has."""
         at = np.flatnonzero(self.maybe[size][(shingles >> np.uint64(42)).astype(np.int64)])
@@ -101,7 +143,7 @@ class BenchmarkIndex:
         both = np.where(names[place] == own, np.minimum(counts[place], times), 0).sum()
         return float(both / (counts.sum() + times.sum() - both))
 
-    def search(self, words: np.ndarray, bounds: np.ndarray, threshold: float) -> Iterator[tuple[int, int, float, int, int]]:
+    def search(self, words: np.ndarray, bounds: np.ndarray) -> Iterator[tuple[int, int, float, int, int]]:
         """(text, item, similarity, first word, words) of every similar window of the texts."""
         for size in self.shingles:
             # a shingle for every word, the last ones of a text cut short and never hit
@@ -113,7 +155,9 @@ class BenchmarkIndex:
                 continue
             text = np.searchsorted(bounds, hit, "right") - 1
             first, last = bounds[text], bounds[text + 1]
-            used = np.unique(text)
+            upto = np.zeros(len(words) + 1, np.int64)
+            upto[hit + 1] = 1
+            np.cumsum(upto, out=upto)
             for n, index in self.lengths.items():
                 if min(n, self.k) != size:
                     continue
@@ -124,15 +168,19 @@ class BenchmarkIndex:
                 low = np.maximum(low, before)
                 count = np.maximum(high - low + 1, 0)
                 starts = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + np.repeat(low, count)
-                if not len(starts):
-                    continue
                 owner = np.repeat(text, count)
                 lengths = np.minimum(n, bounds[owner + 1] - starts)
-                near, place = index.candidates(_windows(words, bounds, used, owner, starts, lengths))
-                for w, p in zip(near, place):
+                stops = starts + lengths - size + 1
+                able = upto[stops] - upto[starts] >= least_shared(n - size + 1, stops - starts, self.threshold)
+                if not able.any():
+                    continue
+                starts, stops, owner, lengths = starts[able], stops[able], owner[able], lengths[able]
+                near = index.candidates(_windows(words, bounds, np.unique(owner), owner, starts, lengths))
+                pairs = np.union1d(near, index.holding(hit, shingles[hit], starts, stops))
+                for w, p in zip(pairs // len(index.items), pairs % len(index.items)):
                     a, m = starts[w], lengths[w]
-                    value = self.similarity(index.items[p], shingles[a : a + max(m - size, 0) + 1])
-                    if value >= threshold:
+                    value = self.similarity(index.items[p], shingles[a : stops[w]])
+                    if value >= self.threshold:
                         yield int(owner[w]), int(index.items[p]), value, int(a - bounds[owner[w]]), int(m)
 
 
@@ -151,7 +199,7 @@ def _windows(words, bounds, used, owner, starts, lengths) -> np.ndarray:
     return fingerprints(part, starts + moved, lengths)
 
 
-def _searcher(index, ids: list, schema: pa.Schema, threshold: float):
+def _searcher(index, ids: list, schema: pa.Schema):
     def run(batches):
         own, names = index.value, ids.value
         hasher = WordHasher(words_only=True)
@@ -159,7 +207,7 @@ def _searcher(index, ids: list, schema: pa.Schema, threshold: float):
             docs, hashes = batch.column("doc_id"), batch.column("text_hash")
             for first, texts in chunks(t and t.lower() for t in strings(batch.column("text"))):
                 best: dict = {}
-                for text, item, value, start, n in own.search(*hasher(texts), threshold):
+                for text, item, value, start, n in own.search(*hasher(texts)):
                     rank = (value, -start)
                     if (text, item) not in best or rank > best[text, item][0]:
                         best[text, item] = (rank, n)
@@ -206,9 +254,9 @@ def leaks(
     found = None
     for block in range(blocks):
         rows = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block).select("item_id", "text").collect()  # about block_bytes
-        index = spark.sparkContext.broadcast(BenchmarkIndex([r["text"] for r in rows], words))
+        index = spark.sparkContext.broadcast(BenchmarkIndex([r["text"] for r in rows], words, similarity))
         ids = spark.sparkContext.broadcast([r["item_id"] for r in rows])
-        part = source.mapInArrow(_searcher(index, ids, arrow_schema(fields), similarity), fields)
+        part = source.mapInArrow(_searcher(index, ids, arrow_schema(fields)), fields)
         found = part if found is None else found.unionByName(part)
     best = F.max(F.struct("similarity", (-F.col("start_word")).alias("_early"), "n_words")).alias("best")
     return found.groupBy("doc_id", "text_hash", "item_id").agg(best).select(

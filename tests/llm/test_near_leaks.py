@@ -89,3 +89,30 @@ def test_leaks(spark):
         assert rows == {(0, 0): (1.0, 50, 30), (1, 1): (round(39 / 43, 6), 4, 45), (3, 2): (1.0, 3, 3), (4, 3): (0.875, 0, 11)}
     assert sorted(r["doc_id"] for r in leaks.without_leaks(docs, bench).collect()) == [2, 5, 6, 7]
     assert leaks.leaks(docs.limit(0), bench).count() == 0 and leaks.leaks(docs, bench.limit(0)).count() == 0
+
+
+def windows_alike(doc, item):
+    """(similarity, first word, words) of the best of all windows of a document of different words."""
+    n = min(len(doc), len(item))
+    own, best = {tuple(item[i : i + 5]) for i in range(len(item) - 4)}, (0, 0, 0)
+    for a in range(len(doc) - n + 1):
+        window = {tuple(doc[i : i + 5]) for i in range(a, a + n - 4)}
+        best = max(best, (len(own & window) / len(own | window), -a, n))
+    return best
+
+
+def test_shortened_items_at_any_hamming_distance():
+    draw = random.Random(7)
+    word = lambda: "".join(draw.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(7))
+    items = [[word() for _ in range(draw.randrange(15, 60))] for _ in range(2400)]
+    index = leaks.BenchmarkIndex([" ".join(w) for w in items], leaks.WORDS, leaks.SIMILARITY)
+    texts = []
+    for i, item in enumerate(items):  # shortened by 10 and by 20 %, alone and inside other words
+        cut = item[: len(item) - round(len(item) * (0.1, 0.2)[i % 2])]
+        texts.append(cut if i % 4 < 2 else [word() for _ in range(9)] + cut + [word() for _ in range(30)])
+    wanted = {(i, i): windows_alike(t, items[i]) for i, t in enumerate(texts)}
+    wanted = {pair: found for pair, found in wanted.items() if found[0] >= leaks.SIMILARITY}
+    best: dict = {}
+    for text, item, value, start, n in index.search(*leaks.WordHasher(words_only=True)([" ".join(t).encode() for t in texts])):
+        best[text, item] = max(best.get((text, item), (0, 0, 0)), (value, -start, n))
+    assert best == wanted and len(wanted) > 800
