@@ -1,6 +1,6 @@
 """N-gram Jaccard join by chosen paths.
 
-A document is its set of five-word shingles, embedded as 64 minimum hashes (its tokens). Equal sets
+A document is its set of five-word shingles, embedded as 128 minimum hashes (its tokens). Equal sets
 are found first, by the tree-merge, and one of each goes on. A path is a chain of tokens that sets
 share: at every node a hash of the path samples a few coordinates, and each set continues along its
 own values of them. Sets that share a path form a bucket. A bucket with few sets, or one that its
@@ -30,23 +30,43 @@ from gaugework.session import stored
 
 WORDS = 5
 SIMILARITY = 0.8
-COORDINATES = 64
+COORDINATES = 128
 CHILDREN = 2
+SPLITS = 32  # a split at least halves a bucket, so this holds for 2^32 leaves
 LEAF = 256
 BLOCK_SETS = 512
 BLOCK_SHINGLES = 1 << 21
 MISSED = 1e-6
 
 
+def _share(agreeing: int) -> float:
+    """Of pairs at a node that their sets share the part that is lost below it, if ``SPLITS`` follow."""
+    lost = 0.0
+    for used in range(min(SPLITS, COORDINATES), 0, -1):
+        left, good = COORDINATES - used, max(agreeing - used, 0)
+        drawn = min(CHILDREN, left)
+        lost = sum(math.comb(good, m) * math.comb(left - good, drawn - m) * lost**m for m in range(drawn + 1)) / math.comb(left, drawn)
+    return lost
+
+
 def runs_needed(similarity: float, missed: float) -> int:
-    """Runs after which a pair at the threshold shares no leaf with probability ``missed`` at most.
+    """Runs after which a pair at the threshold is missed with probability ``missed`` at most, if so few suffice.
 
-    A run starts from one coordinate; a set then takes ``CHILDREN`` further ones at every split.
+    A run starts from one coordinate; a set then takes ``CHILDREN`` further ones at every split. All
+    runs share the coordinates, so the loss is the mean over how many of them agree; pairs with
+    fewer than ``least_agreement`` for half of ``missed`` are lost in any case.
     """
-    lost = 0.0  # all paths of a pair end somewhere below a node that it shares
-    for _ in range(64):
-        lost = (1 - similarity + similarity * lost) ** CHILDREN
-    return min(math.ceil(math.log(missed) / math.log(1 - similarity + similarity * lost)), COORDINATES)
+    least = least_agreement(similarity, missed / 2)
+    likely = [math.comb(COORDINATES, a) * similarity**a * (1 - similarity) ** (COORDINATES - a) for a in range(COORDINATES + 1)]
+    below = [_share(a) for a in range(COORDINATES + 1)]
+    for runs in range(1, COORDINATES):
+        total = sum(likely[:least])
+        for a in range(least, COORDINATES + 1):
+            roots = range(max(runs - COORDINATES + a, 0), min(a, runs) + 1)
+            total += likely[a] * sum(math.comb(a, m) * math.comb(COORDINATES - a, runs - m) * below[a] ** m for m in roots) / math.comb(COORDINATES, runs)
+        if total <= missed:
+            return runs
+    return COORDINATES
 
 
 def least_agreement(similarity: float, missed: float) -> int:
@@ -211,7 +231,7 @@ def _verify(schema: pa.Schema, similarity: float):
 
 def _leaves(sets: DataFrame, runs: int, leaf: int) -> DataFrame:
     """(row, leaf, many, much): the leaves of every set with the number of sets and of shingles in them."""
-    roots = [F.struct(F.xxhash64(F.lit(i), F.col("sig")[i]).alias("path"), F.expr(f"shiftleft(1L, {i})").alias("used")) for i in range(runs)]
+    roots = [F.struct(F.xxhash64(F.lit(i), F.col("sig")[i]).alias("path"), F.array(F.lit(i)).alias("used")) for i in range(runs)]
     level = sets.select("row", "n", F.lit(None).cast("long").alias("above"), F.explode(F.array(*roots)).alias("p")).select("row", "n", "above", "p.*")
     found, depth = None, 0
     while True:
@@ -227,11 +247,11 @@ def _leaves(sets: DataFrame, runs: int, leaf: int) -> DataFrame:
         if rest.isEmpty():
             return found
         draws = F.array_distinct(F.transform(F.sequence(F.lit(1), F.lit(8 * CHILDREN)), lambda k: F.pmod(F.xxhash64("path", k), F.lit(COORDINATES)).cast("int")))
-        fresh = F.slice(F.filter(draws, lambda i: F.col("used").bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), i)) == 0), 1, CHILDREN)
+        fresh = F.slice(F.filter(draws, lambda i: ~F.array_contains("used", i)), 1, CHILDREN)
         level = rest.select("row", "path", "used", "n", F.col("many").alias("above"), F.explode(fresh).alias("i")).join(sets.select("row", "sig"), "row")
         level = level.select(
             "row", "n", "above", F.xxhash64("path", "i", F.col("sig")[F.col("i")]).alias("path"),
-            F.col("used").bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("i"))).alias("used"),
+            F.array_append("used", F.col("i")).alias("used"),
         )
         depth += 1
 
@@ -285,7 +305,7 @@ def near_duplicates(
     cells = _cells(leaves).join(known.select("row", "n", "sig", "leaves"), "row")
     cells = cells.repartition(tasks, *cell).sortWithinPartitions(*cell)
     fields = "row long, leaf long, block int, one int, two int"
-    chosen = stored(cells.mapInArrow(_screen(arrow_schema(fields), similarity, least_agreement(similarity, missed)), fields))
+    chosen = stored(cells.mapInArrow(_screen(arrow_schema(fields), similarity, least_agreement(similarity, missed / 2)), fields))
 
     wanted = chosen.select("row").distinct().join(known.select("row", "doc_id", "text_hash"), "row")
     wanted = wanted.select("row", F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"))

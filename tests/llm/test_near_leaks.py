@@ -61,6 +61,27 @@ def test_near_duplicates_of_odd_rows(spark):
     assert near.without_near_duplicates(docs).count() == 2
 
 
+def test_runs_needed_by_simulation():
+    draw, missed, pairs = random.Random(5), 1e-3, 60_000
+    runs, agreement = near.runs_needed(0.8, missed), near.least_agreement(0.8, missed / 2)
+
+    def meet(agree, used, splits):  # whether a leaf below a shared node is shared
+        if not splits:
+            return True
+        fresh: list = []
+        while len(fresh) < near.CHILDREN:
+            i = draw.randrange(near.COORDINATES)
+            if i not in used and i not in fresh:
+                fresh.append(i)
+        return any(agree[i] and meet(agree, (*used, i), splits - 1) for i in fresh)
+
+    lost = 0
+    for _ in range(pairs):
+        agree = [draw.random() < 0.8 for _ in range(near.COORDINATES)]
+        lost += sum(agree) < agreement or not any(agree[i] and meet(agree, (i,), 20) for i in range(runs))
+    assert lost / pairs <= 1.4 * missed  # three standard errors above
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(50)] + [(100, 101), (103, 102), (101, 103), (7, 7)]
     found = dict(map(tuple, graph.components(spark.createDataFrame(edges, "a long, b long")).collect()))
