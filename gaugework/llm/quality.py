@@ -190,13 +190,14 @@ def quality(
 ) -> DataFrame:
     """One row per row of ``docs``: doc_id, score (the share of label 1 that the trees expect).
 
-    Trees are grown on at most ``rows`` labelled documents among ``chosen``. Without labels of both
+    Trees are grown on at most ``rows`` labelled documents among ``chosen``, one of each id. Without labels of both
     kinds every score is the share of label 1, or a half if there is none. Null and empty texts
     have statistics 0 and are scored as such; repeated rows are scored alike; other columns are ignored.
     """
     ids = labelled_sample(labels, label, chosen, rows, doc_id)
     measured = stored(statistics(docs, doc_id, text))
-    sample = measured.join(F.broadcast(ids), F.col("doc_id") == F.col("_label_id")).orderBy("_label_id", "x").select("x", "label").toPandas()  # at most ``rows`` ids
+    sample = measured.join(F.broadcast(ids), F.col("doc_id") == F.col("_label_id"))
+    sample = sample.groupBy("_label_id").agg(F.min("x").alias("x"), F.max("label").alias("label")).orderBy("_label_id").select("x", "label").toPandas()  # a row per id
     x = np.array(sample["x"].tolist()).reshape(len(sample), len(STATISTICS))
     trees = grow(x, sample["label"].to_numpy(float))
     fields = f"doc_id {docs.schema[doc_id].dataType.simpleString()}, score double"

@@ -222,14 +222,15 @@ def labelled_sample(labels: DataFrame, label: str, chosen: Column, rows: int, do
 
 
 def fit(docs: DataFrame, labels: DataFrame, chosen: Column, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", rows: int = SAMPLE_ROWS) -> Field:
-    """A field from at most ``rows`` labelled documents among ``chosen``; null texts count as empty.
+    """A field from at most ``rows`` labelled documents among ``chosen``, one of each id; null texts count as empty.
 
     Without labels of both kinds the field has no features and every score is the share of label 1.
     """
     spark = docs.sparkSession
     ids = labelled_sample(labels, label, chosen, rows, doc_id)
     sample = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
-    sample = stored(sample.join(F.broadcast(ids), F.col("doc_id") == F.col("_label_id")).select("doc_id", "text", "label"))  # broadcast: at most ``rows`` ids
+    sample = sample.join(F.broadcast(ids), F.col("doc_id") == F.col("_label_id"))  # broadcast: at most ``rows`` ids
+    sample = stored(sample.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("label").alias("label")))  # a row per id
     size = sample.agg(F.count(F.lit(1)), F.sum("label")).first()
     positive, negative = size[1] or 0, size[0] - (size[1] or 0)
     rate = positive / max(size[0], 1)

@@ -64,6 +64,18 @@ def test_toxic_spans_and_odd_rows(spark):
     assert {r["score"] for r in toxic.score(odd, none).collect()} == {0.0}
 
 
+def test_a_repeated_id_is_fitted_on_once(spark, monkeypatch):
+    rows = [(i, f"the {i} quiet {('river', 'grobian')[i % 2]} runs past stone", i % 2) for i in range(80)]
+    labels = spark.createDataFrame([(i, x, x) for i, _, x in rows], "doc_id long, toxic int, quality int")
+    grown, fitted = [], []
+    monkeypatch.setattr(quality, "grow", lambda x, y, old=quality.grow: (grown.append(len(y)), old(x, y))[1])
+    monkeypatch.setattr(toxic, "fit_logistic", lambda x, y, old=toxic.fit_logistic: (fitted.append(len(y)), old(x, y))[1])
+    docs = spark.createDataFrame([r[:2] for r in rows + rows[:1] * 300], "doc_id long, text string")
+    assert quality.quality(docs, labels, F.lit(True)).count() == 380
+    toxic.fit(docs, labels, F.lit(True))
+    assert grown == [80] and fitted == [80]
+
+
 def test_trees_learn_a_step_and_survive_one_kind():
     draw = np.random.default_rng(2)
     x = draw.normal(size=(3000, 3))
