@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from gaugework.llm import chat, exact, language, leaks, mixing, near, pages, quality, repeats, toxic
+from gaugework.llm import chat, exact, language, leaks, lexical, mixing, near, pages, quality, repeats, toxic, vectors
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -228,3 +228,38 @@ def op10(spark: SparkSession, folder: str) -> DataFrame:
 @query("op2_repeated_bytes")
 def op2(spark: SparkSession, folder: str) -> DataFrame:
     return repeats.repeated_bytes(table(spark, folder, "documents")).drop("removed")
+
+
+SEARCH_SQL = r"""
+    WITH docs AS (
+        SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+            '[^\x{00}-\x{2F}\x{3A}-\x{40}\x{5B}-\x{60}\x{7B}-\x{7F}]+')) AS term FROM documents
+    ), tf AS (
+        SELECT doc_id, term, count(*) AS tf FROM docs GROUP BY ALL
+    ), lengths AS (
+        SELECT doc_id, sum(tf)::BIGINT AS n FROM tf GROUP BY doc_id
+    ), totals AS (
+        SELECT count(*) AS big_n, sum(n)::BIGINT AS big_l FROM lengths
+    ), items AS (
+        SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+            '[^\x{00}-\x{2F}\x{3A}-\x{40}\x{5B}-\x{60}\x{7B}-\x{7F}]+')) AS term FROM benchmark
+    ), weights AS (
+        SELECT term, floor(1000 * ln((2 * any_value(big_n) + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w FROM tf, totals GROUP BY term
+    ), scored AS (
+        SELECT i.item_id, t.doc_id, sum(w.w * (1000000000 * t.tf // (1000 * t.tf + 8 * (10 + 90 * l.n * big_n // big_l))))::BIGINT AS score
+        FROM items i JOIN tf t ON t.term = i.term JOIN weights w ON w.term = i.term JOIN lengths l ON l.doc_id = t.doc_id, totals
+        GROUP BY ALL
+    )
+    SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INT AS rank, doc_id, score
+    FROM scored WHERE score > 0 QUALIFY rank <= 10
+"""
+
+
+@query("op11_lexical_search", SEARCH_SQL)
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    return lexical.search(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+@query("op12_nearest_vectors")
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    return vectors.neighbours(table(spark, folder, "embeddings"), F.col("vec_id") % 20 == 0)
