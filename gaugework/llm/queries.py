@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from gaugework.llm import chat, exact, language, leaks, lexical, mixing, near, pages, quality, repeats, toxic, vectors
+from gaugework.llm import chat, exact, language, leaks, lexical, mixing, near, pages, phrases, quality, repeats, toxic, vectors
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -263,3 +263,43 @@ def op11(spark: SparkSession, folder: str) -> DataFrame:
 @query("op12_nearest_vectors")
 def op12(spark: SparkSession, folder: str) -> DataFrame:
     return vectors.neighbours(table(spark, folder, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+PHRASE_SQL = r"""
+    WITH pieces AS (
+        SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
+            translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents
+    ), words AS (
+        SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces
+    ), grams AS (
+        SELECT lang, size, array_to_string(w[i:i + size - 1], ' ') AS g
+        FROM (SELECT lang, w, size, unnest(range(1, len(w) - size + 2)) AS i FROM words CROSS JOIN (SELECT unnest([1, 2, 3]) AS size) WHERE len(w) >= size)
+    ), counts AS (
+        SELECT lang, size, g, count(*) AS f FROM grams GROUP BY ALL
+    ), totals AS (
+        SELECT lang, sum(f)::BIGINT AS n FROM counts WHERE size = 1 GROUP BY lang
+    ), candidates AS (
+        SELECT lang, size, g, f, string_split(g, ' ') AS w FROM counts WHERE size > 1 AND f >= 10
+    ), ways AS (
+        SELECT lang, size, g, f AS a, k, array_to_string(w[:k], ' ') AS one, array_to_string(w[k + 1:], ' ') AS two
+        FROM (SELECT *, unnest(range(1, size)) AS k FROM candidates)
+    ), cut AS (
+        SELECT c.lang, c.size, c.g, c.a, k, l.f AS l, r.f AS r, ((1000000::HUGEINT * c.a * c.a) // (l.f::HUGEINT * r.f))::BIGINT AS score
+        FROM ways c JOIN counts l ON l.lang = c.lang AND l.g = c.one JOIN counts r ON r.lang = c.lang AND r.g = c.two
+    ), scored AS (
+        SELECT lang, size, g, a, arg_min(l, (score, k)) AS l, arg_min(r, (score, k)) AS r, min(score) AS score FROM cut GROUP BY ALL
+    ), inner_pairs AS (
+        SELECT lang, array_to_string(w[1:2], ' ') AS g, f FROM candidates WHERE size = 3 UNION ALL SELECT lang, array_to_string(w[2:3], ' '), f FROM candidates WHERE size = 3
+    ), longest AS (
+        SELECT lang, g, max(f) AS most FROM inner_pairs GROUP BY ALL
+    ), kept AS (
+        SELECT s.* FROM scored s LEFT JOIN longest p ON p.lang = s.lang AND p.g = s.g WHERE s.size = 3 OR p.most IS NULL OR 100 * p.most < 50 * s.a
+    )
+    SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, g)::INT AS rank, g AS phrase, a, l, r, n, score
+    FROM kept JOIN totals USING (lang) QUALIFY rank <= 2000
+"""
+
+
+@query("op13_phrases", PHRASE_SQL)
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    return phrases.collocations(table(spark, folder, "documents"))
