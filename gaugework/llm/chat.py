@@ -52,7 +52,7 @@ def format_chats(
         F.col(turn).alias("turn"),
         F.coalesce(F.col(role).cast("string"), F.lit("")).alias("role"),
         F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"),
-    ).select("conv_id", "turn", "role", escape(F.col("text")).alias("text"))
+    )
     # One shuffle by conversation serves the window and the collection.
     order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
     opens = ~F.col("role").eqNullSafe(F.lag("role").over(order))
@@ -65,8 +65,10 @@ def format_chats(
             "tail": F.when(closes, F.lit(STOP)).otherwise(F.lit("")),
         }
     )
+    rows = rows.withColumn("text", escape(F.col("text")))  # ties were put in order by the texts themselves
     rows = rows.withColumn("piece", F.concat("head", "text", "tail"))
-    begins = F.coalesce(F.sum(F.length("piece")).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = Window.partitionBy("conv_id").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
+    begins = F.coalesce(F.sum(F.length("piece")).over(placed), F.lit(0))
     rows = rows.withColumn("start", begins + F.length("head"))
     entry = F.struct("place", "role", "piece", "start", F.length("text").cast("long").alias("length"))
     chats = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list(entry)).alias("turns"))

@@ -13,8 +13,10 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
+from gaugework.llm.rows import packed, quoted, unpacked
+from gaugework.operators.joins import join_keys
 from gaugework.session import stored
 
 
@@ -24,10 +26,6 @@ def leaf_runs(df: DataFrame) -> int:
     return 1 << max(wanted - 1, 1).bit_length()
 
 
-def _same(left: DataFrame, right: DataFrame, names: Sequence[str]) -> Column:
-    return reduce(lambda a, b: a & b, [left[n] == right[n] for n in names])
-
-
 def tree_merge(items: DataFrame, digest: Sequence[str], member: str, largest: bool = True, bits: int = 3) -> DataFrame:
     """``items`` with ``winner`` (the member that stays for its digest) and ``members`` (rows of it).
 
@@ -69,9 +67,9 @@ def exact_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     identifier and text count in ``group_size`` and exactly one of them is kept. Other columns are
     ignored; an empty table gives an empty result.
     """
-    body = F.coalesce(F.col(text).cast("string"), F.lit(""))
+    body = F.coalesce(quoted(text).cast("string"), F.lit(""))
     narrow = docs.select(
-        F.struct(F.col(doc_id).alias("id"), F.monotonically_increasing_id().alias("row")).alias("member"),
+        F.struct(quoted(doc_id).alias("id"), F.monotonically_increasing_id().alias("row")).alias("member"),
         F.unhex(F.sha2(body, 256)).alias("sha"),
         F.xxhash64(body).alias("check"),
         F.octet_length(body).alias("bytes"),
@@ -87,18 +85,18 @@ def exact_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
 
 
 def without_exact_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", keep_largest: bool = True) -> DataFrame:
-    """``docs`` with one row of each text; all its columns stay as they are."""
-    verdicts = stored(exact_duplicates(docs, doc_id, text, keep_largest))
-    gone = verdicts.groupBy(F.col("doc_id").alias("_gone_id"), F.col("text_sha256").alias("_gone_sha")).agg(
-        F.max("kept").alias("_stays"), F.count(F.lit(1)).alias("_rows")
-    ).filter("NOT _stays OR _rows > 1")
-    body = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    joined = docs.withColumn("_sha", F.sha2(body, 256)).join(
-        gone, F.col(doc_id).eqNullSafe(F.col("_gone_id")) & (F.col("_sha") == F.col("_gone_sha")), "left"
-    )
-    once = joined.filter(F.col("_gone_sha").isNull())
-    again = joined.filter("_stays").dropDuplicates([doc_id, "_sha"])  # repeated rows of a text that stays
-    names = [F.col(f"`{c}`") for c in docs.columns]
-    if gone.filter("_stays").isEmpty():
-        return once.select(*names)
-    return once.select(*names).unionByName(again.select(*names))
+    """``docs`` with one row of each text; all its columns stay as they are.
+
+    Null and empty texts are one text, of which one row stays. Of rows that repeat id and text one
+    stays. Texts of any length are read whole; other columns may have any names; an empty table
+    gives an empty result.
+    """
+    same = ["doc_id", "sha"]
+    verdicts = exact_duplicates(docs, doc_id, text, keep_largest).select("doc_id", F.col("text_sha256").alias("sha"), "kept")
+    counted = verdicts.groupBy(*same).agg(F.max("kept").alias("stays"), F.count(F.lit(1)).alias("times"))
+    gone = stored(counted.filter("NOT stays OR times > 1"))
+    body = F.coalesce(quoted(text).cast("string"), F.lit(""))
+    joined = join_keys(packed(docs, doc_id=quoted(doc_id), sha=F.sha2(body, 256)), gone, same, "left")
+    rest = joined.filter(F.col("stays").isNull()).select("row")
+    again = joined.filter("stays").dropDuplicates(same).select("row")  # repeated rows of a text that stays
+    return unpacked(rest.unionByName(again))

@@ -6,8 +6,6 @@ of ``PIECE`` bytes, with each of them. The choice is narrow when the second best
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import pyarrow as pa
 import zstandard
@@ -16,9 +14,9 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from gaugework.llm.arrow import arrow_schema, strings
 
 SAMPLE_TEXTS = 64  # texts per language that fill its dictionary
-SAMPLE_CHARS = 2_000  # of each of them
+SAMPLE_CHARS = 2_000  # of each of them, in one stretch from anywhere in the whole text
+NARROW = 0.02  # a lead of the shortest encoding below this share is no decision
 PIECE = 8192
-LETTER = re.compile(r"[^\W\d_]")
 UNKNOWN = "und"
 SPACED = bytes(b if b >= 128 or chr(b).isalpha() else 32 for b in range(256))
 
@@ -33,8 +31,10 @@ def dictionaries(docs: DataFrame, chosen: Column, text: str = "text", lang: str
 
     A language gives at most ``SAMPLE_TEXTS`` x ``SAMPLE_CHARS`` characters; the rows are drawn by hash.
     """
+    begin = F.pmod(F.xxhash64(text, F.lit(1)), F.greatest(F.length(text) - SAMPLE_CHARS, F.lit(0)) + 1) + 1
+    piece = F.substring(F.col(text), begin.cast("int"), F.lit(SAMPLE_CHARS))
     rows = docs.filter(F.col(lang).isNotNull() & (F.length(F.trim(text)) > 0) & chosen).select(
-        F.col(lang).cast("string").alias("lang"), F.xxhash64(F.col(doc_id)).alias("draw"), F.xxhash64(text).alias("hash"), F.substring(text, 1, SAMPLE_CHARS).alias("text")
+        F.col(lang).cast("string").alias("lang"), F.xxhash64(F.col(doc_id)).alias("draw"), F.xxhash64(text).alias("hash"), piece.alias("text")
     )
     sizes = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("many"))
     drawn = Window.partitionBy("lang").orderBy("draw", "hash")
@@ -59,7 +59,7 @@ class Judge:
 
     def __call__(self, text: str | None) -> tuple[str, float, float]:
         """Language, score and relative margin."""
-        if not text or not self.names or not LETTER.search(text):
+        if not text or not self.names or not any(map(str.isalpha, text)):
             return UNKNOWN, 0.0, 0.0
         data = plain(text)
         sizes = np.zeros(len(self.names))
@@ -79,23 +79,25 @@ def _teller(samples, schema: pa.Schema, narrow: float):
         judge = Judge(samples)
         for batch in batches:
             found = [judge(t) for t in strings(batch.column("text"))]
-            names = [UNKNOWN if margin < narrow else name for name, _, margin in found]
+            names = [name for name, _, _ in found]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(names, pa.string()), pa.array([s for _, s, _ in found], pa.float64()), pa.array([m for _, _, m in found], pa.float64())],
+                [batch.column("doc_id"), pa.array(names, pa.string()), pa.array([s for _, s, _ in found], pa.float64()), pa.array([m for _, _, m in found], pa.float64()), pa.array([m < narrow for _, _, m in found], pa.bool_())],
                 schema=schema,
             )
 
     return run
 
 
-def languages(docs: DataFrame, samples: list[tuple[str, bytes]], doc_id: str = "doc_id", text: str = "text", narrow: float = 0.0) -> DataFrame:
-    """One row per row of ``docs``: doc_id, lang_pred, score, margin.
+def languages(docs: DataFrame, samples: list[tuple[str, bytes]], doc_id: str = "doc_id", text: str = "text", narrow: float = NARROW) -> DataFrame:
+    """One row per row of ``docs``: doc_id, lang_pred, score, margin, rejected.
 
     ``margin`` is what the best encoding saves of the second best, ``score`` rises with the bytes
-    saved from a half to 1. Below a margin of ``narrow`` the language is ``und``. A text that is
-    null or has no letter is ``und`` with score 0, and so is every text if there is no sample. Of
-    equally short encodings the commonest language wins. Repeated rows are judged alike.
+    saved from a half to 1. ``rejected`` marks a margin below ``narrow``: the best language is still
+    named, but the text does not tell it from the second. A text that is null or has no letter is
+    ``und`` with score 0 and rejected, and so is every text if there is no sample. Of equally short
+    encodings the commonest language wins. Texts of any length are encoded whole. Repeated rows are
+    judged alike; other columns are ignored; an empty table gives an empty result.
     """
-    fields = f"doc_id {docs.schema[doc_id].dataType.simpleString()}, lang_pred string, score double, margin double"
+    fields = f"doc_id {docs.schema[doc_id].dataType.simpleString()}, lang_pred string, score double, margin double, rejected boolean"
     source = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
     return source.mapInArrow(_teller(samples, arrow_schema(fields), narrow), fields)

@@ -14,14 +14,18 @@ weighted Jaccard similarity of their shingles (weight: occurrences), so no simil
 from __future__ import annotations
 
 import math
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, functions as F
 
 from gaugework.llm.arrow import arrow_schema, strings
+from gaugework.llm.rows import packed, quoted, unpacked
 from gaugework.llm.words import WordHasher, chunks, shingle_hashes
+from gaugework.operators.joins import join_keys
 from gaugework.session import stored
 
 WORDS = 5
@@ -201,7 +205,7 @@ def _windows(words, bounds, used, owner, starts, lengths) -> np.ndarray:
 
 def _searcher(index, ids: list, schema: pa.Schema):
     def run(batches):
-        own, names = index.value, ids.value
+        own, names = pickle.loads(index.value), ids.value
         hasher = WordHasher(words_only=True)
         for batch in batches:
             docs, hashes = batch.column("doc_id"), batch.column("text_hash")
@@ -247,14 +251,16 @@ def leaks(
     spark = docs.sparkSession
     kinds = docs.schema[doc_id].dataType.simpleString(), benchmark.schema[item_id].dataType.simpleString()
     fields = f"doc_id {kinds[0]}, text_hash long, item_id {kinds[1]}, similarity double, start_word long, n_words long"
-    source = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(F.col(text)).alias("text_hash"), F.col(text).cast("string").alias("text"))
-    items = benchmark.select(F.col(item_id).alias("item_id"), F.col(item_text).cast("string").alias("text")).filter("text IS NOT NULL")
+    body = quoted(text).cast("string")
+    source = docs.select(quoted(doc_id).alias("doc_id"), F.xxhash64(body).alias("text_hash"), body.alias("text"))
+    items = benchmark.select(quoted(item_id).alias("item_id"), quoted(item_text).cast("string").alias("text")).filter("text IS NOT NULL")
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(math.ceil(size / block_bytes), 1)
     found = None
     for block in range(blocks):
         rows = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block).select("item_id", "text").collect()  # about block_bytes
-        index = spark.sparkContext.broadcast(BenchmarkIndex([r["text"] for r in rows], words, similarity))
+        # as bytes that hold the class as well: workers need not have the package
+        index = spark.sparkContext.broadcast(cloudpickle.dumps(BenchmarkIndex([r["text"] for r in rows], words, similarity)))
         ids = spark.sparkContext.broadcast([r["item_id"] for r in rows])
         part = source.mapInArrow(_searcher(index, ids, arrow_schema(fields)), fields)
         found = part if found is None else found.unionByName(part)
@@ -265,7 +271,13 @@ def leaks(
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """``docs`` without those that hold a benchmark item; all their columns stay."""
-    gone = stored(leaks(docs, benchmark, doc_id, text, **options).select(F.col("doc_id").alias("_gone_id"), F.col("text_hash").alias("_gone_hash")).distinct())
-    same = F.col(doc_id).eqNullSafe(F.col("_gone_id")) & (F.xxhash64(F.col(text)) == F.col("_gone_hash"))
-    return docs.join(gone, same, "left_anti")
+    """``docs`` without those that hold a benchmark item; all their columns stay.
+
+    Rows go by id and text: of rows that repeat an id only those whose text holds an item. Null and
+    empty texts stay. Other columns may have any names; an empty table gives an empty result, an
+    empty benchmark drops nothing.
+    """
+    same = ["doc_id", "text_hash"]
+    gone = stored(leaks(docs, benchmark, doc_id, text, **options).select(*same).distinct())
+    rows = packed(docs, doc_id=quoted(doc_id), text_hash=F.xxhash64(quoted(text).cast("string")))
+    return unpacked(join_keys(rows, gone, same, "left_anti"))

@@ -18,6 +18,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from gaugework.llm.rows import free_name, packed, quoted, unpacked
+from gaugework.operators.joins import join_keys
 from gaugework.session import stored
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -73,9 +75,9 @@ def entropy_mix(
     deals the documents of one size into ``SHARES`` parts (by default a hash of the id). Rows that
     repeat an id count each. Other columns are ignored; an empty table gives an empty result.
     """
-    key = F.col(doc_id)
+    key = quoted(doc_id)
     share = F.pmod(F.xxhash64(key), F.lit(SHARES)) if share is None else share
-    items = stored(docs.select(key.alias("doc_id"), F.col(source).alias("source"), word_count(text).alias("size"), F.coalesce(share, F.lit(0)).cast("int").alias("share")))
+    items = stored(docs.select(key.alias("doc_id"), quoted(source).alias("source"), word_count(quoted(text)).alias("size"), F.coalesce(share, F.lit(0)).cast("int").alias("share")))
     cells = _cells(items, falling=True)
     totals = cells.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"))
     size, goal = F.col("source_size").cast("double"), F.col("target")
@@ -143,18 +145,15 @@ def _placed(items: DataFrame, cells: DataFrame) -> DataFrame:
 def mixed_documents(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", text: str = "text", **options) -> DataFrame:
     """``docs`` as the mix takes them: a row for each copy, numbered from 1 in ``mix_copy``.
 
-    Rows that share id, source and size are told apart by their order of text hash.
+    If ``docs`` has a column of that name, the number gets the name with ``_`` behind it. Rows that
+    share id, source and size are told apart by their order of text hash. Null and empty texts have
+    size 0 and one copy. Other columns may have any names; an empty table gives an empty result.
     """
+    keys = ["doc_id", "source", "size", "nth"]
     mix = entropy_mix(docs, doc_id, source, text, **options)
     nth = F.row_number().over(Window.partitionBy("doc_id", "source", "size").orderBy(F.col("copies").desc()))
-    mix = mix.withColumn("nth", nth).select(
-        F.col("doc_id").alias("_mix_id"), F.col("source").alias("_mix_source"), F.col("size").alias("_mix_size"), F.col("nth").alias("_mix_nth"), F.col("copies").alias("_mix_copies")
-    )
-    rows = docs.withColumn("_size", word_count(text))
-    own = F.row_number().over(Window.partitionBy(doc_id, source, "_size").orderBy(F.xxhash64(text)))
-    rows = rows.withColumn("_nth", own)
-    joined = rows.join(
-        mix,
-        rows[doc_id].eqNullSafe(mix["_mix_id"]) & rows[source].eqNullSafe(mix["_mix_source"]) & (rows["_size"] == mix["_mix_size"]) & (rows["_nth"] == mix["_mix_nth"]),
-    ).filter("_mix_copies > 0")
-    return joined.select(*[rows[c] for c in docs.columns], F.explode(F.sequence(F.lit(1), F.col("_mix_copies").cast("int"))).alias("mix_copy"))
+    mix = mix.withColumn("nth", nth).filter("copies > 0").select(*keys, "copies")
+    rows = packed(docs, doc_id=quoted(doc_id), source=quoted(source), size=word_count(quoted(text)), hash=F.xxhash64(quoted(text)))
+    rows = rows.withColumn("nth", F.row_number().over(Window.partitionBy("doc_id", "source", "size").orderBy("hash")))
+    joined = join_keys(rows, mix, keys)
+    return unpacked(joined, F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias(free_name(docs, "mix_copy")))

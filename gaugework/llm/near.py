@@ -20,12 +20,14 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from gaugework.llm.arrow import arrow_schema, key_groups, partitions, record_batch, strings
 from gaugework.llm.exact import tree_merge
 from gaugework.llm.graph import components
+from gaugework.llm.rows import packed, quoted, unpacked
 from gaugework.llm.words import WordHasher, chunks, mix, shingle_hashes
+from gaugework.operators.joins import join_keys
 from gaugework.session import stored
 
 WORDS = 5
@@ -281,14 +283,20 @@ def near_duplicates(
     shingle sets is at least ``similarity``; ``n_links`` counts the other documents linked to one,
     copies included. ``class_id`` is the least id of those that links connect. ``kept`` marks one
     row per class. Texts without a word (null, empty, white space) are linked to nothing and kept.
-    Rows that repeat an id count as documents of their own; a null id is the lowest. Other columns
-    are ignored; an empty table gives an empty result.
+    Rows that repeat an id count as documents of their own; a null id is the lowest. Texts of any
+    length are read whole. Other columns are ignored; an empty table gives an empty result.
     """
+    return _verdicts(docs, doc_id, text, words, similarity, missed, leaf).drop("text_hash", "n_bytes")
+
+
+def _verdicts(docs: DataFrame, doc_id: str, text: str, words: int = WORDS, similarity: float = SIMILARITY, missed: float = MISSED, leaf: int = LEAF) -> DataFrame:
+    """The rows of ``near_duplicates`` with hash and size of their own text."""
     spark = docs.sparkSession
     kind = docs.schema[doc_id].dataType.simpleString()
-    source = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(F.col(text)).alias("text_hash"), F.col(text).cast("string").alias("text"))
-    fields = f"doc_id {kind}, text_hash long, row long, print binary, n long, sig array<int>"
-    numbered = source.select("doc_id", "text_hash", F.monotonically_increasing_id().alias("row"), "text")
+    body = quoted(text).cast("string")
+    source = docs.select(quoted(doc_id).alias("doc_id"), F.xxhash64(body).alias("text_hash"), F.octet_length(body).cast("long").alias("n_bytes"), body.alias("text"))
+    fields = f"doc_id {kind}, text_hash long, n_bytes long, row long, print binary, n long, sig array<int>"
+    numbered = source.select("doc_id", "text_hash", "n_bytes", F.monotonically_increasing_id().alias("row"), "text")
     profile = stored(numbered.mapInArrow(_profiler(arrow_schema(fields), words), fields))
 
     full = profile.filter("n > 0").select("print", F.struct("doc_id", "row").alias("member"))
@@ -323,22 +331,27 @@ def near_duplicates(
     best = least.groupBy("root").agg(F.min(F.struct("doc_id", "row")).alias("best"))
     joined = stored(least.select("node", "root").join(best, "root").join(links, F.col("node") == F.col("row")).select(F.col("node").alias("_rep"), "best", "links"))
 
-    rows = profile.select("doc_id", "row", "n").join(classes, "row", "left")
+    rows = profile.select("doc_id", "text_hash", "n_bytes", "row", "n").join(classes, "row", "left")
     rows = rows.join(joined, F.col("winner.row") == F.col("_rep"), "left")
     winner = F.coalesce("best", "winner", F.struct("doc_id", "row"))
     others = F.coalesce("members", F.lit(1)) - 1 + F.coalesce("links", F.lit(0))
-    return rows.select("doc_id", winner["doc_id"].alias("class_id"), others.alias("n_links"), F.col("n").alias("n_shingles"), (winner["row"] == F.col("row")).alias("kept"))
+    kept = (winner["row"] == F.col("row")).alias("kept")
+    return rows.select("doc_id", winner["doc_id"].alias("class_id"), others.alias("n_links"), F.col("n").alias("n_shingles"), kept, "text_hash", "n_bytes")
 
 
 def without_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """``docs`` with one document of each class; of rows that repeat an id, as many stay as are kept."""
-    verdicts = near_duplicates(docs, doc_id, text, **options)
-    gone = stored(verdicts.groupBy(F.col("doc_id").alias("_gone_id")).agg(F.sum(F.col("kept").cast("int")).alias("_stay"), F.count(F.lit(1)).alias("_rows")).filter("_stay < _rows"))
-    joined = docs.join(gone, F.col(doc_id).eqNullSafe(F.col("_gone_id")), "left")
-    names = [F.col(f"`{c}`") for c in docs.columns]
-    rest = joined.filter(F.col("_rows").isNull()).select(*names)
-    if gone.filter("_stay > 0").isEmpty():
-        return rest
-    order = Window.partitionBy(doc_id).orderBy(F.xxhash64(text))
-    again = joined.filter("_stay > 0").withColumn("_nth", F.row_number().over(order)).filter("_nth <= _stay")
-    return rest.unionByName(again.select(*names))
+    """``docs`` with one document of each class; all columns of the rows that stay are as they were.
+
+    Rows are dropped by id and text, so of rows that repeat an id those with the kept texts stay, and
+    of rows that repeat both one stays. Rows without a word (null, empty) all stay. Other columns may
+    have any names; an empty table gives an empty result.
+    """
+    same = ["doc_id", "text_hash", "n_bytes"]
+    verdicts = _verdicts(docs, doc_id, text, **options).groupBy(*same).agg(F.sum(F.col("kept").cast("int")).alias("stay"), F.count(F.lit(1)).alias("times"))
+    gone = stored(verdicts.filter("stay < times"))
+    body = quoted(text).cast("string")
+    rows = packed(docs, doc_id=quoted(doc_id), text_hash=F.xxhash64(body), n_bytes=F.octet_length(body).cast("long"))
+    joined = join_keys(rows, gone, same, "left")
+    rest = joined.filter(F.col("stay").isNull()).select("row")
+    again = joined.filter("stay > 0").dropDuplicates(same).select("row")
+    return unpacked(rest.unionByName(again))

@@ -2,9 +2,11 @@
 
 The parser's events cut a page into lines, one per block element. A line's ratio is its text outside
 links over its tags; the ratios are smoothed by a Gaussian and split into two clusters by a
-threshold. The region is the element (an article if there is one) that holds the text of the upper
-cluster; its lines are the main text, without what navigation, forms, notices, adverts, comments
-and their like hold.
+threshold. Articles that hold a line of the upper cluster are the main text, or else the main
+element. On other pages the runs of the upper cluster are: in every container the lines from its
+first to its last line of the cluster, and back to the heading that these stand under. What navigation, forms,
+notices, adverts, comments and their like hold is left out; an article in a form or under a
+class name that says so counts all the same, and a page that is one form is read as if it had none.
 """
 
 from __future__ import annotations
@@ -20,29 +22,49 @@ from gaugework.llm.arrow import arrow_schema
 
 FEED = 1 << 16
 SIGMA = 1.0
-SHARE = 0.6  # of the upper cluster's text that the region must hold
+APART = 2.5  # the factor between the means of two clusters
 # HTML elements by their role.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = set(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q ruby rb rp rt s samp small span strike strong sub sup time tt u var wbr br".split()
 )
-DROPPED = set("head title script style noscript template svg math canvas iframe object nav header footer aside form button select textarea menu dialog".split())
+DROPPED = set("head title script style noscript template svg math canvas iframe object nav header footer aside button select textarea menu dialog".split())
 CONTAINERS = set("body main article section div td table center blockquote".split())
 IMPLIED_END = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 CLOSED_BY_BLOCK = {"p"}
-ROLES = set("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar".split())
+ROLES = set("navigation banner contentinfo complementary search alert alertdialog dialog menu menubar toolbar".split())
 NOT_CONTENT = set(
     "ad ads advert adverts advertisement advertising adsense banner sponsor sponsored sponsors promo promotion sidebar nav navbar navigation menu breadcrumb breadcrumbs "
     "footer masthead comment comments disqus replies respond cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup "
     "login share sharing social related recommended recommendations widget widgets pagination pager toolbar".split()
 )
+OF_READERS = set("comment comments disqus replies respond related recommended recommendations".split())  # articles in them are none
+# Words that only say where or what kind of thing a named block is.
+NEUTRAL = set(
+    "main top bottom left right center inner outer site page global primary secondary box container wrapper wrap section area block list item items bar content text "
+    "link links head header title post posts article articles user form message button buttons btn icon icons panel module unit slot group row col column entry thread "
+    "policy consent form signup body fixed sticky mobile desktop small large inline".split()
+)
+HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
+SEEN, SOFT, HARD = 0, 1, 2  # how a line is left out: not, unless an article begins, in any case
+
+
+def told_by_names(names: str) -> int:
+    """What class and id names say of a block; a name counts if it is a role as a whole, not if a part of it is."""
+    found = SEEN
+    for name in names.lower().split():
+        parts = [p for p in re.split(r"[^a-z]+", name) if p]
+        if not any(p in NOT_CONTENT for p in parts) or not all(p in NOT_CONTENT or p in NEUTRAL for p in parts):
+            continue
+        found = max(found, HARD if any(p in OF_READERS for p in parts) else SOFT)
+    return found
 
 
 class Line:
-    __slots__ = ("parts", "links", "tags", "path", "dropped")
+    __slots__ = ("parts", "links", "tags", "path", "dropped", "form", "heading")
 
-    def __init__(self, path: tuple, dropped: bool):
-        self.parts, self.links, self.tags, self.path, self.dropped = [], 0, 0, path, dropped
+    def __init__(self, path: tuple, dropped: int, form: bool, heading: bool):
+        self.parts, self.links, self.tags, self.path, self.dropped, self.form, self.heading = [], 0, 0, path, dropped, form, heading
 
 
 class PageLines(HTMLParser):
@@ -50,20 +72,20 @@ class PageLines(HTMLParser):
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.stack: list = []  # (tag, dropped, path of containers)
+        self.stack: list = []  # (tag, dropped, path of containers, whether in a form)
         self.lines: list[Line] = []
         self.kinds: list[str] = []  # of containers
         self.anchors = 0
-        self.line = Line((), False)
+        self.line = Line((), SEEN, False, False)
 
-    def state(self) -> tuple[bool, tuple]:
-        return (self.stack[-1][1], self.stack[-1][2]) if self.stack else (False, ())
+    def state(self) -> tuple[int, tuple, bool]:
+        return self.stack[-1][1:] if self.stack else (SEEN, (), False)
 
     def fresh(self) -> None:
         if self.line.parts:
             self.lines.append(self.line)
-        dropped, path = self.state()
-        self.line = Line(path, dropped)
+        dropped, path, form = self.state()
+        self.line = Line(path, dropped, form, bool(self.stack) and self.stack[-1][0] in HEADINGS)
 
     def pop(self, at: int) -> None:
         self.anchors -= sum(e[0] == "a" for e in self.stack[at:])
@@ -78,18 +100,24 @@ class PageLines(HTMLParser):
                 break
             if self.stack[at][0] in CONTAINERS or self.stack[at][0] in DROPPED or self.stack[at][0] in ("ul", "ol", "dl"):
                 break
-        dropped, path = self.state()
+        dropped, path, form = self.state()
         if tag not in VOID:
             named = dict(attrs)
-            words = set(re.split(r"[^a-z0-9]+", f"{named.get('class') or ''} {named.get('id') or ''}".lower()))
-            out = dropped or tag in DROPPED or "hidden" in named or (named.get("role") or "").lower() in ROLES
-            out = out or (tag not in ("html", "body", "article", "main") and not words.isdisjoint(NOT_CONTENT))
-            if tag in CONTAINERS:
+            role = (named.get("role") or "").lower()
+            told = told_by_names(f"{named.get('class') or ''} {named.get('id') or ''}") if tag not in ("html", "body", "main") else SEEN
+            article = tag in ("article", "main") or role in ("main", "article")
+            if article:
+                told = HARD if told == HARD else SEEN
+                out, form = max(HARD if dropped == HARD else SEEN, told), False
+            else:
+                hard = tag in DROPPED or "hidden" in named or role in ROLES
+                out, form = max(dropped, HARD if hard else told), form or tag == "form" or role == "form"
+            if tag in CONTAINERS or article:
                 path = (*path, len(self.kinds))
-                self.kinds.append("article" if tag in ("article", "main") or (named.get("role") or "").lower() in ("main", "article") else tag)
-            self.stack.append((tag, out, path))
+                self.kinds.append("main" if tag == "main" or role == "main" else "article" if article else tag)
+            self.stack.append((tag, out, path, form))
             self.anchors += tag == "a"
-            if block or out != dropped:
+            if block or out != dropped or article:
                 self.fresh()
         elif block:
             self.fresh()
@@ -103,15 +131,15 @@ class PageLines(HTMLParser):
     def handle_endtag(self, tag):
         for at in range(len(self.stack) - 1, -1, -1):
             if self.stack[at][0] == tag:
-                before = self.state()[0]
+                before = self.state()
                 self.pop(at)
-                if tag not in INLINE or self.state()[0] != before:
+                if tag not in INLINE or self.state() != before:
                     self.fresh()
                 break
         self.line.tags += 1
 
     def handle_data(self, data):
-        if not self.line.dropped:
+        if self.line.dropped == SEEN:
             self.line.parts.append(data)
             if self.anchors:
                 self.line.links += len(data)
@@ -125,7 +153,7 @@ def smoothed(ratios: np.ndarray) -> np.ndarray:
 
 
 def upper_cluster(values: np.ndarray) -> np.ndarray:
-    """Two clusters by a threshold that is halfway between their means."""
+    """Two clusters by a threshold that is halfway between their means; one, if their means are close."""
     cut = values.mean()
     for _ in range(50):
         high, low = values[values >= cut], values[values < cut]
@@ -133,7 +161,10 @@ def upper_cluster(values: np.ndarray) -> np.ndarray:
         if new == cut:
             break
         cut = new
-    return values >= cut
+    upper = values >= cut
+    if upper.all() or values[upper].mean() < APART * values[~upper].mean():
+        return np.ones(len(values), bool)
+    return upper
 
 
 def main_text(html: str | None) -> str:
@@ -144,27 +175,39 @@ def main_text(html: str | None) -> str:
     reader.close()
     reader.fresh()
     texts = [" ".join("".join(line.parts).split()) for line in reader.lines]
-    kept = [i for i, t in enumerate(texts) if t and not reader.lines[i].dropped]
+    full = [i for i, t in enumerate(texts) if t]
+    kept = [i for i in full if not reader.lines[i].form] or full
     if not kept:
         return ""
     lines = [reader.lines[i] for i in kept]
-    sizes = np.array([len(texts[i]) for i in kept])
     plain = np.array([max(len(texts[i]) - reader.lines[i].links, 0) for i in kept])
-    content = upper_cluster(smoothed(plain / np.maximum([line.tags for line in lines], 1)))
-    within: dict[int, list] = {}
-    for k, line in enumerate(lines):
-        for c in line.path:
-            own = within.setdefault(c, [0, 0])
-            own[0] += int(sizes[k]) if content[k] else 0
-            own[1] += int(sizes[k])
-    articles = [c for c in within if reader.kinds[c] == "article"]
-    if articles:
-        region = max(articles, key=lambda c: (*within[c], -c))
-    else:
-        whole = int(sizes[content].sum())
-        inner = [c for c in within if within[c][0] >= SHARE * whole]
-        region = max(inner) if inner else None  # the last one opened is the innermost
-    return " ".join(texts[i] for i, line in zip(kept, lines) if region is None or region in line.path)
+    content = upper_cluster(smoothed(plain / np.maximum([line.tags for line in lines], 1))) & (plain > 0)
+    if not content.any():
+        content[:] = True
+    return " ".join(texts[kept[k]] for k in sorted(main_lines(lines, content, plain > 0, reader.kinds)))
+
+
+def main_lines(lines: list[Line], content: np.ndarray, worded: np.ndarray, kinds: list[str]) -> set[int]:
+    """The places of the lines that are main text, given those of the upper cluster and those that are not all links."""
+    upper = [k for k in range(len(lines)) if content[k]]
+    for kind in ("article", "main"):
+        regions = {c for k in upper for c in lines[k].path if kinds[c] == kind}
+        if regions:
+            return {k for k, line in enumerate(lines) if not regions.isdisjoint(line.path)}
+    runs: dict[int, list[int]] = {}
+    for k in upper:
+        home = lines[k].path[-1] if lines[k].path else -1
+        first, _ = runs.setdefault(home, [k, k])
+        runs[home] = [first, k]
+    found: set[int] = set()
+    for home, (first, last) in runs.items():
+        within = lambda k: home < 0 or home in lines[k].path
+        at = first
+        while at and within(at - 1) and worded[at - 1] and (lines[at - 1].heading or not lines[at].heading):
+            at -= 1
+        first = at if lines[at].heading else first
+        found |= {k for k in range(first, last + 1) if within(k)}
+    return found
 
 
 def _extractor(schema: pa.Schema):
@@ -185,7 +228,8 @@ def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", html:
 
     Character references are decoded, white space inside a block becomes one space, blocks are
     joined by one space in page order. A null, empty or text-free page gives an empty text. Unclosed
-    elements end with their container. Repeated rows give equal rows; other columns are ignored.
+    elements end with their container. Pages of any length are read whole, in stretches. Repeated
+    rows give equal rows; other columns are ignored; an empty table gives an empty result.
     """
     fields = f"page_id {pages.schema[page_id].dataType.simpleString()}, url {pages.schema[url].dataType.simpleString()}, text string, n_chars long"
     source = pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("url"), F.col(html).cast("string").alias("html"))

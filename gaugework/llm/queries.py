@@ -222,7 +222,7 @@ def op5(spark: SparkSession, folder: str) -> DataFrame:
 def op10(spark: SparkSession, folder: str) -> DataFrame:
     documents = table(spark, folder, "documents")
     told = language.languages(documents, language.dictionaries(documents, fold(3) != 1))
-    return told.select("doc_id", (fold(3) == 1).alias("held_out"), "lang_pred", "score", "margin")
+    return told.select("doc_id", (fold(3) == 1).alias("held_out"), "lang_pred", "score", "margin", "rejected")
 
 
 @query("op2_repeated_bytes")

@@ -332,7 +332,7 @@ def neighbours(
     # Of equal vectors the smallest ids: one more than a result shows, as a query leaves itself out.
     # The limit on a rank is also applied before the shuffle.
     own = Window.partitionBy("k1", "k2").orderBy("vec_id")
-    few = rows.withColumn("nth", F.rank().over(own)).filter(F.col("nth") <= top + 1)
+    few = rows.withColumn("nth", F.dense_rank().over(own)).filter(F.col("nth") <= top + 1)
     index = few.groupBy("k1", "k2").agg(F.any_value("v").alias("v"), F.sort_array(F.collect_set("vec_id")).alias("ids"))
     index = stored(index)
     asked = stored(rows.filter("asks").select("vec_id", "k1", "k2").distinct())

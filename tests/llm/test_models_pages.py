@@ -98,7 +98,11 @@ def test_language_of_odd_texts(spark):
     docs = spark.createDataFrame([(1, "quick foxes brown"), (2, None), (3, "12 - 34"), (4, ""), (5, "Ipsum"), (5, "Ipsum")], "doc_id long, text string")
     rows = language.languages(docs, samples).orderBy("doc_id").collect()
     assert [r["lang_pred"] for r in rows] == ["yy", "und", "und", "und", "xx", "xx"]
-    assert {r["lang_pred"] for r in language.languages(docs, samples, narrow=1.1).collect()} == {"und"}
+    assert {r["doc_id"] for r in rows if r["rejected"]} == {2, 3, 4, 5}  # one word is too little to tell
+    narrow = language.languages(docs, samples, narrow=1.1).orderBy("doc_id").collect()
+    assert all(r["rejected"] for r in narrow) and [r["lang_pred"] for r in narrow] == [r["lang_pred"] for r in rows]
+    other = language.languages(spark.createDataFrame([(1, "½ ² Ⅷ")], "doc_id long, text string"), samples).first()
+    assert (other["lang_pred"], other["score"]) == ("und", 0.0)
     assert {r["lang_pred"] for r in language.languages(docs, []).collect()} == {"und"}
 
 
