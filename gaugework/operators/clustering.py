@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from gaugework.functions.scalars import quoted
 from gaugework.operators import dbscan, kmeans, outliers
@@ -84,8 +84,8 @@ class Clustering:
 def cluster_sizes(labelled: DataFrame) -> DataFrame:
     """Rows and share of the table per label, in label order."""
     counts = labelled.groupBy("cluster").agg(F.count("*").alias("n_rows"))
-    total = labelled.count()
-    share = F.try_divide(F.col("n_rows"), F.lit(total)) * 100
+    total = F.sum("n_rows").over(Window.partitionBy())  # over a row per label, not per point
+    share = F.try_divide(F.col("n_rows"), total) * 100
     return counts.withColumn("percentage", share).orderBy("cluster")
 
 

@@ -1,44 +1,43 @@
 """Exact density clustering by grid units.
 
-Equal vectors are counted once. Vectors in a grid cell whose diagonal is at most
-``eps`` are neighbours of each other, so a cell holding ``min_points`` rows is a
-core node as a whole and its inner pairs are never formed. Its vectors take part
-as a few sub-cells with tight bounding boxes; other vectors are boxes of one point.
-Two boxes are compared by their least and greatest distance, and single vectors
-are compared only where that leaves a question open.
-
-Pairs of boxes come from an equi-join on coarse blocks and go straight into an
-aggregate over the left side; no list of pairs is kept. Clusters grow by merging
-every component with its least neighbouring component, which halves the number of
-open components per round.
-
-Where a block is crowded, a bounded sample per block is compared first: it settles
-most core questions and joins the crowd into one component. What is left is then
-compared in full, except members of a block's leading component with blocks that
-the same component leads: any edge there starts at a unit outside that component.
+Equal vectors are counted once and known by a number of their own; keys only name the clusters and
+may repeat. Vectors in a grid cell whose diagonal is at most ``eps`` are neighbours of each
+other, so a cell holding ``min_points`` rows is a core node as a whole and its inner pairs are
+never formed. Its vectors take part as a few sub-cells with tight bounding boxes; other vectors
+are boxes of one point. Two boxes are compared by their least and greatest distance, and single
+vectors are compared only where that leaves a question open.
+
+Pairs of boxes come from an equi-join on the parts of a space tree and go straight into an aggregate
+over the left side; no list of pairs is kept. The tree is cut at medians of the boxes, so a crowd
+is spread over parts of bounded size and a box meets the parts around it. Clusters grow by
+merging every component with its least neighbouring component, which halves the number of open
+components per round.
+
+Where there are several parts, a bounded sample per part is compared first: it settles most core
+questions and joins the crowd into one component. What is left is then compared in full, except
+members of a part's leading component with parts that the same component leads: any edge there
+starts at a unit outside that component.
 """
 
 from __future__ import annotations
 
-import itertools
 import math
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from gaugework.functions.scalars import quoted
-from gaugework.operators import joins
+from gaugework.operators import spacetree
 from gaugework.operators.joins import attach
+from gaugework.operators.ranks import numbered
 from gaugework.session import stored
 
 EPS = 0.5
 MIN_POINTS = 5
 SUB_CELLS = 4
-BLOCK_DIMENSIONS = 3
-# A block with more units than this counts as crowded.
+# Units per part of the space tree, about.
 CROWD = 2_000
 SAMPLE = 200
-SALTS = 16
 WRITTEN_OUT = 3
 
 
@@ -52,8 +51,8 @@ def cluster(
 ) -> DataFrame:
     """``df`` plus a cluster number per row, -1 for noise.
 
-    Clusters are numbered by their least core key; a border row takes the lowest
-    cluster it touches.
+    Clusters are numbered by their least core key, and of equal keys by the least vector; a border
+    row takes the lowest cluster it touches. Keys may repeat or be null: they identify no row.
     """
     grid = _Grid(df, key, columns, eps, min_points)
     numbers = grid.numbers(grid.components())
@@ -86,8 +85,9 @@ class _Grid:
         self.units = stored(self._units())
         # without boxes of several vectors every pair of units is sure or apart
         self.boxes = not self.units.where(F.col("lo") != F.col("hi")).isEmpty()
-        sizes = self.units.groupBy(self._block()).count().agg(F.max("count"), F.sum("count")).first()
-        self.crowded, self.rows = (sizes[0] or 0) > CROWD, sizes[1] or 0
+        self.rows = self.units.count()
+        self.tree = spacetree.fit(self.units, self.rows, CROWD) if self.d else None
+        self.crowded = self.tree is not None
         self.units = stored(self._with_core(self.units))
 
     # -- layout --------------------------------------------------------------
@@ -103,16 +103,16 @@ class _Grid:
         return F.array(*cells) if cells else F.array().cast("array<double>")
 
     def _points(self, df):
-        """Distinct vectors with their row count, least key, node and sub-cell."""
-        vectors = df.groupBy(self._vector().alias("x")).agg(
-            F.count("*").alias("w"), F.min(quoted(self.key)).alias("pid")
-        )
-        vectors = vectors.withColumn("cell", self._cell(self.side))
+        """Distinct vectors with their number, row count, least key, node and sub-cell."""
+        vectors = df.groupBy(self._vector().alias("x")).agg(F.count("*").alias("w"), F.min(quoted(self.key)).alias("key"))
+        # numbers stay what they are, as the table is stored
+        vectors = stored(vectors.withColumn("cell", self._cell(self.side)).withColumn("pid", F.monotonically_increasing_id()))
         cells = vectors.groupBy("cell").agg(F.sum("w").alias("rows"), F.min("pid").alias("rep"))
         dense = F.col("rows") >= self.min_points
         return vectors.join(cells, "cell").select(
             "x",
             "w",
+            "key",
             "pid",
             dense.alias("dense"),
             F.when(dense, F.col("rep")).otherwise(F.col("pid")).alias("node"),
@@ -131,6 +131,7 @@ class _Grid:
         return self.points.groupBy("node", "dense", "sub").agg(
             F.min("pid").alias("uid"),
             F.sum("w").alias("w"),
+            F.min(F.struct("key", "x")).alias("first"),
             _array(lows).alias("lo"),
             _array(highs).alias("hi"),
         )
@@ -138,10 +139,13 @@ class _Grid:
     # -- pairs ---------------------------------------------------------------
 
     def _block(self) -> Column:
-        """The coarse block of a unit; units within eps are in neighbouring blocks."""
-        width = self.eps * (1 + 1 / SUB_CELLS) * (1 + 1e-9)
-        home = [F.floor(F.get("lo", F.lit(i)) / width) for i in range(min(BLOCK_DIMENSIONS, self.d))]
-        return F.array(*home) if home else F.array().cast("array<bigint>")
+        """The part of the space tree in which a unit lives."""
+        return spacetree.home_part(self.tree, F.col("lo"))
+
+    def _reached(self) -> Column:
+        """The parts in which units within eps of a unit can live; a unit is at most a sub-cell wide."""
+        wide = self.eps * (1 + 1e-9)
+        return spacetree.reached_parts(self.tree, F.col("lo"), F.col("hi"), wide + self.side / SUB_CELLS, wide)
 
     def _sample(self, side: DataFrame) -> DataFrame:
         """At most ``SAMPLE`` units per block, cut before the shuffle; a stored table."""
@@ -159,35 +163,20 @@ class _Grid:
         that ``leads`` its block skips blocks led by its own component.
 
         A right side of checked size is broadcast and the left units stay spread. A
-        larger one is joined by block, the units of crowded blocks split by a salt.
+        larger one is joined by part.
         """
-        blocks = min(BLOCK_DIMENSIONS, self.d)
-        shifts = [F.array(*[F.lit(s).cast("bigint") for s in shift])
-                  for shift in itertools.product((-1, 0, 1), repeat=blocks)]
         if self.crowded:
             left = left.repartition(2 * left.sparkSession.sparkContext.defaultParallelism, "uid")
-        a = left.select(*[F.col(c).alias(f"a_{c}") for c in left.columns], self._block().alias("home"))
-        if blocks:
-            a = a.withColumn("shift", F.explode(F.array(*shifts))).withColumn(
-                "block", F.zip_with("home", "shift", lambda h, s: h + s)
-            )
-        else:
-            a = a.withColumn("block", F.col("home"))
+        a = left.select(*[F.col(c).alias(f"a_{c}") for c in left.columns], F.explode(self._reached()).alias("block"))
         if leaders is not None:
             a = attach(a, leaders, ["block"]).where(~F.col("a_leads") | (F.col("leader") != F.col("a_comp"))).drop("leader")
         b = right.select(*[F.col(c).alias(f"b_{c}") for c in right.columns], self._block().alias("block"))
         near, far = self._box_distances()
         limit = self.eps * self.eps
-        keys = ["block"]
         right_rows = self.rows if right_rows is None else right_rows
-        if self.crowded and right_rows > joins.BROADCAST_ROWS:
-            a = a.withColumn("salt", F.pmod(F.xxhash64("a_uid"), F.lit(SALTS)).cast("int"))
-            b = b.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-            keys.append("salt")
-        matched = attach(a, b, keys, known_rows=right_rows).where((F.col("a_node") != F.col("b_node")) & (near <= limit))
-        return matched.withColumn("sure", far <= limit).drop(
-            "home", "shift", *keys, "a_lo", "a_hi", "b_lo", "b_hi"
-        )
+        matched = attach(a, b, ["block"], known_rows=right_rows, values=2 * self.d + 4)
+        matched = matched.where((F.col("a_node") != F.col("b_node")) & (near <= limit))
+        return matched.withColumn("sure", far <= limit).drop("block", "a_lo", "a_hi", "b_lo", "b_hi")
 
     def _box_distances(self) -> tuple[Column, Column]:
         """Least and greatest squared distance between the boxes of a pair."""
@@ -307,14 +296,8 @@ class _Grid:
 
     def numbers(self, comps: DataFrame) -> DataFrame:
         """``node, number``: components numbered by their least core key."""
-        keys = self.units.where("core").join(comps, "node").groupBy("comp").agg(F.min("uid").alias("first"))
-        ordered = keys.orderBy("first")
-        schema = f"first {ordered.schema['first'].dataType.simpleString()}, number bigint"
-        indexed = ordered.select("first").rdd.zipWithIndex().map(lambda e: (e[0][0], e[1]))
-        numbered = self.points.sparkSession.createDataFrame(indexed, schema)
-        return stored(
-            comps.join(keys, "comp").join(numbered, "first").select("node", "number")
-        )
+        firsts = self.units.where("core").join(comps, "node").groupBy("comp").agg(F.min("first").alias("first"))
+        return stored(comps.join(numbered(firsts.select("comp", "first.*"), ["key", "x", "comp"]).select("comp", "number"), "comp").select("node", "number"))
 
     # -- labels ----------------------------------------------------------------
 

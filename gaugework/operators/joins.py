@@ -8,6 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, functions as F
 
 BROADCAST_ROWS = 100_000
+BROADCAST_VALUES = 2_000_000
 
 
 def attach(
@@ -16,17 +17,20 @@ def attach(
     keys: Sequence[str],
     how: str = "inner",
     known_rows: int | None = None,
+    values: int | None = None,
 ) -> DataFrame:
     """Join ``rows`` with one row per group from ``groups``.
 
     ``groups`` is broadcast only when its row count is known, or counted here, to
-    be within ``BROADCAST_ROWS``. A larger one is joined by shuffle, where the
+    be within ``BROADCAST_ROWS`` and, at ``values`` numbers a row (one per column unless
+    told), within ``BROADCAST_VALUES``. A larger one is joined by shuffle, where the
     adaptive skew join splits a hot group.
     """
     if known_rows is None:
         groups = groups.persist()
         known_rows = groups.count()
-    return join_keys(rows, groups, keys, how, known_rows <= BROADCAST_ROWS)
+    small = known_rows <= BROADCAST_ROWS and known_rows * (values or len(groups.columns)) <= BROADCAST_VALUES
+    return join_keys(rows, groups, keys, how, small)
 
 
 def join_keys(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner", small: bool = False) -> DataFrame:

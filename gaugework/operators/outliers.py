@@ -61,6 +61,7 @@ def split_outliers(flagged: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 # -- isolation forest ----------------------------------------------------------
 
+ROW = "_row"  # what tells a row from others while it is drawn
 NODE_SCHEMA = "tree int, node int, feature int, threshold double, left int, right int, length double"
 
 
@@ -127,20 +128,28 @@ def isolation_scores(
 
 
 def _tree_samples(df, key, columns, n, size, trees, seed):
-    """``size`` rows per tree without replacement, by a hash of key and tree.
+    """``size`` rows per tree without replacement, by a hash of row and tree.
+
+    A row is told by its key and values, which makes the draw independent of the layout of the
+    table. Where rows repeat in full they are told by their place instead, so that each of them is
+    drawn for itself and keys play no part.
 
     Rows are thinned by the hash before they are copied to a tree, so the shuffle
     carries about ``2 * size`` rows per tree, not ``trees`` copies of the table.
     """
     space = 1 << 30
     keep = space if n <= 2 * size else min(space, int(space * 2.0 * size / n) + 1)
-    draw = lambda tree: F.pmod(F.xxhash64(quoted(key), tree, F.lit(seed)), F.lit(space))
+    told = F.xxhash64(quoted(key), *[quoted(c) for c in columns])
+    if not df.groupBy(told.alias("row")).count().where("count > 1").isEmpty():
+        told = F.monotonically_increasing_id()
+    df = df.withColumn(ROW, told)
+    draw = lambda tree: F.pmod(F.xxhash64(F.col(ROW), tree, F.lit(seed)), F.lit(space))
     chosen = F.filter(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: draw(t) < keep)
     points = [quoted(c).alias(f"x{i}") for i, c in enumerate(columns)]
-    copies = df.select(quoted(key).alias("row_key"), *points, F.explode(chosen).alias("tree"))
-    ranked = copies.withColumn("draw", F.pmod(F.xxhash64("row_key", "tree", F.lit(seed)), F.lit(space)))
-    order = Window.partitionBy("tree").orderBy("draw", "row_key", *[f"x{i}" for i in range(len(columns))])
-    return ranked.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= size).drop("row_key", "rank")
+    copies = df.select(ROW, *points, F.explode(chosen).alias("tree"))
+    ranked = copies.withColumn("draw", F.pmod(F.xxhash64(ROW, "tree", F.lit(seed)), F.lit(space)))
+    order = Window.partitionBy("tree").orderBy("draw", ROW)
+    return ranked.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= size).drop(ROW, "rank")
 
 
 def _average_path(n) -> np.ndarray | float:

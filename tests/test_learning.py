@@ -5,7 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from gaugework.operators import clustering, dbscan, features, kmeans, outliers, projection
+from gaugework.operators import clustering, dbscan, features, kmeans, outliers, projection, ranks, spacetree
 
 
 def table(spark, x, parts=4):
@@ -150,6 +150,46 @@ def test_dbscan_long_chain_and_identical_rows(spark):
     assert {r["cluster"] for r in dbscan.cluster(same.where("key < 4"), "key", names).collect()} == {-1}
 
 
+def test_dbscan_with_repeated_keys(spark):
+    x = np.array([[c + 0.01 * i, 0.0] for c in (0, 100) for i in range(10)])
+    df, names = table(spark, x)
+    df = df.withColumn("key", (F.col("key") % 8).cast("int"))
+    counts = dbscan.cluster(df, "key", names, eps=0.5).groupBy("cluster").count().collect()
+    assert sorted(map(tuple, counts)) == [(0, 10), (1, 10)]
+    same = df.withColumn("key", F.lit(None).cast("int"))
+    assert {r["cluster"] for r in dbscan.cluster(same, "key", names, eps=0.5).collect()} == {0, 1}
+    assert dbscan.noise_flags(same, "key", names, eps=0.5).where("is_outlier").count() == 0
+
+
+def test_space_tree_reaches_every_neighbour():
+    rng = np.random.default_rng(5)
+    x = np.concatenate([rng.normal(0, 0.01, (400, 3)), rng.uniform(-5, 5, (400, 3)), np.zeros((50, 3))])
+    tree = spacetree.SpaceTree(x[::2], 20)
+    home = tree.home(x)
+    assert 10 < tree.parts <= 64 and np.bincount(home).max() < 200
+    reached = tree.reached(x - 0.3, x + 0.3)
+    for i in range(0, len(x), 7):
+        near = (np.abs(x - x[i]) <= 0.3).all(axis=1)
+        assert set(home[near]) <= set(reached[i]) and len(set(reached[i])) == len(reached[i])
+    assert spacetree.SpaceTree(np.zeros((100, 2)), 10).parts == 1
+
+
+def test_numbered_is_the_order_of_the_table(spark):
+    df = spark.range(1000).select((F.col("id") * 7919 % 1000).alias("v")).repartition(6)
+    assert [(r["v"], r["number"]) for r in ranks.numbered(df, ["v"]).orderBy("number").collect()] == [(i, i) for i in range(1000)]
+    assert ranks.numbered(df.limit(0), ["v"]).count() == 0
+
+
+def test_forest_samples_rows_not_keys(spark):
+    df, names = table(spark, np.random.default_rng(3).normal(size=(4000, 2)))
+    few = df.withColumn("key", F.col("key") % 3)
+    counts = outliers._tree_samples(few, "key", names, 4000, 256, 10, 42).groupBy("tree").agg(F.count("*").alias("n"), F.countDistinct("x0").alias("d")).collect()
+    assert len(counts) == 10 and all(r["n"] == r["d"] == 256 for r in counts)
+    copies = df.limit(2000).unionByName(df.limit(1).crossJoin(spark.range(2000)).drop("id"))
+    shares = outliers._tree_samples(copies, "key", names, 4000, 256, 10, 42).groupBy("tree").agg(F.count("*").alias("n"), F.countDistinct("x0").alias("d")).collect()
+    assert all(r["n"] == 256 and 90 < r["d"] < 170 for r in shares)  # half of the rows are one point
+
+
 # -- k-means -----------------------------------------------------------------------------------------
 
 
