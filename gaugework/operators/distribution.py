@@ -3,19 +3,23 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from gaugework.functions.scalars import non_zero, present, sample_kurtosis, sample_skewness
 from gaugework.operators import quantiles as Q
 from gaugework.operators.joins import attach, join_keys
 from gaugework.operators.profile import nan_to_double
+from gaugework.session import stored
 from gaugework.sources.metrics import METRIC, VALUE
 
 BINS = 50
 GRID_POINTS = 100
 BANDWIDTH = 0.5
+GRIDS = 4_096  # densities that a task adds up at once
 
 
 def _values(long: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -76,9 +80,9 @@ def kde(
 ) -> DataFrame:
     """Gaussian kernel density of the non-zero values at evenly spaced points.
 
-    The kernel width is ``bandwidth`` times the sample deviation. Metrics with one
-    value or without variation have no density. Equal values are counted first, so
-    each distinct value is evaluated once; the sums are formed map-side.
+    The kernel width is ``bandwidth`` times the sample deviation. Metrics with one value or without
+    variation have no density. Every task adds up the grid of each metric it meets, so the shuffle
+    holds grids, not values.
     """
     keys = list(keys)
     values = _values(long, keys)
@@ -89,24 +93,48 @@ def kde(
         F.max(v).alias("hi"),
         (F.stddev_samp(v) * bandwidth).alias("h"),
     )
-    shape = shape.where((F.col("n") > 1) & (F.col("lo") < F.col("hi"))).persist()
-    weighted = values.groupBy(*keys, "v").agg(F.count("*").cast("double").alias("w"))
-    at = F.col("lo") + F.col("point") * ((F.col("hi") - F.col("lo")) / (points - 1))
-    z = (at - F.col("v")) / F.col("h")
-    grid = F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("point")
+    shape = shape.where((F.col("n") > 1) & (F.col("lo") < F.col("hi")))
+    shape = stored(shape.withColumn("step", (F.col("hi") - F.col("lo")) / (points - 1)).withColumn("g", F.monotonically_increasing_id()))
     sums = (
-        attach(weighted, shape, keys)
-        .select(*keys, "v", "w", "lo", "hi", "h", grid)
-        .select(*keys, "point", (F.exp(z * z * -0.5) * F.col("w")).alias("kernel"))
-        .groupBy(*keys, "point")
+        attach(values, shape, keys)
+        .select("g", "v", "lo", "step", "h")
+        .mapInPandas(_grid_sums(points), "g long, point int, kernel double")
+        .groupBy("g", "point")
         .agg(F.sum("kernel").alias("kernel"))
     )
     scale = F.col("n") * F.col("h") * math.sqrt(2 * math.pi)
-    return join_keys(sums, shape, keys).select(
-        *keys, "point", at.alias("x"), (F.col("kernel") / scale).alias("density")
+    return sums.join(shape, "g").select(
+        *keys, "point", (F.col("lo") + F.col("point") * F.col("step")).alias("x"), (F.col("kernel") / scale).alias("density")
     )
 
 
+def _grid_sums(points: int):
+    """Batches (g, v, lo, step, h) to kernel sums (g, point) of the task."""
+    place = np.arange(points)
+
+    def lines(held: dict[int, np.ndarray]) -> pd.DataFrame:
+        many = len(held)
+        return pd.DataFrame({"g": np.repeat(list(held), points), "point": np.tile(place, many), "kernel": np.concatenate(list(held.values()))})
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for g, own in batch.groupby("g", sort=False):
+                values, weights = np.unique(own["v"].to_numpy(), return_counts=True)
+                lo, step, h = own[["lo", "step", "h"]].iloc[0]
+                total = held.setdefault(g, np.zeros(points))
+                for a in range(0, len(values), 2048):
+                    z = (lo + place * step - values[a : a + 2048, None]) / h
+                    total += weights[a : a + 2048] @ np.exp(z * z * -0.5)
+            if len(held) > GRIDS:
+                yield lines(held)
+                held = {}
+        if held:
+            yield lines(held)
+
+    return run
+
+
 def markers(long: DataFrame, keys: Sequence[str] = (METRIC,)) -> DataFrame:
     """Median and upper quartile of the non-zero values."""
     points = Q.percentiles(_values(long, keys), keys, "v", (0.5, 0.75))

@@ -13,7 +13,7 @@ from collections.abc import Callable, Iterable, Sequence
 from dataclasses import dataclass
 from typing import Any
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from gaugework.functions.predicates import (
     Condition,
@@ -28,6 +28,10 @@ from gaugework.sources.metrics import METRIC
 
 Transformation = Callable[[DataFrame], DataFrame]
 
+# Columns of the tagged scan while it is limited.
+GROUP, PLACE, SHARE, SPREAD = "_group", "_place", "_share", "_spread"
+CUT_BEFORE_SHUFFLE = 1_000  # ranks up to which Spark limits a window before the shuffle
+
 
 @dataclass(frozen=True)
 class GroupSpec:
@@ -132,9 +136,7 @@ class ReportBuilder:
     def _single(self, spec: GroupSpec, columns: Sequence[str] | None) -> DataFrame:
         df = self._transformed(spec.transformations)
         result = df.where(all_of(spec.filters, df)) if spec.filters else df
-        sort = spec.sort
-        if spec.limit and self.tie_key in df.columns and self.tie_key not in [c for c, _ in sort]:
-            sort = (*sort, (self.tie_key, True))
+        sort = self._limit_order(spec, df) if spec.limit else spec.sort
         if sort:
             result = result.orderBy(*[_sort_key(df, c, ascending) for c, ascending in sort])
         if columns:
@@ -162,6 +164,69 @@ class ReportBuilder:
             parts.append(wanted.select(tag, *[quoted(c) for c in df.columns]))
         return functools.reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
+    def build_results(self, names: Sequence[str] | None = None, within: Sequence[str] = ()) -> DataFrame:
+        """The results of all groups in one table, as ``build_all`` has them one by one.
+
+        ``within`` names columns, such as a source, that are always shown and whose values have results
+        of their own: limits and places count in each of them.
+
+        Columns: ``group_name``, ``place`` (from 1 in the order of a limited group, else NULL) and every
+        column that a group shows; columns a group does not select are NULL in its rows. Groups with
+        the same transformations share one scan. A limited group keeps its first rows as a ranked
+        window, which Spark also cuts in every task before the shuffle; limits beyond what it cuts
+        there are first applied to shares of a group. Unlimited rows are not sorted here.
+        """
+        parts = []
+        for chain, specs in self._by_transformations(names).items():
+            df = self._transformed(chain)
+            masks = [all_of(s.filters, df) for s in specs]
+            tags = [F.when(mask, F.lit(k)) for k, mask in enumerate(masks)]
+            tagged = df.where(functools.reduce(lambda a, b: a | b, masks)).select(
+                F.explode(F.array_compact(F.array(*tags))).alias(GROUP), *[quoted(c) for c in df.columns]
+            )
+            shows = lambda s, c: not s.columns or c in s.columns or c in within
+            shown = [c for c in df.columns if any(shows(s, c) for s in specs)]
+            place = F.lit(None).cast("int")
+            if any(s.limit for s in specs):
+                tagged, place = self._limited(tagged, df, specs, within), F.when(_of(specs, lambda s: s.limit > 0), F.col(PLACE))
+            cells = [
+                quoted(c) if all(shows(s, c) for s in specs)
+                else F.when(_of(specs, lambda s, c=c: shows(s, c)), quoted(c)).alias(c)
+                for c in shown
+            ]
+            name = F.get(F.array(*[F.lit(s.name) for s in specs]), GROUP)
+            parts.append(tagged.select(name.alias("group_name"), place.alias("place"), *cells))
+        return functools.reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+
+    def _limited(self, tagged: DataFrame, df: DataFrame, specs: Sequence[GroupSpec], within: Sequence[str]) -> DataFrame:
+        """``tagged`` with at most ``limit`` rows of each limited group, numbered in ``PLACE``."""
+        keys = []
+        for k, spec in enumerate(specs):
+            for column, ascending in self._limit_order(spec, df) if spec.limit else ():
+                # the keys of other groups are NULL in all rows of a group and order nothing
+                keys.append(_sort_key(df, column, ascending, lambda cell, k=k: F.when(F.col(GROUP) == k, cell)))
+        most = max(s.limit for s in specs)
+        limit = F.get(F.array(*[F.lit(s.limit or 1) for s in specs]), GROUP)
+        # every row of an unlimited group is alone
+        alone = F.when(_of(specs, lambda s: s.limit > 0), F.lit(-1)).otherwise(F.monotonically_increasing_id())
+        rows = tagged.withColumn(SHARE, alone)
+        partition = [GROUP, SHARE, *[quoted(c) for c in within]]
+        if most > CUT_BEFORE_SHUFFLE:
+            rows = rows.withColumn(SPREAD, F.spark_partition_id())
+            own = F.row_number().over(Window.partitionBy(*partition, SPREAD).orderBy(*keys))
+            rows = rows.withColumn(PLACE, own).where(F.col(PLACE) <= limit).drop(SPREAD)
+        ranked = rows.withColumn(PLACE, F.row_number().over(Window.partitionBy(*partition).orderBy(*keys)))
+        return ranked.where((F.col(PLACE) <= most) & (F.col(PLACE) <= limit))
+
+    def _limit_order(self, spec: GroupSpec, df: DataFrame) -> tuple[tuple[str, bool], ...]:
+        """The sort keys of a limited group, completed by the tie key; it needs at least one."""
+        sort = spec.sort
+        if self.tie_key in df.columns and self.tie_key not in [c for c, _ in sort]:
+            sort = (*sort, (self.tie_key, True))
+        if not sort:
+            raise ValueError(f"the limit of {spec.name!r} needs a sort column or a tie key")
+        return sort
+
     def build_combined(self, group_names: Sequence[str], operation: str = "intersection") -> DataFrame:
         """Base rows that pass all ("intersection") or any ("union") of the groups.
 
@@ -249,11 +314,17 @@ class ReportBuilder:
         return chains
 
 
-def _sort_key(df: DataFrame, column: str, ascending: bool) -> Column:
+def _of(specs: Sequence[GroupSpec], wanted: Callable[[GroupSpec], bool]) -> Column:
+    """Whether a tagged row is of one of the wanted groups."""
+    return F.col(GROUP).isin([k for k, s in enumerate(specs) if wanted(s)])
+
+
+def _sort_key(df: DataFrame, column: str, ascending: bool, within: Callable[[Column], Column] | None = None) -> Column:
     """Missing last in both directions."""
     cell = quoted(column)
     if dict(df.dtypes).get(column) in ("double", "float"):
         cell = nan_to_null(cell)
+    cell = within(cell) if within else cell
     return cell.asc_nulls_last() if ascending else cell.desc_nulls_last()
 
 

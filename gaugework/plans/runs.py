@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime
 import logging
+from collections.abc import Callable, Mapping
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -13,8 +14,8 @@ from gaugework.operators.correlation import correlation_wide
 from gaugework.operators.joins import attach
 from gaugework.operators.profile import overview, overview_long, profile, summary
 from gaugework.plans.groups import ReportBuilder
-from gaugework.plans.reports import ReportConfig
-from gaugework.sources.metrics import METRIC, SOURCE, MetricFrame, read_csv, union_sources
+from gaugework.plans.reports import ReportConfig, metric_report
+from gaugework.sources.metrics import METRIC, SOURCE, MetricFrame, read_csv, read_sources, union_sources
 from gaugework.sources import sinks
 
 RUN_SCHEMA = (
@@ -75,6 +76,37 @@ def overview_sources(frames: dict[str, MetricFrame | DataFrame]) -> DataFrame:
     return overview_long(union_sources(frames), keys=(SOURCE,))
 
 
+def report_sources(
+    spark: SparkSession,
+    paths: Mapping[str, str],
+    folder: str,
+    setup: Callable[[ReportBuilder], ReportBuilder] = metric_report,
+    quantile_mode: str = "exact",
+) -> dict[str, str]:
+    """Profiles, overview, summary and groups of many CSV sources of one header, and where they are.
+
+    All sources are one scan and every table is one write with a folder per source (groups: per
+    source and group), so the number of jobs does not grow with the sources. The tables appear
+    together when all are written; a failure leaves nothing.
+    """
+    long = read_sources(spark, paths).long()
+    profiles = profile(long, keys=(SOURCE, METRIC), quantile_mode=quantile_mode).persist()
+    groups = setup(ReportBuilder(profiles)).build_results(within=[SOURCE])
+    tables = {
+        "metric_profiles": (profiles, [SOURCE]),
+        "overview": (sinks.rounded_text(sinks.flat_overview(overview_long(long, keys=(SOURCE,)))), [SOURCE]),
+        "summary": (summary(profiles, keys=(SOURCE,)), [SOURCE]),
+        "groups": (sinks.rounded_text(groups), [SOURCE, "group_name"]),
+    }
+    try:
+        with sinks.staged(spark, folder) as stage:
+            for name, (df, by) in tables.items():
+                sinks.write_parts(df, f"{stage}/{name}", by)
+    finally:
+        profiles.unpersist()
+    return {name: f"{folder}/{name}" for name in tables}
+
+
 @dataclass
 class Director:
     """Runs registered report configurations and keeps a record per source.
@@ -153,16 +185,20 @@ class Director:
         parts = [folder, self.run, config.builder_name] if with_run else [folder, config.builder_name]
         target = "/".join(parts)
         profiles = profiles.persist()
-        matrix = correlation_wide(frame) if len(frame.metrics) > 1 else None
-        report = ProfilingReport(overview(frame), profiles, matrix, summary(profiles))
-        export_report(report, target, f"profile_{config.file_name}")
-        builder = config.setup(ReportBuilder(profiles))
-        groups = builder.build_all()
-        sinks.save_groups(groups, config.file_name, target)
-        drawn = self._distributions(config, frame, builder, groups, target)
+        try:
+            with sinks.staged(self.spark, target) as stage:
+                matrix = correlation_wide(frame) if len(frame.metrics) > 1 else None
+                report = ProfilingReport(overview(frame), profiles, matrix, summary(profiles))
+                export_report(report, stage, f"profile_{config.file_name}")
+                builder = config.setup(ReportBuilder(profiles))
+                groups = builder.build_all()
+                sinks.save_groups(groups, config.file_name, stage)
+                drawn = self._distributions(config, frame, builder, groups, stage)
+        finally:
+            profiles.unpersist()
+        drawn = [path.replace(stage, target, 1) for path in drawn]
         record = (config.file_name, config.builder_name, target, list(groups), drawn, True, None)
         self.records.append(record)
-        profiles.unpersist()
         return record
 
     def _distributions(self, config, frame, builder, groups, target) -> list[str]:

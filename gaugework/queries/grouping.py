@@ -97,6 +97,20 @@ def group_all_tagged(spark, folder):
     return _part_groups(spark, folder).build_tagged()
 
 
+@query(
+    "group_all_limited",
+    f"""WITH top AS (SELECT *, row_number() OVER (ORDER BY p_size DESC, p_retailprice, p_partkey)::INT AS place FROM part WHERE {TOP}),
+    promo AS (SELECT *, row_number() OVER (ORDER BY p_retailprice DESC, p_partkey)::INT AS place FROM part WHERE {PROMO})
+    SELECT 'cheap_small' AS group_name, NULL::INT AS place, * FROM part WHERE {CHEAP}
+    UNION ALL SELECT 'promo', place, * EXCLUDE (place) FROM promo WHERE place <= 40
+    UNION ALL SELECT 'top_sizes', place, * EXCLUDE (place) REPLACE (NULL AS p_name) FROM top WHERE place <= 25""",
+)
+def group_all_limited(spark, folder):
+    """All groups with sorting, selection and limits from one scan."""
+    builder = _part_groups(spark, folder).switch_group("promo").limit_rows(40)
+    return builder.build_results()
+
+
 @query(
     "group_counts",
     " UNION ALL ".join(

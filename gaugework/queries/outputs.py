@@ -7,13 +7,13 @@ import uuid
 from pyspark.sql import functions as F
 
 from gaugework.operators import profile
-from gaugework.plans.runs import overview_sources, profile_sources
+from gaugework.plans.runs import overview_sources, profile_sources, report_sources
 from gaugework.queries import inputs as I
 from gaugework.queries.oracle import profile_ctes, profile_sql
 from gaugework.queries.registry import query, rounded
 from gaugework.session import shared_folder
 from gaugework.sources import sinks
-from gaugework.sources.metrics import METRIC, read_csv
+from gaugework.sources.metrics import METRIC, read_csv, read_sources
 
 
 @query(
@@ -67,6 +67,46 @@ def multi_source_overview(spark, folder):
     )
 
 
+BY_FLAG = (
+    "long AS ("
+    + " UNION ALL ".join(f"SELECT l_returnflag AS source, '{m}' AS metric_name, {m} AS value FROM lineitem" for m in I.LINE_METRICS)
+    + ")"
+)
+
+
+def _flag_files(spark, folder):
+    """The measures of lineitem as CSV folders, one per return flag."""
+    path = f"{shared_folder(spark)}/flags-{uuid.uuid4().hex}"
+    lines = I.table(spark, folder, "lineitem").select("l_shipdate", *I.LINE_METRICS, "l_returnflag")
+    sinks.write_parts(lines, path, ["l_returnflag"])
+    return {flag: f"{path}/l_returnflag={flag}" for flag in ("A", "N", "R")}
+
+
+@query("multi_source_csv", profile_sql(BY_FLAG, "source, metric_name"))
+def multi_source_csv(spark, folder):
+    """Many CSV sources of one header, read in one scan and profiled in one job."""
+    frame = read_sources(spark, _flag_files(spark, folder))
+    return rounded(profile.profile(frame.long(), keys=("source", METRIC)))
+
+
+@query(
+    "multi_source_report",
+    f"""WITH {BY_FLAG}, {profile_ctes("source, metric_name")}, found AS (
+        SELECT source, 'p75' AS group_name, metric_name, p75 AS v FROM profile WHERE p75 > 1.0
+        UNION ALL SELECT source, 'max_response_time', metric_name, "max" FROM profile WHERE "max" > 1.5
+        UNION ALL SELECT source, 'p95', metric_name, p95 FROM profile WHERE p95 > 1.0
+        UNION ALL SELECT source, 'p25', metric_name, p25 FROM profile WHERE p25 > 0.5
+        UNION ALL SELECT source, 'instabile_service', metric_name, std_dev FROM profile WHERE std_dev > 0.1 AND skewness > 0.3 AND p25 > 0.5)
+    SELECT source, group_name, metric_name, format('{{:.2f}}', v) AS shown FROM found""",
+)
+def multi_source_report(spark, folder):
+    """The shipped report over many CSV sources, written as one run and read back."""
+    written = report_sources(spark, _flag_files(spark, folder), f"{shared_folder(spark)}/run-{uuid.uuid4().hex}")
+    rows = spark.read.options(header=True, inferSchema=False).csv(written["groups"])
+    shown = F.expr("CASE group_name WHEN 'max_response_time' THEN `max` WHEN 'instabile_service' THEN std_dev WHEN 'p25' THEN p25 WHEN 'p75' THEN p75 ELSE p95 END")
+    return rows.select("source", "group_name", METRIC, shown.alias("shown"))
+
+
 @query("csv_profile", profile_sql(I.HOURLY_LONG))
 def csv_profile(spark, folder):
     """The hourly metrics written as CSV, read back with inference and profiled."""

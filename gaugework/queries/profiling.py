@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from gaugework.functions import scalars
-from gaugework.operators import correlation, profile
+from gaugework.operators import correlation, profile, sketches
 from gaugework.queries import inputs as I
-from gaugework.queries.oracle import profile_ctes, profile_sql, r
+from gaugework.queries.oracle import profile_ctes, profile_fields, profile_sql, r
 from gaugework.queries.registry import query, rounded
+from gaugework.session import stored
 from gaugework.sources.metrics import MetricFrame, from_table, shape
 
 
@@ -42,6 +43,39 @@ def profile_approx(spark, folder):
     return rounded(profile.profile(I.line_metrics(spark, folder), quantile_mode="approx"))
 
 
+EXACT = ["mean", "std_dev", "skewness", "kurtosis", "min", "max", "null_count", "non_zero_records", "zero_count", "total_records"]
+
+
+@query(
+    "profile_merged",
+    f"""WITH {I.USER_LONG}, {profile_ctes()} SELECT {profile_fields(["metric_name", *EXACT])}, true AS within FROM profile""",
+)
+def profile_merged(spark, folder):
+    """Profiles added up from the stored states of days; percentiles are held against their ranks."""
+    long = I.user_metrics(spark, folder)
+    days = stored(sketches.metric_states(long.withColumn("day", F.to_date("ts")), parts=["day"]))
+    profiles = sketches.profile_of_states(sketches.merged_states(days)).persist()
+    errors = sketches.rank_errors(long, profiles)
+    worst = F.greatest(*[F.col(f) for f in ("p05", "p25", "median", "p75", "p95")])
+    # a sketch of few values holds them all, yet a rank between two values may fall to either
+    allowed = sketches.RANK_ERROR + F.lit(1.0) / F.col("non_zero_records")
+    return rounded(profiles.select("metric_name", *EXACT).join(errors.select("metric_name", worst.alias("worst")), "metric_name").select(
+        "metric_name", *EXACT, (F.col("worst") <= allowed).alias("within")
+    ))
+
+
+@query(
+    "profile_approx_error",
+    f"""WITH {I.LINE_LONG}, {profile_ctes()} SELECT metric_name, true AS within FROM profile""",
+)
+def profile_approx_error(spark, folder):
+    """Whether the percentiles of the single-scan profile are within the error of their ranks."""
+    frame = I.line_metrics(spark, folder)
+    errors = sketches.rank_errors(frame.long(), profile.profile(frame, quantile_mode="approx"))
+    worst = F.greatest(*[F.col(f) for f in ("p05", "p25", "median", "p75", "p95")])
+    return errors.select("metric_name", (worst <= sketches.RANK_ERROR).alias("within"))
+
+
 def _overview_sql(source: str, ts: str, metrics: int) -> str:
     return (
         f"SELECT {metrics} AS total_metrics, count(*) AS total_timestamps, min({ts}) AS start, max({ts}) AS \"end\", "

@@ -18,6 +18,8 @@ MISSING_TEXTS = [
 
 NUMBER = r"^\s*[+-]?((\d+\.?\d*|\.\d+)([eE][+-]?\d+)?|(?i:inf|infinity))\s*$"
 
+INTEGER = r"^\s*[+-]?\d{1,19}\s*$"
+
 METRIC, VALUE, SOURCE = "metric_name", "value", "source"
 
 
@@ -60,63 +62,222 @@ def from_table(
     return MetricFrame(df.select(*columns), ts, tuple(metrics))
 
 
-def read_text(spark: SparkSession, path: str | Sequence[str], multi_line: bool = False) -> DataFrame:
+CSV = {"header": True, "escape": '"'}
+CORRUPT = "_corrupt_record"
+FILE = "_file"
+
+
+def read_text(spark: SparkSession, path: str | Sequence[str], multi_line: bool = False, malformed: str = "fail") -> DataFrame:
     """A header CSV as text columns, missing texts as NULL; quotes inside cells are doubled.
 
     Files of one header are one scan; files whose columns differ or stand in another order are
     joined by column name. ``multi_line`` lets cells hold line breaks, and files are then not split.
+    A line with fewer cells than the header misses its last ones. A line with more is an error when it
+    is read ("fail"), loses what is too much ("keep") or the whole line ("drop").
     """
-    paths = [path] if isinstance(path, str) else list(path)
-    reader = spark.read.options(header=True, escape='"', multiLine=multi_line)
-    headers: dict[tuple, list[str]] = {}
-    for one in paths:
-        headers.setdefault(tuple(reader.csv(one).columns) if len(paths) > 1 else (), []).append(one)
-    scans = [spark.read.options(header=True, escape='"', multiLine=multi_line).csv(group) for group in headers.values()]
-    raw = functools.reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), scans)
+    raw = _raw_text(spark, path, multi_line, malformed)
     return raw.select(*[_present(quoted(c)).alias(c) for c in raw.columns])
 
 
+def malformed_lines(spark: SparkSession, path: str | Sequence[str], multi_line: bool = False) -> DataFrame:
+    """``line, cells``: the lines whose number of cells is not the header's, and whether they are "few" or "many"."""
+    found = None
+    for columns, group in _by_header(spark, path, multi_line).items():
+        lines = _scan(spark, group, columns, multi_line).where(F.col(CORRUPT).isNotNull() & (F.length(F.concat_ws("", quoted(columns[0]))) >= 0))
+        lines = lines.select(F.col(CORRUPT).alias("line"), F.when(_too_long(columns), "many").otherwise("few").alias("cells"))
+        found = lines if found is None else found.unionByName(lines)
+    return found
+
+
+def _by_header(spark: SparkSession, path: str | Sequence[str], multi_line: bool) -> dict[tuple, list[str]]:
+    headers: dict[tuple, list[str]] = {}
+    for one in [path] if isinstance(path, str) else path:
+        columns = spark.read.options(**CSV, multiLine=multi_line).csv(one).columns
+        headers.setdefault(tuple(columns), []).append(one)
+    return headers
+
+
+def _scan(spark: SparkSession, paths: Sequence[str], columns: Sequence[str], multi_line: bool = False, pruned: bool = False) -> DataFrame:
+    """The cells of files of one header; Spark checks every file's header against it.
+
+    Only a scan that parses all columns sees that a line has too few or too many cells.
+    """
+    schema = T.StructType([T.StructField(c, T.StringType()) for c in [*columns, CORRUPT]])
+    reader = spark.read.options(**CSV, multiLine=multi_line, enforceSchema=False, columnNameOfCorruptRecord=CORRUPT, columnPruning=pruned)
+    return reader.schema(schema).csv(list(paths))
+
+
+def _too_long(columns: Sequence[str]) -> Column:
+    """Of a malformed line: whether it has more cells than the header. Commas in quotes part no cells."""
+    bare = F.regexp_replace(CORRUPT, r'"(?:[^"]|"")*"', "")
+    many = F.regexp_count(bare, F.lit(",")) >= len(columns)
+    # Spark refuses to read the malformed lines alone, so a cell takes part
+    return F.col(CORRUPT).isNotNull() & many & (F.length(F.concat_ws("", quoted(columns[0]))) >= 0)
+
+
+def _checked(scan: DataFrame, columns: Sequence[str], malformed: str) -> DataFrame:
+    if malformed == "keep":
+        return scan
+    if malformed == "drop":
+        return scan.where(~_too_long(columns))
+    if malformed != "fail":
+        raise ValueError(f"malformed lines fail, are kept or dropped, not {malformed!r}")
+    message = F.concat(F.lit(f"more than {len(columns)} cells: "), F.col(CORRUPT))
+    return scan.where(F.when(_too_long(columns), F.raise_error(message)).otherwise(F.lit(True)))
+
+
+def _raw_text(spark: SparkSession, path: str | Sequence[str], multi_line: bool, malformed: str) -> DataFrame:
+    scans = [
+        _checked(_scan(spark, group, columns, multi_line, malformed == "keep"), columns, malformed).select(*[quoted(c) for c in columns])
+        for columns, group in _by_header(spark, path, multi_line).items()
+    ]
+    return functools.reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), scans)
+
+
 def _present(text: Column) -> Column:
     return F.when(~text.isin(MISSING_TEXTS), text)
 
 
 def numeric_columns(text: DataFrame, names: Sequence[str]) -> list[str]:
     """The columns whose every present text is a number, found in one pass."""
+    return [n for n, kind in number_kinds(text, names).items() if kind != "text"]
+
+
+def _kinds_of(names: Sequence[str]) -> list[Column]:
+    """Per column how many present texts are no numbers, how many no integers of 64 bits, how many are missing."""
+    found = []
+    for i, n in enumerate(names):
+        cell = quoted(n)
+        found += [
+            F.count_if(cell.isNotNull() & ~cell.rlike(NUMBER)).alias(f"odd{i}"),
+            F.count_if(cell.isNotNull() & ~(cell.rlike(INTEGER) & F.trim(cell).try_cast("bigint").isNotNull())).alias(f"broken{i}"),
+            F.count_if(cell.isNull()).alias(f"absent{i}"),
+        ]
+    return found
+
+
+def _kind(row, i: int) -> str:
+    if row[f"odd{i}"]:
+        return "text"
+    return "double" if row[f"broken{i}"] or row[f"absent{i}"] else "bigint"
+
+
+def number_kinds(text: DataFrame, names: Sequence[str]) -> dict[str, str]:
+    """Per column "bigint" (integers, none missing), "double" (numbers) or "text", found in one pass."""
     if not names:
-        return []
-    other = [F.count_if(quoted(n).isNotNull() & ~quoted(n).rlike(NUMBER)).alias(f"c{i}") for i, n in enumerate(names)]
-    row = text.agg(*other).first()
-    return [n for n, odd in zip(names, row) if not odd]
+        return {}
+    row = text.agg(*_kinds_of(names)).first()
+    return {n: _kind(row, i) for i, n in enumerate(names)}
 
 
 def _number(text: Column) -> Column:
     return nan_to_null(F.trim(text).cast("double"))
 
 
+def _time(text: Column, numeric: bool) -> Column:
+    return epoch_to_timestamp(_number(text)) if numeric else F.to_timestamp(text)
+
+
 def read_csv(
     spark: SparkSession,
     path: str | Sequence[str],
     ts_col: str | None = None,
     metrics: Sequence[str] | None = None,
+    malformed: str = "fail",
 ) -> MetricFrame:
     """A metric CSV. Naming ``metrics`` saves the pass that finds numeric columns."""
-    text = read_text(spark, path)
+    text = read_text(spark, path, malformed=malformed)
     ts = ts_col or text.columns[0]
     others = [c for c in text.columns if c != ts] if metrics is None else list(metrics)
     numeric = numeric_columns(text, [ts] + (others if metrics is None else []))
-    time = epoch_to_timestamp(_number(quoted(ts))) if ts in numeric else F.to_timestamp(quoted(ts))
     chosen = [c for c in others if c in numeric] if metrics is None else others
-    columns = [time.alias(ts)] + [_number(quoted(c)).alias(c) for c in chosen]
+    columns = [_time(quoted(ts), ts in numeric).alias(ts)] + [_number(quoted(c)).alias(c) for c in chosen]
     return MetricFrame(text.select(*columns), ts, tuple(chosen))
 
 
-def read_table(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
-    """Any header CSV as a typed table: numbers as doubles, the rest as text."""
-    text = read_text(spark, path)
-    numeric = set(numeric_columns(text, text.columns))
-    return text.select(
-        *[(_number(quoted(c)) if c in numeric else quoted(c)).alias(c) for c in text.columns]
-    )
+def read_table(spark: SparkSession, path: str | Sequence[str], malformed: str = "fail") -> DataFrame:
+    """Any header CSV as a typed table: integers without gaps as such, other numbers as doubles, the rest as text."""
+    text = read_text(spark, path, malformed=malformed)
+    typed = {"bigint": lambda c: F.trim(quoted(c)).cast("bigint"), "double": lambda c: _number(quoted(c)), "text": quoted}
+    kinds = number_kinds(text, text.columns)
+    return text.select(*[typed[kinds[c]](c).alias(c) for c in text.columns])
+
+
+@dataclass(frozen=True)
+class SourceFrame:
+    """Wide readings of many sources with one header; ``SOURCE`` names the source of a row.
+
+    ``metrics`` are the columns that are numeric in some source; in the others they are NULL and
+    ``by_source`` leaves them out.
+    """
+
+    df: DataFrame
+    ts: str
+    metrics: tuple[str, ...]
+    by_source: dict[str, tuple[str, ...]]
+
+    def long(self) -> DataFrame:
+        """``source, ts, metric_name, value`` with missing readings kept, metrics of other sources left out."""
+        rows = self.df.unpivot([F.col(SOURCE), quoted(self.ts).alias("ts")], [quoted(m) for m in self.metrics], METRIC, VALUE)
+        partial = [m for m in self.metrics if any(m not in own for own in self.by_source.values())]
+        for m in partial:
+            rows = rows.where((F.col(METRIC) != m) | F.col(SOURCE).isin([s for s, own in self.by_source.items() if m in own]))
+        return rows
+
+    def only(self, source: str) -> MetricFrame:
+        """One source as a frame of its own, read from its files alone where they are folders."""
+        own = self.by_source[source]
+        rows = self.df.where(F.col(SOURCE) == source)
+        return MetricFrame(rows.select(quoted(self.ts), *[quoted(m) for m in own]), self.ts, own)
+
+
+def _plain_path(path: Column) -> Column:
+    """A file's path without scheme, host and escapes."""
+    bare = F.regexp_replace(path, r"^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?/*", "/")
+    return F.regexp_replace(bare, r"/+$", "")
+
+
+def read_sources(
+    spark: SparkSession, paths: Mapping[str, str], ts_col: str | None = None, metrics: Sequence[str] | None = None, malformed: str = "fail"
+) -> SourceFrame:
+    """Metric CSV files or folders of one header as one table: one scan, one pass for all types.
+
+    The header is read from one file; Spark checks the others against it and fails on a difference.
+    A column is a metric of the sources in which all its present texts are numbers. The number of
+    jobs does not depend on the number of files; a row per source reaches the driver.
+    """
+    names = list(paths)
+    columns = spark.read.options(**CSV).csv(paths[names[0]]).columns
+    scan = _checked(_scan(spark, list(paths.values()), columns, pruned=malformed == "keep"), columns, malformed)
+    decoded = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+    text = scan.select(*[_present(quoted(c)).alias(c) for c in columns], _plain_path(decoded).alias(FILE))
+    known = spark.createDataFrame([(p, n) for n, p in paths.items()], f"path string, {SOURCE} string").select(_plain_path(F.col("path")).alias("path"), SOURCE)
+    folder = F.regexp_replace(FILE, r"/[^/]*$", "")
+    # a row per source, as the caller names them
+    files, folders = F.broadcast(known.withColumnRenamed(SOURCE, "_one")), F.broadcast(known.withColumnRenamed(SOURCE, "_two"))
+    text = text.join(files, F.col(FILE) == files["path"], "left").drop("path").join(folders, folder == folders["path"], "left").drop("path")
+    text = text.withColumn(SOURCE, F.coalesce("_one", "_two")).drop("_one", "_two", FILE)
+
+    ts = ts_col or columns[0]
+    others = [c for c in columns if c != ts] if metrics is None else list(metrics)
+    tested = [ts, *(others if metrics is None else [])]
+    kinds = {row[SOURCE]: [_kind(row, i) for i in range(len(tested))] for row in text.groupBy(SOURCE).agg(*_kinds_of(tested)).collect()}
+    numeric = {c: [s for s, found in kinds.items() if found[i] != "text"] for i, c in enumerate(tested)}
+    for c in others if metrics is not None else ():
+        numeric[c] = list(kinds)
+
+    def where_numeric(c: str, value: Column, other: Column) -> Column:
+        if len(numeric[c]) == len(kinds):
+            return value
+        return F.when(F.col(SOURCE).isin(numeric[c]), value).otherwise(other)
+
+    chosen = [c for c in others if numeric[c]]
+    time = where_numeric(ts, _time(quoted(ts), True), _time(quoted(ts), False)) if numeric[ts] else _time(quoted(ts), False)
+    none = F.lit(None).cast("double")
+    # numbers are tried, as a text column of another source may stand in the same rows
+    cells = [where_numeric(c, nan_to_null(F.trim(quoted(c)).try_cast("double")), none).alias(c) for c in chosen]
+    by_source = {s: tuple(c for c in chosen if s in numeric[c]) for s in names}
+    return SourceFrame(text.select(F.col(SOURCE), time.alias(ts), *cells), ts, tuple(chosen), by_source)
 
 
 def union_sources(frames: Mapping[str, MetricFrame | DataFrame]) -> DataFrame:

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+import contextlib
+import uuid
+from collections.abc import Iterator, Mapping
 
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from gaugework.functions.scalars import float_text, quoted, two_decimals
 
@@ -19,6 +21,39 @@ def write_csv(df: DataFrame, path: str) -> str:
     return path
 
 
+@contextlib.contextmanager
+def staged(spark: SparkSession, target: str) -> Iterator[str]:
+    """A folder to write to that becomes ``target`` when the block ends well, and goes when it fails.
+
+    Readers see all tables of a run or none: the last step is a rename in the file system of
+    ``target``, and what stood there before makes way for it and is deleted afterwards.
+    """
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    final = path(target)
+    files = final.getFileSystem(spark._jsc.hadoopConfiguration())
+    mark = uuid.uuid4().hex
+    stage, old = path(f"{target}.staging-{mark}"), path(f"{target}.replaced-{mark}")
+    try:
+        yield stage.toString()
+        files.mkdirs(stage)  # a run without a table publishes an empty folder
+        replaced = files.exists(final) and files.rename(final, old)
+        if not files.rename(stage, final):
+            if replaced:
+                files.rename(old, final)
+            raise OSError(f"cannot publish {target}")
+        if replaced:
+            files.delete(old, True)
+    except BaseException:
+        files.delete(stage, True)
+        raise
+
+
+def write_parts(df: DataFrame, path: str, by: list[str]) -> str:
+    """A header CSV folder with a folder per value of ``by``."""
+    df.write.mode("overwrite").partitionBy(*by).options(**CSV_OPTIONS).csv(path)
+    return path
+
+
 def rounded_text(df: DataFrame) -> DataFrame:
     """Floating columns as text with two decimals."""
     return df.select(
