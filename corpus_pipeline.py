@@ -8,7 +8,8 @@ from gaugework.llm import exact, leaks, mixing, near, toxic
 from gaugework.llm.queries import fold, table
 from gaugework.session import stored
 
-REJECT_TOXIC = 0.5
+# Held out at sf0.1 (120 toxic, 870 clean): 9 missed and 8 clean ones rejected; at 0.3 it is 8 and 15, at 0.5 13 and 7.
+REJECT_TOXIC = 0.4
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
