@@ -3,12 +3,13 @@
 Documents are read as words (runs of letters and digits, lower case). A window of a document is as
 long as a benchmark item. Only windows that share at least one shingle with the benchmark can be
 similar to an item at all; each of these gets a 64-bit SimHash of its words, by running sums per
-bit. The fingerprints of the items of a length are indexed by ``RADIUS + 1`` blocks of bits: two
-fingerprints within ``RADIUS`` bits agree in a whole block, so none is missed. Fingerprints of similar
-windows can be further apart. So every window with enough benchmark shingles to be similar is also a
-candidate for the items of which it holds an anchor: a similar window holds one of any ``anchors(n)``
-shingles of the item, and the rarest ones are taken. All candidates are verified by the exact
-weighted Jaccard similarity of their shingles (weight: occurrences), so no similar window is missed.
+bit. The fingerprints of the items of a length are indexed by blocks of bits, one more than the
+radius of that length: two fingerprints within the radius agree in a whole block, so none is
+missed. The radius follows from the most words in which a similar window can differ from an item of
+that length; all but a few ten thousandths of the similar windows lie within it. Windows beyond it are
+looked for by anchors: a similar window holds one of any ``anchors(n)`` shingles of the item, and the
+rarest ones are taken. All candidates are verified by the exact weighted Jaccard similarity of
+their shingles (weight: occurrences), so no similar window is missed.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ from gaugework.session import stored
 
 WORDS = 5
 SIMILARITY = 0.8
-RADIUS = 15
+SIGMAS = 3.8  # deviations of the distance of fingerprints that a radius allows for
 BLOCK_BYTES = 16 << 20  # benchmark text that is broadcast at once
 
 
@@ -55,15 +56,27 @@ def anchors(own: int, threshold: float) -> int:
     return own - max(math.ceil(threshold * own - 1e-9), 1) + 1
 
 
+def radius_of(words: int, shingles: int, threshold: float) -> int:
+    """Bits in which the fingerprints of an item and of a similar window differ at most, but for rare chance.
+
+    A similar window lacks at most so many shingles of the item, and at an end every changed word
+    costs one. With a share ``r`` of the words in common the votes of a bit have correlation ``r``, so
+    their signs differ with probability ``acos(r) / pi``.
+    """
+    changed = shingles - int(least_shared(shingles, np.array([shingles]), threshold)[0])
+    odds = math.acos(max(1 - changed / words, 0.0)) / math.pi + 0.5 / math.sqrt(math.tau * words)  # the latter: ties of even votes
+    return min(math.ceil(64 * odds + SIGMAS * math.sqrt(64 * odds * (1 - odds))), 32)
+
+
 class LengthIndex:
     """The items of one number of words, by blocks of their fingerprints and by their anchors."""
 
-    def __init__(self, items: np.ndarray, prints: np.ndarray, rare: list[np.ndarray]):
-        self.items, self.prints = items, prints
+    def __init__(self, items: np.ndarray, prints: np.ndarray, rare: list[np.ndarray], radius: int):
+        self.items, self.prints, self.radius = items, prints, radius
         names, places = np.concatenate(rare), np.repeat(np.arange(len(items)), [len(r) for r in rare])
         order = np.argsort(names, kind="stable")
         self.anchors, self.anchored = names[order], places[order]
-        cuts = [round(64 * k / (RADIUS + 1)) for k in range(RADIUS + 2)]
+        cuts = [round(64 * k / (radius + 1)) for k in range(radius + 2)]
         self.blocks = []
         for a, b in zip(cuts, cuts[1:]):
             shift, mask = np.uint64(a), np.uint64((1 << (b - a)) - 1)
@@ -80,7 +93,7 @@ class LengthIndex:
             n = high - low
             at = np.repeat(np.arange(len(windows)), n)
             place = order[np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low, n)]
-            near = np.bitwise_count(windows[at] ^ self.prints[place]) <= RADIUS
+            near = np.bitwise_count(windows[at] ^ self.prints[place]) <= self.radius
             pairs.append(at[near] * len(self.items) + place[near])
         return np.unique(np.concatenate(pairs))
 
@@ -123,7 +136,7 @@ class BenchmarkIndex:
         for n in np.unique(lengths[lengths > 0]):
             items, size = np.flatnonzero(lengths == n), min(k, int(n))
             rare = [self.rarest(i, anchors(int(n) - size + 1, threshold), *known[size]) for i in items]
-            self.lengths[int(n)] = LengthIndex(items, prints[items], rare)
+            self.lengths[int(n)] = LengthIndex(items, prints[items], rare, radius_of(int(n), int(n) - size + 1, threshold))
         self.maybe = {size: np.bincount((s >> np.uint64(42)).astype(np.int64), minlength=1 << 22) > 0 for size, s in self.shingles.items()}
 
     def rarest(self, item: int, wanted: int, names: np.ndarray, used: np.ndarray) -> np.ndarray:
@@ -147,8 +160,11 @@ class BenchmarkIndex:
         both = np.where(names[place] == own, np.minimum(counts[place], times), 0).sum()
         return float(both / (counts.sum() + times.sum() - both))
 
-    def search(self, words: np.ndarray, bounds: np.ndarray) -> Iterator[tuple[int, int, float, int, int]]:
-        """(text, item, similarity, first word, words) of every similar window of the texts."""
+    def search(self, words: np.ndarray, bounds: np.ndarray, beyond: bool = True) -> Iterator[tuple[int, int, float, int, int, bool]]:
+        """(text, item, similarity, first word, words, whether within the radius) of every similar window of the texts.
+
+        Without ``beyond`` only windows within the radius are looked at.
+        """
         for size in self.shingles:
             # a shingle for every word, the last ones of a text cut short and never hit
             shingles, _ = _running(words, bounds, size)
@@ -180,12 +196,13 @@ class BenchmarkIndex:
                     continue
                 starts, stops, owner, lengths = starts[able], stops[able], owner[able], lengths[able]
                 near = index.candidates(_windows(words, bounds, np.unique(owner), owner, starts, lengths))
-                pairs = np.union1d(near, index.holding(hit, shingles[hit], starts, stops))
-                for w, p in zip(pairs // len(index.items), pairs % len(index.items)):
-                    a, m = starts[w], lengths[w]
-                    value = self.similarity(index.items[p], shingles[a : stops[w]])
-                    if value >= self.threshold:
-                        yield int(owner[w]), int(index.items[p]), value, int(a - bounds[owner[w]]), int(m)
+                far = np.setdiff1d(index.holding(hit, shingles[hit], starts, stops), near, assume_unique=True) if beyond else near[:0]
+                for pairs, within in ((near, True), (far, False)):
+                    for w, p in zip(pairs // len(index.items), pairs % len(index.items)):
+                        a, m = starts[w], lengths[w]
+                        value = self.similarity(index.items[p], shingles[a : stops[w]])
+                        if value >= self.threshold:
+                            yield int(owner[w]), int(index.items[p]), value, int(a - bounds[owner[w]]), int(m), within
 
 
 def _running(words: np.ndarray, bounds: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -203,7 +220,7 @@ def _windows(words, bounds, used, owner, starts, lengths) -> np.ndarray:
     return fingerprints(part, starts + moved, lengths)
 
 
-def _searcher(index, ids: list, schema: pa.Schema):
+def _searcher(index, ids: list, schema: pa.Schema, beyond: bool):
     def run(batches):
         own, names = pickle.loads(index.value), ids.value
         hasher = WordHasher(words_only=True)
@@ -211,17 +228,18 @@ def _searcher(index, ids: list, schema: pa.Schema):
             docs, hashes = batch.column("doc_id"), batch.column("text_hash")
             for first, texts in chunks(t and t.lower() for t in strings(batch.column("text"))):
                 best: dict = {}
-                for text, item, value, start, n in own.search(*hasher(texts)):
+                for text, item, value, start, n, within in own.search(*hasher(texts), beyond):
                     rank = (value, -start)
                     if (text, item) not in best or rank > best[text, item][0]:
-                        best[text, item] = (rank, n)
+                        best[text, item] = (rank, n, within)
                 if best:
                     at = pa.array([first + text for text, _ in best], pa.int64())
                     found = list(best.values())
                     yield pa.RecordBatch.from_arrays(
                         [
                             docs.take(at), hashes.take(at), pa.array([names[i] for _, i in best], schema.field("item_id").type),
-                            pa.array([r[0] for r, _ in found], pa.float64()), pa.array([-r[1] for r, _ in found], pa.int64()), pa.array([n for _, n in found], pa.int64()),
+                            pa.array([r[0] for r, _, _ in found], pa.float64()), pa.array([-r[1] for r, _, _ in found], pa.int64()),
+                            pa.array([n for _, n, _ in found], pa.int64()), pa.array([w for _, _, w in found], pa.bool_()),
                         ],
                         schema=schema,
                     )
@@ -239,8 +257,12 @@ def leaks(
     words: int = WORDS,
     similarity: float = SIMILARITY,
     block_bytes: int = BLOCK_BYTES,
+    beyond: bool = True,
 ) -> DataFrame:
-    """One row per document and item that it holds: doc_id, text_hash, item_id, similarity, start_word, n_words.
+    """One row per document and item that it holds: doc_id, text_hash, item_id, similarity, start_word, n_words, within_radius.
+
+    ``within_radius`` tells that the fingerprint of that window led to the item; without ``beyond``
+    there are no others.
 
     The best window is given, of equal ones the first. A document shorter than an item is one
     window. Items go to the tasks in blocks of about ``block_bytes``; every block meets all
@@ -250,7 +272,7 @@ def leaks(
     """
     spark = docs.sparkSession
     kinds = docs.schema[doc_id].dataType.simpleString(), benchmark.schema[item_id].dataType.simpleString()
-    fields = f"doc_id {kinds[0]}, text_hash long, item_id {kinds[1]}, similarity double, start_word long, n_words long"
+    fields = f"doc_id {kinds[0]}, text_hash long, item_id {kinds[1]}, similarity double, start_word long, n_words long, within_radius boolean"
     body = quoted(text).cast("string")
     source = docs.select(quoted(doc_id).alias("doc_id"), F.xxhash64(body).alias("text_hash"), body.alias("text"))
     items = benchmark.select(quoted(item_id).alias("item_id"), quoted(item_text).cast("string").alias("text")).filter("text IS NOT NULL")
@@ -262,11 +284,11 @@ def leaks(
         # as bytes that hold the class as well: workers need not have the package
         index = spark.sparkContext.broadcast(cloudpickle.dumps(BenchmarkIndex([r["text"] for r in rows], words, similarity)))
         ids = spark.sparkContext.broadcast([r["item_id"] for r in rows])
-        part = source.mapInArrow(_searcher(index, ids, arrow_schema(fields)), fields)
+        part = source.mapInArrow(_searcher(index, ids, arrow_schema(fields), beyond), fields)
         found = part if found is None else found.unionByName(part)
-    best = F.max(F.struct("similarity", (-F.col("start_word")).alias("_early"), "n_words")).alias("best")
+    best = F.max(F.struct("similarity", (-F.col("start_word")).alias("_early"), "n_words", "within_radius")).alias("best")
     return found.groupBy("doc_id", "text_hash", "item_id").agg(best).select(
-        "doc_id", "text_hash", "item_id", "best.similarity", (-F.col("best._early")).alias("start_word"), "best.n_words"
+        "doc_id", "text_hash", "item_id", "best.similarity", (-F.col("best._early")).alias("start_word"), "best.n_words", "best.within_radius"
     )
 
 

@@ -53,21 +53,41 @@ MIX_SQL = r"""
         FROM totals WINDOW before AS (ORDER BY 3.0 * source_size / weight, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
     ), goals AS (
         SELECT source, source_size, least(3.0 * source_size, weight * max(level) OVER ())::DOUBLE AS target FROM filled
+    ), sizes AS (
+        SELECT source, size, count(*) AS n FROM items GROUP BY ALL
+    ), bounds AS (
+        SELECT g.source, g.target, max(s.size) AS largest FROM goals g JOIN sizes s ON s.source IS NOT DISTINCT FROM g.source AND s.size > 0
+        WHERE g.target > 0 AND g.target < 3.0 * (1 - 1e-12) * g.source_size GROUP BY ALL
+    ), newton AS (
+        SELECT source, target, largest, 0.0::DOUBLE AS m, -1e7::DOUBLE AS lo, 1e7::DOUBLE AS hi, 0 AS step FROM bounds
+        UNION ALL
+        SELECT source, target, largest,
+               CASE WHEN abs(off) <= 1e-13 * target THEN m
+                    WHEN slope > 0 AND m - off / slope > CASE WHEN off < 0 THEN m ELSE lo END AND m - off / slope < CASE WHEN off > 0 THEN m ELSE hi END THEN m - off / slope
+                    ELSE (CASE WHEN off < 0 THEN m ELSE lo END + CASE WHEN off > 0 THEN m ELSE hi END) / 2 END,
+               CASE WHEN off < 0 THEN m ELSE lo END, CASE WHEN off > 0 THEN m ELSE hi END, step + 1
+        FROM (SELECT w.source, w.target, w.largest, w.m, w.lo, w.hi, w.step,
+                     sum(s.n * s.size * least(exp(least(w.m * (s.size / w.largest), 700.0)), 3.0)) - w.target AS off,
+                     sum(CASE WHEN exp(least(w.m * (s.size / w.largest), 700.0)) < 3.0 THEN s.n * s.size * (s.size / w.largest) * exp(least(w.m * (s.size / w.largest), 700.0)) ELSE 0 END) AS slope
+              FROM newton w JOIN sizes s ON s.source IS NOT DISTINCT FROM w.source AND s.size > 0 WHERE w.step < 64 GROUP BY w.source, w.target, w.largest, w.m, w.lo, w.hi, w.step)
     ), plan AS (
-        SELECT *, CASE WHEN source_size > 0 THEN least(3.0::DOUBLE, target / source_size) ELSE 0 END AS rate FROM goals
-    ), ranked AS (
-        SELECT i.doc_id, i.size, p.source, p.source_size, p.target, p.rate,
-               row_number() OVER (PARTITION BY i.source ORDER BY i.size DESC, i.doc_id % 256, i.doc_id) AS place
+        SELECT g.*, w.m, w.largest FROM goals g LEFT JOIN newton w ON w.source IS NOT DISTINCT FROM g.source AND w.step = 64
+    ), rated AS (
+        SELECT i.doc_id, i.size, p.source, p.source_size, p.target,
+               floor(1000000 * CASE WHEN i.size = 0 OR p.target <= 0 THEN 0.0 WHEN p.m IS NULL THEN 3.0
+                                    ELSE least(exp(least(p.m * (i.size / p.largest), 700.0)), 3.0) END + 0.5)::BIGINT AS rate
         FROM items i JOIN plan p ON i.source IS NOT DISTINCT FROM p.source
+    ), ranked AS (
+        SELECT *, (sum(rate) OVER (PARTITION BY source ORDER BY size DESC, doc_id % 256, doc_id ROWS UNBOUNDED PRECEDING))::BIGINT AS upto FROM rated
     ), tried AS (
-        SELECT source, target, phase, sum(size * (floor(rate * place + phase) - floor(rate * (place - 1) + phase))) AS words
-        FROM ranked, (SELECT (2 * range + 1) / 64.0::DOUBLE AS phase FROM range(32)) GROUP BY ALL
+        SELECT source, target, phase, sum(size * ((upto + phase) // 1000000 - (upto - rate + phase) // 1000000)) AS words
+        FROM ranked, (SELECT (2 * range + 1) * 15625 AS phase FROM range(32)) GROUP BY ALL
     ), best AS (
         SELECT source, arg_min(phase, (abs(words - target), phase)) AS phase, arg_min(target - words, (abs(words - target), phase)) AS gap
         FROM tried GROUP BY source
     ), rounded AS (
-        SELECT r.*, b.gap,
-               CASE WHEN size > 0 THEN (floor(rate * place + phase) - floor(rate * (place - 1) + phase))::BIGINT ELSE 1 END AS copies
+        SELECT r.* EXCLUDE (upto), b.gap,
+               CASE WHEN size > 0 THEN ((upto + phase) // 1000000 - (upto - rate + phase) // 1000000)::BIGINT ELSE 1 END AS copies
         FROM ranked r JOIN best b ON r.source IS NOT DISTINCT FROM b.source
     ), able AS (
         SELECT *, size > 0 AND CASE WHEN gap > 0 THEN copies + 1 <= 3 ELSE copies > 0 END AS can FROM rounded

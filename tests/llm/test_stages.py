@@ -134,3 +134,102 @@ def test_toxic_stage_keeps_odd_columns(spark):
     field = toxic.fit(docs, labels, F.lit(True))
     out = toxic.without_toxic(docs, field, 0.3)
     assert out.columns == docs.columns and {r["doc_id"] for r in out.collect()} == set(range(0, 80, 2))
+
+
+def test_pipeline_against_planted_rows(spark, tmp_path):
+    """Toxic, copied, nearly copied and leaking documents go, all others stay until the mix."""
+    import random
+
+    import corpus_pipeline
+
+    draw = random.Random(6)
+    vocabulary = [f"{a}{b}{c}" for a in ("mar", "tel", "so", "vin") for b in ("ka", "lo", "mi") for c in ("n", "st", "re", "d")]
+    calm = lambda n: " ".join(draw.choice(vocabulary) for _ in range(n))
+    rows, clean = [], set()
+    for i in range(120):
+        rows.append((i, calm(60), f"s{i % 3}"))
+        clean.add(i)
+    for i in range(200, 260):  # toxic
+        rows.append((i, " ".join(draw.choice(["you vile rotten scum", "disgusting filthy liar", calm(2)]) for _ in range(15)), "s0"))
+    for i in range(300, 310):  # copies: the largest id stays
+        rows.append((i, rows[0][1], "s1"))
+    clean = clean - {0} | {309}
+    for i in range(400, 410):  # near copies: the smallest id stays
+        words = rows[1][1].split()
+        words[30] = f"other{i}"
+        rows.append((i, " ".join(words), "s2"))
+    bench = calm(25)
+    for i in range(500, 505):  # passages of the benchmark
+        rows.append((i, f"{calm(30)} {bench} {calm(20)}", "s1"))
+    rows.append((600, None, None))
+    clean.add(600)
+    draw.shuffle(rows)
+    names = "doc_id long, text string, source string"
+    spark.createDataFrame(rows, names).repartition(4).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, int(200 <= i < 260)) for i, _, _ in rows if i < 300], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, bench)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES[:4]:
+        docs = corpus_pipeline.stored(stage(spark, docs, str(tmp_path)))
+    assert docs.columns == ["doc_id", "text", "source"]
+    assert sorted(r["doc_id"] for r in docs.collect()) == sorted(clean)
+    mixed = corpus_pipeline.STAGES[4][1](spark, docs, str(tmp_path)).collect()
+    text = {i: t for i, t, _ in rows}
+    assert {r["doc_id"] for r in mixed} <= clean and all(r["text"] == text[r["doc_id"]] for r in mixed)
+    sizes, taken = {}, {}
+    for i, t, s in rows:
+        if i in clean:
+            sizes[s] = sizes.get(s, 0) + len((t or "").split())
+    for r in mixed:
+        taken[r["source"]] = taken.get(r["source"], 0) + len((r["text"] or "").split())
+    total = sum(sizes.values())
+    for source, weight in (("s0", 1), ("s1", 2), ("s2", 3)):  # the null source, without words, weighs 1 and is at its limit of 0
+        assert abs(taken[source] - total * weight / 6) <= 60
+
+
+def plain_rate(sizes, target, limit=3.0):
+    """The multiplier by bisection on the sum over single documents."""
+    import math
+
+    most, lo, hi = max(sizes), -1e5, 1e5
+    for _ in range(300):
+        mid = (lo + hi) / 2
+        if sum(s * min(limit, math.exp(min(mid * s / most, 700))) for s in sizes) < target:
+            lo = mid
+        else:
+            hi = mid
+    return {s: min(limit, math.exp(min(lo * s / most, 700))) for s in sizes}
+
+
+def test_rates_solve_the_dual(spark):
+    import random
+
+    draw = random.Random(3)
+    docs = [(i, "w " * draw.choice([1, 3, 10, 40, 300]), "abc"[i % 3]) for i in range(400)]
+    mix = mixing.entropy_mix(spark.createDataFrame(docs, "doc_id long, text string, source string")).collect()
+    for source in "abc":
+        own = [r for r in mix if r["source"] == source]
+        rates = plain_rate([r["size"] for r in own], own[0]["target"])
+        assert all(abs(r["rate"] - rates[r["size"]]) <= 1e-6 for r in own)
+        assert len({round(r["rate"], 6) for r in own}) > 1  # tilted by size
+        assert all(abs(r["copies"] - r["rate"]) <= 2 for r in own)
+
+
+def test_fingerprints_find_the_similar_windows(spark):
+    import random
+
+    draw = random.Random(9)
+    word = lambda: "".join(draw.choice("abcdefgh") for _ in range(6))
+    items = [(i, " ".join(word() for _ in range(draw.randrange(15, 60)))) for i in range(60)]
+    docs = []
+    for i, text in items:
+        w = text.split()
+        for k in range(20):
+            cut = draw.randrange(0, max(len(w) // 9, 1))
+            some = w[cut:] if k % 2 else w[: len(w) - cut]
+            docs.append((len(docs), " ".join([word() for _ in range(k)] + some + [word() for _ in range(k)])))
+    docs, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id int, text string")
+    names = ["doc_id", "item_id", "start_word", "n_words"]
+    every = leaks.leaks(docs, bench).select(*names).collect()
+    near = set(leaks.leaks(docs, bench, beyond=False).select(*names).collect())
+    assert len(every) > 1000 and len(near & set(every)) >= 0.999 * len(every)
