@@ -86,6 +86,15 @@ def fit_many(
     return [best[k] for k in ks]
 
 
+def from_centers(df: DataFrame, columns: Sequence[str], centers: np.ndarray) -> Model:
+    """The model of given centres: every row goes to the nearest one, and one scan adds the rows up."""
+    centers = np.asarray(centers, float)
+    points = df.select(*[quoted(c).alias(f"x{i}") for i, c in enumerate(columns)])
+    (sizes, sums, norms, cost), *_ = _pass(points, len(columns), [centers])
+    means = np.divide(sums, sizes[:, None], out=centers.copy(), where=sizes[:, None] > 0)
+    return Model(centers, sizes, means, norms, cost)
+
+
 def _seed_points(points: DataFrame, size: int, rows: int, seed: int) -> np.ndarray:
     """A hash sample of at most ``SEED_ROWS`` rows to place the first centres.
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
+from pyspark.sql import DataFrame
+
 from gaugework.plans.groups import ReportBuilder
 from gaugework.sources.metrics import MetricFrame
 
@@ -70,10 +72,11 @@ def metric_report(builder: ReportBuilder, limits: Thresholds = Thresholds()) ->
 class ReportConfig:
     """One source and the report to run on it.
 
-    ``source`` is a CSV path or a ready ``MetricFrame``; ``setup`` declares groups.
+    ``source`` is a CSV path, a ready ``MetricFrame`` or a long table with ``ts``, ``metric_name`` and
+    ``value``, which gets no correlation matrix; ``setup`` declares groups.
     """
 
-    source: str | MetricFrame
+    source: str | MetricFrame | DataFrame
     file_name: str
     builder_name: str
     generate_visualization: bool = True

@@ -144,7 +144,7 @@ class Director:
         With ``fail_fast`` the first failure ends the run, else it is recorded and
         the other sources go on.
         """
-        frames: dict[str, MetricFrame] = {}
+        frames: dict[str, MetricFrame | DataFrame] = {}
         for name, config in self.configs.items():
             try:
                 frames[name] = self._frame(config)
@@ -173,8 +173,8 @@ class Director:
         """Sources per outcome."""
         return self.results().groupBy("success").agg(F.count("*").alias("n_files"))
 
-    def _frame(self, config: ReportConfig) -> MetricFrame:
-        if isinstance(config.source, MetricFrame):
+    def _frame(self, config: ReportConfig) -> MetricFrame | DataFrame:
+        if isinstance(config.source, (MetricFrame, DataFrame)):
             return config.source
         return read_csv(self.spark, config.source)
 
@@ -187,8 +187,10 @@ class Director:
         profiles = profiles.persist()
         try:
             with sinks.staged(self.spark, target) as stage:
-                matrix = correlation_wide(frame) if len(frame.metrics) > 1 else None
-                report = ProfilingReport(overview(frame), profiles, matrix, summary(profiles))
+                wide = isinstance(frame, MetricFrame)
+                matrix = correlation_wide(frame) if wide and len(frame.metrics) > 1 else None
+                about = overview(frame) if wide else overview_long(frame)
+                report = ProfilingReport(about, profiles, matrix, summary(profiles))
                 export_report(report, stage, f"profile_{config.file_name}")
                 builder = config.setup(ReportBuilder(profiles))
                 groups = builder.build_all()
@@ -204,8 +206,8 @@ class Director:
     def _distributions(self, config, frame, builder, groups, target) -> list[str]:
         """Tables for the flagged groups; a failure here is only a warning.
 
-        The metrics of a wide source are columns, so a group names the few columns
-        to read.
+        The metrics of a wide source are columns, so a group names the few columns to read; the
+        readings of a long source are joined with the group.
         """
         if not config.generate_visualization:
             return []
@@ -213,10 +215,14 @@ class Director:
         for name in builder.visualizations:
             path = f"{target}/{config.file_name}_{name}_distribution"
             try:
-                wanted = [row[METRIC] for row in groups[name].select(METRIC).collect()]
-                if not wanted:
+                if isinstance(frame, MetricFrame):
+                    wanted = [row[METRIC] for row in groups[name].select(METRIC).collect()]
+                    readings = frame.only(wanted).long() if wanted else None
+                else:
+                    readings = None if groups[name].isEmpty() else group_readings(frame, groups[name])
+                if readings is None:
                     continue
-                for table, df in distributions(frame.only(wanted).long()).items():
+                for table, df in distributions(readings).items():
                     sinks.write_csv(df, f"{path}/{table}.csv")
                 paths.append(path)
             except Exception as error:

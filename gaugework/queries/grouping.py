@@ -86,6 +86,16 @@ def group_nulls_last(spark, folder):
     return builder.limit_rows(300).build_single()
 
 
+@query(
+    "group_nulls_last_ascending",
+    f"WITH {I.DOCS} SELECT doc_id, quality FROM docs WHERE doc_id % 5 < 3 ORDER BY quality NULLS LAST, doc_id LIMIT 350",
+)
+def group_nulls_last_ascending(spark, folder):
+    docs = I.labelled_documents(spark, folder)
+    builder = ReportBuilder(docs, tie_key="doc_id").create_filter_group("some").add_filter(F.col("doc_id") % 5 < 3)
+    return builder.set_sorting(["quality"]).select_columns(["doc_id", "quality"]).limit_rows(350).build_single()
+
+
 @query(
     "group_all_tagged",
     " UNION ALL ".join(

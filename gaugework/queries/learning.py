@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from gaugework.operators import clustering, dbscan, features, kmeans, outliers, profile, projection
@@ -9,6 +11,9 @@ from gaugework.operators.profile import PROFILE_FIELDS
 from gaugework.queries import inputs as I
 from gaugework.queries.oracle import profile_ctes, r
 from gaugework.queries.registry import query, rounded
+from gaugework.session import shared_folder
+from gaugework.sources import sinks
+from gaugework.sources.metrics import read_table
 
 PROFILE_FEATURES = list(PROFILE_FIELDS[1:])
 
@@ -176,6 +181,18 @@ def outlier_iforest(spark, folder):
     return _flagged(spark, folder, "isolation_forest", outlier_fraction=0.07)[0].select("metric_name", "is_outlier")
 
 
+PLANTED = [f"f{i}" for i in range(8)]
+
+
+@query("outlier_iforest_planted", "SELECT vec_id FROM embeddings WHERE vec_id % 100 = 0")
+def outlier_iforest_planted(spark, folder):
+    """Every hundredth vector is moved far away; the forest flags these and no others."""
+    far = F.col("vec_id") % 100 == 0
+    moved = [F.when(far, F.col(f) * 50 + 40).otherwise(F.col(f)).alias(f) for f in PLANTED]
+    points = I.vectors(spark, folder).select("vec_id", *moved)
+    return outliers.isolation_forest_flags(points, "vec_id", PLANTED, 0.01).where("is_outlier").select("vec_id")
+
+
 # -- density clusters ----------------------------------------------------------------------
 
 DENSITY_FEATURES = ["mean", "std_dev", "zero_percentage"]
@@ -209,6 +226,13 @@ def dbscan_clusters(spark, folder):
     return dbscan.cluster(prepared, prep.key, prep.prepared).select("metric_name", "cluster")
 
 
+@query("clustered_csv", DENSITY + " SELECT metric_name, cluster::BIGINT AS cluster FROM labelled")
+def clustered_csv(spark, folder):
+    """The clustered table written as CSV and read again with its types."""
+    path = f"{shared_folder(spark)}/clustered-{uuid.uuid4().hex}"
+    return read_table(spark, sinks.write_csv(dbscan_clusters(spark, folder), path))
+
+
 @query("outlier_dbscan", DENSITY + " SELECT metric_name, cluster < 0 AS is_outlier FROM labelled")
 def outlier_dbscan(spark, folder):
     prepared, prep = _density_input(spark, folder)
@@ -229,6 +253,61 @@ def kmeans_clusters(spark, folder):
     return kmeans.by_least_key(kmeans.assign(points, I.FEATURES, model), "vec_id", model).select("vec_id", "cluster")
 
 
+def _given_centers(points, k):
+    """The first vectors as centres, so that another engine can use the same."""
+    rows = points.where(F.col("vec_id") < k).orderBy("vec_id").select(*I.FEATURES).collect()  # k rows
+    return [list(r) for r in rows]
+
+
+# Squared distances of all vectors to the first ones, which serve as centres 0, 1, ..
+TO_CENTERS = """points AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings),
+    far AS (SELECT p.vec_id, p.e, c.vec_id AS cluster, pow(list_distance(p.e, c.e), 2) AS d FROM points p, points c WHERE c.vec_id < 5)"""
+
+
+@query(
+    "kmeans_assignment",
+    f"WITH {TO_CENTERS} SELECT vec_id, arg_min(cluster, (d, cluster))::INT AS cluster FROM far GROUP BY vec_id",
+)
+def kmeans_assignment(spark, folder):
+    """Every vector's nearest of five given centres."""
+    points = _vectors(spark, folder)
+    model = kmeans.from_centers(points, I.FEATURES, _given_centers(points, 5))
+    return kmeans.assign(points, I.FEATURES, model).select("vec_id", "cluster")
+
+
+@query(
+    "kmeans_step",
+    f"""WITH {TO_CENTERS}, own AS (SELECT vec_id, any_value(e) AS e, arg_min(cluster, (d, cluster))::INT AS cluster, min(d) AS d FROM far GROUP BY vec_id)
+    SELECT cluster, count(*)::DOUBLE AS size, {", ".join(f"{r(f'avg(e[{i + 1}])')} AS f{i}" for i in range(4))}, {r("sum(sum(d)) OVER ()")} AS wcss
+    FROM own GROUP BY cluster""",
+)
+def kmeans_step(spark, folder):
+    """The centres that one pass moves to, the rows of each and the cost of the pass."""
+    points = _vectors(spark, folder)
+    model = kmeans.from_centers(points, I.FEATURES, _given_centers(points, 5))
+    rows = [(i, float(model.sizes[i]), *map(float, model.means[i][:4]), float(model.cost)) for i in range(model.k) if model.sizes[i]]
+    return rounded(spark.createDataFrame(rows, "cluster int, size double, f0 double, f1 double, f2 double, f3 double, wcss double"))
+
+
+@query(
+    "k_choice",
+    f"""WITH {TO_CENTERS}, ks AS (SELECT unnest([2, 3, 4, 5])::INT AS k),
+    own AS (SELECT k, vec_id, any_value(e) AS e, arg_min(cluster, (d, cluster)) AS cluster, min(d) AS d FROM far JOIN ks ON cluster < k GROUP BY k, vec_id),
+    sizes AS (SELECT k, cluster, count(*) AS n FROM own GROUP BY ALL),
+    met AS (SELECT a.k, a.vec_id, a.cluster AS own, b.cluster AS other, sum(pow(list_distance(a.e, b.e), 2)) AS d FROM own a JOIN own b USING (k) GROUP BY ALL),
+    means AS (SELECT m.k, vec_id, max(CASE WHEN own = other THEN s.n END) AS n, max(CASE WHEN own = other THEN d / greatest(s.n - 1, 1) END) AS a,
+        min(CASE WHEN own <> other THEN d / s.n END) AS b FROM met m JOIN sizes s ON s.k = m.k AND s.cluster = m.other GROUP BY ALL),
+    scores AS (SELECT k, avg(CASE WHEN n = 1 OR b IS NULL THEN 0.0 ELSE (b - a) / greatest(a, b) END) AS s FROM means GROUP BY k),
+    costs AS (SELECT k, sum(d) AS c FROM own GROUP BY k)
+    SELECT k, {r("c")} AS wcss, {r("s")} AS silhouette, k = first_value(k) OVER (ORDER BY s DESC, k) AS best FROM scores JOIN costs USING (k)""",
+)
+def k_choice(spark, folder):
+    """Cost and silhouette of given models with two to five centres, and the choice among them."""
+    points = _vectors(spark, folder)
+    models = [kmeans.from_centers(points, I.FEATURES, _given_centers(points, k)) for k in (2, 3, 4, 5)]
+    return rounded(kmeans.k_table(points, I.FEATURES, models))
+
+
 @query("select_k")
 def select_k(spark, folder):
     profiles = user_profiles(spark, folder)
@@ -306,3 +385,66 @@ def feature_importance(spark, folder):
     profiles = user_profiles(spark, folder)
     prep = features.fit_preparation(profiles, weights=WEIGHTS)
     return projection.feature_importance(prep.beside(profiles), prep.prepared, prep.features)
+
+
+# -- projection of the prepared profiles, whose first components stand apart, beside power iteration ------
+
+
+def _power(name: str, matrix: str) -> str:
+    """CTE ``name`` (v): the leading eigenvector of the list of lists ``c`` in the CTE ``matrix``."""
+    start = ", ".join(f"{1 / (i + 1)}::DOUBLE" for i in range(len(PROFILE_FEATURES)))
+    return f"""{name}_steps AS (SELECT 0 AS step, [{start}] AS v
+        UNION ALL SELECT step + 1, list_transform(w, lambda x: x / sqrt(list_dot_product(w, w)))
+        FROM (SELECT step, list_transform(c, lambda line: list_dot_product(line, v)) AS w FROM {name}_steps, {matrix} WHERE step < 500)),
+    {name} AS (SELECT v, list_dot_product(v, list_transform(c, lambda line: list_dot_product(line, v))) AS value FROM {name}_steps, {matrix} WHERE step = 500)"""
+
+
+_LINES = ", ".join("[" + ", ".join(f"covar_samp({_q(a)}, {_q(b)})" for b in PROFILE_FEATURES) + "]" for a in PROFILE_FEATURES)
+COMPONENTS = (
+    _prepared_sql(STANDARD, BY_NAME).replace("WITH ", "WITH RECURSIVE ", 1)
+    + f", gram AS (SELECT [{_LINES}] AS c FROM prepared), {_power('one', 'gram')}, "
+    + "rest AS (SELECT list_transform(c, lambda line, i: list_transform(line, lambda x, j: x - value * v[i] * v[j])) AS c FROM gram, one), "
+    + _power("two", "rest")
+)
+_TRACE = " + ".join(f"c[{i + 1}][{i + 1}]" for i in range(len(PROFILE_FEATURES)))
+
+
+def _prepared_profiles(spark, folder):
+    profiles = user_profiles(spark, folder)
+    prep = features.fit_preparation(profiles, weights=WEIGHTS)
+    return prep.beside(profiles), prep
+
+
+@query(
+    "profile_importance",
+    COMPONENTS + f" SELECT unnest({PROFILE_FEATURES!r}) AS feature, unnest(list_transform(v, lambda x: {r('abs(x)')})) AS importance FROM one",
+)
+def profile_importance(spark, folder):
+    prepared, prep = _prepared_profiles(spark, folder)
+    return rounded(projection.feature_importance(prepared, prep.prepared, prep.features))
+
+
+@query(
+    "profile_variance",
+    COMPONENTS
+    + f""" SELECT 1 AS component, {r(f"value / ({_TRACE})")} AS explained_variance FROM one, gram
+    UNION ALL SELECT 2, {r(f"two.value / ({_TRACE})")} FROM two, gram""",
+)
+def profile_variance(spark, folder):
+    prepared, prep = _prepared_profiles(spark, folder)
+    return rounded(projection.explained_variance(prepared, prep.prepared))
+
+
+_SIGNED = "CASE WHEN list_max(v) >= -list_min(v) THEN 1 ELSE -1 END"
+_CENTRED = ", ".join(f"{_q(n)} - avg({_q(n)}) OVER ()" for n in PROFILE_FEATURES)
+
+
+@query(
+    "profile_components",
+    COMPONENTS
+    + f""", placed AS (SELECT metric_name, [{_CENTRED}] AS x FROM prepared)
+    SELECT metric_name, {r(f"list_dot_product(x, v) * {_SIGNED}", 4)} AS pc1 FROM placed, one""",
+)
+def profile_components(spark, folder):
+    prepared, prep = _prepared_profiles(spark, folder)
+    return rounded(projection.pca_points(prepared, prep.prepared, [prep.key], k=1), 4)

@@ -7,7 +7,8 @@ import uuid
 from pyspark.sql import functions as F
 
 from gaugework.operators import profile
-from gaugework.plans.runs import overview_sources, profile_sources, report_sources
+from gaugework.plans.reports import ReportConfig
+from gaugework.plans.runs import Director, overview_sources, profile_sources, report_sources
 from gaugework.queries import inputs as I
 from gaugework.queries.oracle import profile_ctes, profile_sql
 from gaugework.queries.registry import query, rounded
@@ -107,6 +108,27 @@ def multi_source_report(spark, folder):
     return rows.select("source", "group_name", METRIC, shown.alias("shown"))
 
 
+@query(
+    "run_records",
+    f"""WITH {BY_FLAG}, {profile_ctes("source, metric_name")}
+    SELECT source AS builder_name, true AS success, 5 AS n_reports,
+        (count(*) FILTER ("max" > 1.5) + count(*) FILTER (std_dev > 0.1 AND skewness > 0.3 AND p25 > 0.5) + count(*) FILTER (p25 > 0.5)
+        + count(*) FILTER (p75 > 1.0) + count(*) FILTER (p95 > 1.0))::BIGINT AS group_rows, count(*) AS profile_rows FROM profile GROUP BY source""",
+)
+def run_records(spark, folder):
+    """A run over three CSV sources, its records, and what its sinks wrote, read back."""
+    director = Director(spark, run="run")
+    for flag, path in _flag_files(spark, folder).items():
+        director.register(ReportConfig(path, "lines", flag, generate_visualization=False))
+    records = director.process_all(f"{shared_folder(spark)}/records-{uuid.uuid4().hex}").collect()  # a row per source
+    lines = []
+    for r in records:
+        read = lambda name, at=r["export_path"]: spark.read.csv(f"{at}/{name}.csv", header=True).count()
+        groups = sum(read(f"lines_{g}") for g in r["reports_generated"])
+        lines.append((r["builder_name"], r["success"], len(r["reports_generated"]), groups, read("profile_lines_metric_profiles")))
+    return spark.createDataFrame(lines, "builder_name string, success boolean, n_reports int, group_rows bigint, profile_rows bigint")
+
+
 @query("csv_profile", profile_sql(I.HOURLY_LONG))
 def csv_profile(spark, folder):
     """The hourly metrics written as CSV, read back with inference and profiled."""

@@ -110,3 +110,16 @@ def test_report_setup_is_reusable(spark, sources):
 
     builder = metric_report(ReportBuilder(profile(read_csv(spark, sources[0]))))
     assert builder.affected_categories(["p75"]).collect()[0]["category"] == "svc"
+
+
+def test_long_sources(spark, sources, tmp_path):
+    frame = read_csv(spark, sources[0])
+    director = Director(spark, run="r")
+    director.register(ReportConfig(frame.long(), "long", "long"))
+    director.register(ReportConfig(sources[0], "wide", "wide"))
+    results = {r["builder_name"]: r for r in director.process_all(str(tmp_path)).collect()}
+    assert all(r["success"] for r in results.values())
+    by_name = lambda name: sorted(rows(f"{tmp_path}/r/{name}/profile_{name}_metric_profiles.csv"), key=lambda r: r["metric_name"])
+    assert by_name("long") == by_name("wide")
+    assert rows(f"{tmp_path}/r/long/profile_long_overview.csv") == rows(f"{tmp_path}/r/wide/profile_wide_overview.csv")
+    assert len(results["long"]["visualization_path"]) == len(results["wide"]["visualization_path"]) > 0
