@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, functions as F
 
 # Spark writes a double in scientific form outside this range.
@@ -92,16 +91,31 @@ def run_stamp(ts: Column) -> Column:
 
 
 def two_decimals(value: Column) -> Column:
-    """Text with two decimals, NULL kept NULL (a CSV writer leaves it empty).
+    """Text with two decimals, NULL and NaN as NULL (a CSV writer leaves it empty).
 
-    The exact binary value is rounded, which needs more digits than the JVM prints.
+    The exact binary value is rounded, ties to even. Below 10^13 the JVM's number format does just
+    that; above, whole part and fraction of a double are exact numbers and are written apart. From
+    2^93 on the shortest digits of the value are written, zeros behind them.
     """
-
-    @F.pandas_udf("string")
-    def formatted(values: pd.Series) -> pd.Series:
-        return values.map(lambda v: None if pd.isna(v) else f"{v:.2f}")
-
-    return formatted(value.cast("double"))
+    v = nan_to_null(value.cast("double"))
+    size = F.abs(v)
+    plain = lambda x: F.replace(F.format_number(x, 2), F.lit(","), F.lit(""))
+    low = F.least(size, F.lit(2.0**93))
+    whole = low - F.pmod(low, F.lit(1.0))
+    rest = plain(low - whole)
+    high = (whole - F.pmod(whole, F.lit(2.0**40))) / 2.0**40
+    digits = (
+        high.cast("bigint").cast("decimal(38,0)") * F.lit(2**40).cast("decimal(13,0)")
+        + F.pmod(whole, F.lit(2.0**40)).cast("bigint")
+        + F.when(rest == "1.00", 1).otherwise(0)
+    )
+    apart = F.concat(F.when(v < 0, "-").otherwise(""), digits.cast("string"), F.substring(rest, 2, 3))
+    return (
+        F.when(v.isNull(), F.lit(None).cast("string"))
+        .when(size == float("inf"), F.when(v < 0, "-inf").otherwise("inf"))
+        .when((size < 1e13) | (size >= 2.0**93), plain(v))
+        .otherwise(apart)
+    )
 
 
 def float_text(value: Column) -> Column:

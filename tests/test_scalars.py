@@ -1,4 +1,5 @@
 import datetime
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -49,3 +50,14 @@ def test_epoch_and_stamp(spark):
     assert got == [datetime.datetime(2024, 1, 1), datetime.datetime(2024, 1, 1, 1, 0, 0, 500000)]
     stamps = column(spark, [1704067200.0]).select(S.run_stamp(S.epoch_to_timestamp(F.col("v"))).alias("r"))
     assert stamps.first()["r"] == "2024-01-01_00-00-00"
+
+
+def test_two_decimals_as_python_prints_them(spark):
+    draw = random.Random(12)
+    values = [draw.uniform(-1, 1) * 10.0 ** draw.randrange(-4, 28) for _ in range(3000)]
+    values += [k / 8 for k in range(-40, 41)] + [k + 0.005 for k in range(200)] + [2.0**k + 0.5 for k in range(52)] + [-0.0, 0.0, -0.001, 1e13, 123456789012345.99, 2.0**63, 1e22, float("inf"), -float("inf")]
+    df = spark.createDataFrame([(v,) for v in values], "x double")
+    for r in df.select("x", S.two_decimals(F.col("x")).alias("t")).collect():
+        assert r["t"] == f"{r['x']:.2f}", r
+    odd = spark.createDataFrame([(None,), (float("nan"),)], "x double").select(S.two_decimals(F.col("x")).alias("t"))
+    assert [r["t"] for r in odd.collect()] == [None, None]
