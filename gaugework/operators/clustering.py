@@ -5,13 +5,14 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from gaugework.functions.scalars import quoted
 from gaugework.operators import dbscan, kmeans, outliers
 from gaugework.operators.features import METHODS as SCALINGS, fit_preparation, split
 from gaugework.session import stored
 
+KEYS = "_keys"  # several key columns as one
 CLUSTERINGS = ("kmeans", "dbscan")
 MIN_ROWS_TO_CHOOSE_K = 10
 
@@ -51,13 +52,21 @@ class Clustering:
         self,
         df: DataFrame,
         auto_optimize: bool = False,
-        key_col: str | None = None,
+        key_col: str | Sequence[str] | None = None,
         features: Sequence[str] | None = None,
     ) -> DataFrame:
         """``df`` plus ``cluster``: -1 for outliers, 0.. for the clusters of the rest.
 
-        ``auto_optimize`` picks the number of clusters when more than ten rows remain.
+        ``auto_optimize`` picks the number of clusters when more than ten rows remain. Several key
+        columns, such as source and metric, count as one key; keys order the cluster numbers and
+        need not be unique, as every row is labelled for itself.
         """
+        if key_col is not None and not isinstance(key_col, str):
+            keys = list(key_col)
+            if features is None:
+                features = [f.name for f in df.schema.fields if f.name not in keys and isinstance(f.dataType, T.NumericType)]
+            packed = df.withColumn(KEYS, F.struct(*[quoted(c) for c in keys]))
+            return self.fit_predict(packed, auto_optimize, KEYS, features).drop(KEYS)
         key, _ = split(df, key_col, features)
         flagged, prep = self.flag(df, key_col, features)
         flagged = stored(flagged)

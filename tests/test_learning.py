@@ -296,3 +296,15 @@ def test_pca(spark):
     np.testing.assert_allclose(shares, values[::-1][:2] / values.sum(), rtol=1e-6)
     importance = {r["feature"]: r["importance"] for r in projection.feature_importance(df, names).collect()}
     assert max(importance, key=importance.get) == "x0"
+
+
+def test_several_key_columns(spark):
+    x = blobs(30, 2, centers=((0, 0), (9, 9)))
+    df, names = table(spark, x)
+    both = df.withColumn("source", F.when(F.col("key") % 2 == 0, "s").otherwise("t")).withColumn("key", (F.col("key") / 2).cast("int"))
+    for method in ("kmeans", "dbscan"):
+        run = clustering.Clustering(outlier_method=None, clustering_method=method, n_clusters=2)
+        found = run.fit_predict(both, key_col=["source", "key"], features=names)
+        assert found.columns == [*both.columns, "cluster"]
+        rows = found.groupBy((F.col("x0") > 4.5).alias("far"), "cluster").count().where("cluster >= 0").collect()
+        assert len(rows) == 2 and {r["cluster"] for r in rows} == {0, 1}
