@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import contextvars
 import functools
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -45,6 +47,9 @@ def _local_folder(application: str) -> str:
     return tempfile.mkdtemp(prefix=f"gaugework-{application}-")
 
 
+_on_the_way: contextvars.ContextVar[list | None] = contextvars.ContextVar("on_the_way", default=None)
+
+
 def stored(df: DataFrame) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back.
 
@@ -54,4 +59,27 @@ def stored(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/stored-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    made = _on_the_way.get()
+    if made is not None:
+        made.append(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def settled(spark: SparkSession, build: Callable[[], DataFrame]) -> DataFrame:
+    """The stored result of ``build``; tables that it stored on the way are then deleted.
+
+    Nothing reads them any more once the result is written whole. After a failure they stay. The
+    result itself belongs to the ``settled`` call around this one, if there is one.
+    """
+    outer = _on_the_way.set([])
+    try:
+        result = build()
+        made = _on_the_way.get()
+    finally:
+        _on_the_way.reset(outer)
+    result = stored(result)
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path
+    for path in made:
+        folder = hadoop(path)
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+    return result
