@@ -31,6 +31,13 @@ CLOSE = 1e-13  # of a target, where a step is the last one
 MILLION = 1_000_000
 PHASES = 32
 SHARES = 256
+PRIME, FACTOR = 2**31 - 1, 1_327_217_885  # the factor is the golden share of 2**31
+
+
+def dealt(doc_id: Column) -> Column:
+    """Integer ids dealt into ``SHARES`` parts, ids in even steps too, in terms that any SQL has."""
+    spread = F.pmod(F.pmod(doc_id.cast("long"), F.lit(PRIME)) * F.lit(FACTOR), F.lit(PRIME))
+    return F.call_function("div", spread, F.lit(2**31 // SHARES))
 
 
 def word_count(text: str | Column) -> Column:

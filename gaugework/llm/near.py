@@ -27,8 +27,8 @@ from gaugework.llm.exact import tree_merge
 from gaugework.llm.graph import components
 from gaugework.llm.rows import packed, quoted, unpacked
 from gaugework.llm.words import WordHasher, chunks, mix, shingle_hashes
-from gaugework.operators.joins import join_keys
-from gaugework.session import stored
+from gaugework.operators.joins import join_hot, join_keys
+from gaugework.session import settled, stored
 
 WORDS = 5
 SIMILARITY = 0.8
@@ -290,7 +290,11 @@ def near_duplicates(
 
 
 def _verdicts(docs: DataFrame, doc_id: str, text: str, words: int = WORDS, similarity: float = SIMILARITY, missed: float = MISSED, leaf: int = LEAF) -> DataFrame:
-    """The rows of ``near_duplicates`` with hash and size of their own text."""
+    """The rows of ``near_duplicates`` with hash and size of their own text, stored."""
+    return settled(docs.sparkSession, lambda: _linked(docs, doc_id, text, words, similarity, missed, leaf))
+
+
+def _linked(docs: DataFrame, doc_id: str, text: str, words: int, similarity: float, missed: float, leaf: int) -> DataFrame:
     spark = docs.sparkSession
     kind = docs.schema[doc_id].dataType.simpleString()
     body = quoted(text).cast("string")
@@ -327,12 +331,13 @@ def _verdicts(docs: DataFrame, doc_id: str, text: str, words: int = WORDS, simil
 
     links = found.groupBy("row").agg(F.sum("links").alias("links"))
     roots = components(found.select(F.col("row").alias("a"), F.col("joint").alias("b")))
-    least = roots.join(sets.select("row", "doc_id"), F.col("node") == F.col("row"))
+    least = stored(roots.join(sets.select("row", "doc_id"), F.col("node") == F.col("row")).select("node", "root", "doc_id", "row"))
     best = least.groupBy("root").agg(F.min(F.struct("doc_id", "row")).alias("best"))
-    joined = stored(least.select("node", "root").join(best, "root").join(links, F.col("node") == F.col("row")).select(F.col("node").alias("_rep"), "best", "links"))
+    joined = join_hot(least.select("node", "root"), best, "root").join(links, F.col("node") == F.col("row"))
+    joined = stored(joined.select(F.col("node").alias("winner_row"), "best", "links"))
 
     rows = profile.select("doc_id", "text_hash", "n_bytes", "row", "n").join(classes, "row", "left")
-    rows = rows.join(joined, F.col("winner.row") == F.col("_rep"), "left")
+    rows = join_hot(stored(rows.withColumn("winner_row", F.col("winner.row"))), joined, "winner_row", "left")
     winner = F.coalesce("best", "winner", F.struct("doc_id", "row"))
     others = F.coalesce("members", F.lit(1)) - 1 + F.coalesce("links", F.lit(0))
     kept = (winner["row"] == F.col("row")).alias("kept")

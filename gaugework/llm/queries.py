@@ -78,7 +78,7 @@ MIX_SQL = r"""
                                     ELSE least(exp(least(p.m * (i.size / p.largest), 700.0)), 3.0) END + 0.5)::BIGINT AS rate
         FROM items i JOIN plan p ON i.source IS NOT DISTINCT FROM p.source
     ), ranked AS (
-        SELECT *, (sum(rate) OVER (PARTITION BY source ORDER BY size DESC, doc_id % 256, doc_id ROWS UNBOUNDED PRECEDING))::BIGINT AS upto FROM rated
+        SELECT *, (sum(rate) OVER (PARTITION BY source ORDER BY size DESC, doc_id % 2147483647 * 1327217885 % 2147483647 // 8388608, doc_id ROWS UNBOUNDED PRECEDING))::BIGINT AS upto FROM rated
     ), tried AS (
         SELECT source, target, phase, sum(size * ((upto + phase) // 1000000 - (upto - rate + phase) // 1000000)) AS words
         FROM ranked, (SELECT (2 * range + 1) * 15625 AS phase FROM range(32)) GROUP BY ALL
@@ -92,7 +92,7 @@ MIX_SQL = r"""
     ), able AS (
         SELECT *, size > 0 AND CASE WHEN gap > 0 THEN copies + 1 <= 3 ELSE copies > 0 END AS can FROM rounded
     ), reached AS (
-        SELECT *, sum(size) OVER (PARTITION BY source, can ORDER BY size, doc_id % 256, doc_id ROWS UNBOUNDED PRECEDING) - 0.5 * size AS upto
+        SELECT *, sum(size) OVER (PARTITION BY source, can ORDER BY size, doc_id % 2147483647 * 1327217885 % 2147483647 // 8388608, doc_id ROWS UNBOUNDED PRECEDING) - 0.5 * size AS upto
         FROM able
     )
     SELECT doc_id, size::BIGINT AS size, source_size, round(target, 6) AS target,
@@ -104,7 +104,7 @@ MIX_SQL = r"""
 @query("op6_entropy_mix", MIX_SQL)
 def op6(spark: SparkSession, folder: str) -> DataFrame:
     documents = table(spark, folder, "documents")
-    mix = mixing.entropy_mix(documents, share=F.pmod("doc_id", F.lit(mixing.SHARES)))
+    mix = mixing.entropy_mix(documents, share=mixing.dealt(F.col("doc_id")))
     return mix.select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), "taken")
 
 
