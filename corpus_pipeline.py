@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from gaugework.llm import exact, leaks, mixing, near, toxic
 from gaugework.llm.queries import fold, table
-from gaugework.session import stored
+from gaugework.session import settled
 
 # Held out at sf0.1 (120 toxic, 870 clean): 9 missed and 8 clean ones rejected; at 0.3 it is 8 and 15, at 0.5 13 and 7.
 REJECT_TOXIC = 0.4
@@ -35,7 +35,7 @@ def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The copies of each document that the mix takes, numbered in mix_copy."""
-    return mixing.mixed_documents(docs, share=F.pmod("doc_id", F.lit(mixing.SHARES)))
+    return mixing.mixed_documents(docs, share=mixing.dealt(F.col("doc_id")))
 
 
 STAGES = [
@@ -51,8 +51,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents, each one's result written and read again."""
-    docs = table(spark, sf_dir, "documents")
-    for _, stage in STAGES:
-        docs = stored(stage(spark, docs, sf_dir))
-    return docs
+    """All stages over the documents, each one's result written and read again.
+
+    What a stage stored on its way, and the result of the stage before, is deleted once its own
+    result is written; after a failure all tables stay.
+    """
+    def upto(done: int) -> DataFrame:
+        if not done:
+            return table(spark, sf_dir, "documents")
+        stage = STAGES[done - 1][1]
+        return settled(spark, lambda: stage(spark, upto(done - 1), sf_dir))
+
+    return upto(len(STAGES))
