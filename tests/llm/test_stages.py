@@ -7,6 +7,7 @@ from pathlib import Path
 import pytest
 from pyspark.sql import functions as F
 
+from gaugework.session import stored
 from gaugework.llm import exact, leaks, mixing, near, pages, toxic
 
 ODD = "_gone_id int, _rows int, _size int, _nth int, _sha int, mix_copy int, `a.b` int, row int, times int"
@@ -170,7 +171,7 @@ def test_pipeline_against_planted_rows(spark, tmp_path):
     spark.createDataFrame([(1, bench)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
     for _, stage in corpus_pipeline.STAGES[:4]:
-        docs = corpus_pipeline.stored(stage(spark, docs, str(tmp_path)))
+        docs = stored(stage(spark, docs, str(tmp_path)))
     assert docs.columns == ["doc_id", "text", "source"]
     assert sorted(r["doc_id"] for r in docs.collect()) == sorted(clean)
     mixed = corpus_pipeline.STAGES[4][1](spark, docs, str(tmp_path)).collect()
