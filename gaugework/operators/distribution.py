@@ -19,7 +19,8 @@ from gaugework.sources.metrics import METRIC, VALUE
 BINS = 50
 GRID_POINTS = 100
 BANDWIDTH = 0.5
-GRIDS = 4_096  # densities that a task adds up at once
+GRIDS = 256  # densities that a task adds up at once
+SPLIT = 65_536  # values of a metric per share, when values are shuffled
 
 
 def _values(long: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -81,8 +82,9 @@ def kde(
     """Gaussian kernel density of the non-zero values at evenly spaced points.
 
     The kernel width is ``bandwidth`` times the sample deviation. Metrics with one value or without
-    variation have no density. Every task adds up the grid of each metric it meets, so the shuffle
-    holds grids, not values.
+    variation have no density. Up to ``GRIDS`` metrics are added up by every task that meets them, so
+    the shuffle holds grids, not values. More metrics would make a grid of nearly every value: their
+    values are counted and dealt by metric, those of a large one in shares, and each share gives one grid.
     """
     keys = list(keys)
     values = _values(long, keys)
@@ -95,10 +97,17 @@ def kde(
     )
     shape = shape.where((F.col("n") > 1) & (F.col("lo") < F.col("hi")))
     shape = stored(shape.withColumn("step", (F.col("hi") - F.col("lo")) / (points - 1)).withColumn("g", F.monotonically_increasing_id()))
+    metrics = shape.count()
+    if metrics <= GRIDS:
+        weighted = attach(values.withColumn("w", F.lit(1.0)), shape, keys, known_rows=metrics)
+    else:
+        counted = values.groupBy(*keys, "v").agg(F.count("*").cast("double").alias("w"))
+        share = F.pmod(F.xxhash64("v"), F.ceil(F.col("n") / SPLIT))
+        weighted = attach(counted, shape, keys, known_rows=metrics).repartition("g", share).sortWithinPartitions("g")
     sums = (
-        attach(values, shape, keys)
-        .select("g", "v", "lo", "step", "h")
-        .mapInPandas(_grid_sums(points), "g long, point int, kernel double")
+        weighted.select("g", "v", "w", "lo", "step", "h")
+        .mapInPandas(_grid_sums(points), "g long, kernels array<double>")
+        .select("g", F.posexplode("kernels").alias("point", "kernel"))
         .groupBy("g", "point")
         .agg(F.sum("kernel").alias("kernel"))
     )
@@ -109,23 +118,43 @@ def kde(
 
 
 def _grid_sums(points: int):
-    """Batches (g, v, lo, step, h) to kernel sums (g, point) of the task."""
+    """Batches (g, v, w, lo, step, h) to the kernel sums of each g that the task meets.
+
+    Equal values of a batch are taken once; there is no work per metric but adding its grid.
+    """
     place = np.arange(points)
 
     def lines(held: dict[int, np.ndarray]) -> pd.DataFrame:
-        many = len(held)
-        return pd.DataFrame({"g": np.repeat(list(held), points), "point": np.tile(place, many), "kernel": np.concatenate(list(held.values()))})
+        return pd.DataFrame({"g": list(held), "kernels": list(held.values())})
+
+    def starts(*columns: np.ndarray) -> np.ndarray:
+        """Where a row differs from the one before."""
+        new = np.ones(len(columns[0]), bool)
+        new[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in columns])
+        return np.flatnonzero(new)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: dict[int, np.ndarray] = {}
         for batch in batches:
-            for g, own in batch.groupby("g", sort=False):
-                values, weights = np.unique(own["v"].to_numpy(), return_counts=True)
-                lo, step, h = own[["lo", "step", "h"]].iloc[0]
-                total = held.setdefault(g, np.zeros(points))
-                for a in range(0, len(values), 2048):
-                    z = (lo + place * step - values[a : a + 2048, None]) / h
-                    total += weights[a : a + 2048] @ np.exp(z * z * -0.5)
+            if not len(batch):
+                continue
+            g, v, w, lo, step, h = (batch[c].to_numpy() for c in ("g", "v", "w", "lo", "step", "h"))
+            order = np.lexsort((v, g))
+            g, v = g[order], v[order]
+            first = starts(g, v)
+            w = np.add.reduceat(w[order], first)
+            g, v = g[first], v[first]
+            lo, step, h = (c[order][first] for c in (lo, step, h))
+            for a in range(0, len(v), 2048):
+                part = slice(a, a + 2048)
+                z = (lo[part, None] + place * step[part, None] - v[part, None]) / h[part, None]
+                kernels = w[part, None] * np.exp(z * z * -0.5)
+                first = starts(g[part])
+                for one, grid in zip(g[part][first], np.add.reduceat(kernels, first, axis=0)):
+                    if one in held:
+                        held[one] += grid
+                    else:
+                        held[one] = grid.copy()
             if len(held) > GRIDS:
                 yield lines(held)
                 held = {}

@@ -41,6 +41,27 @@ def test_kde_by_definition(gamma):
     np.testing.assert_allclose([r["density"] for r in mine], expected, rtol=1e-9)
 
 
+def test_kde_of_many_metrics_deals_their_values(spark, monkeypatch):
+    """Beyond the grids a task may hold, values meet by metric, and a large metric is dealt in shares."""
+    monkeypatch.setattr(D, "GRIDS", 2)
+    monkeypatch.setattr(D, "SPLIT", 40)
+    rng = np.random.default_rng(8)
+    data = {f"m{i}": np.round(rng.gamma(2, 3, 30 + 400 * (i == 3)) + 0.1, 1) for i in range(6)}
+    rows = [(k, float(x)) for k, values in data.items() for x in values]
+    rows = [rows[i] for i in rng.permutation(len(rows))]
+    density = D.kde(spark.createDataFrame([*rows, (None, 1.0), (None, 2.0)], "metric_name string, value double").repartition(7))
+    plan = density._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(g#" in plan[plan.index("MapInPandas") :]
+    found = density.collect()
+    assert len(found) == 7 * 100
+    for name, values in data.items():
+        mine = sorted((r["point"], r["density"]) for r in found if r["metric_name"] == name)
+        h = 0.5 * values.std(ddof=1)
+        at = np.linspace(values.min(), values.max(), 100)
+        expected = np.exp(-0.5 * ((at[:, None] - values) / h) ** 2).sum(axis=1) / (len(values) * h * math.sqrt(2 * math.pi))
+        np.testing.assert_allclose([d for _, d in mine], expected, rtol=1e-9)
+
+
 def test_markers_and_shape(gamma):
     import pandas as pd
 
