@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from gaugework.functions.scalars import non_zero, present
-from gaugework.operators.joins import join_keys
+from gaugework.operators.joins import attach, join_keys
 from gaugework.operators.profile import PROBS, _fields
 from gaugework.sources.metrics import METRIC, VALUE
 
@@ -84,10 +84,13 @@ def profile_of_states(states: DataFrame, keys: Sequence[str] = (METRIC,)) -> Dat
 
 
 def rank_errors(long: DataFrame, profiles: DataFrame, keys: Sequence[str] = (METRIC,), fields: Sequence[str] = ("p05", "p25", "median", "p75", "p95")) -> DataFrame:
-    """Per metric how far, as a share of its values, each percentile lies from its rank."""
+    """Per metric how far, as a share of its values, each percentile lies from its rank.
+
+    The values of a metric stay where they are read, unless there are too many metrics to broadcast.
+    """
     keys = list(keys)
     values = present(long, VALUE).select(*keys, non_zero(F.col(VALUE)).alias("x")).where("x IS NOT NULL")
-    both = join_keys(values, profiles.select(*keys, *fields), keys)
+    both = attach(values, profiles.select(*keys, *fields), keys)
 
     def error(field: str, rank: float) -> Column:
         below, upto = F.count_if(F.col("x") < F.col(field)), F.count_if(F.col("x") <= F.col(field))

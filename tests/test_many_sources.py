@@ -171,3 +171,17 @@ def test_states_of_parts_add_up(spark):
         errors = sketches.rank_errors(long, sketches.profile_of_states(merged)).where("metric_name = 'a'").first()
         assert max(errors[f] for f in ("p05", "p25", "median", "p75", "p95")) <= sketches.RANK_ERROR
 
+
+
+def test_rank_errors_leave_the_values_of_a_metric_spread(spark):
+    """Four metrics of any size: their values are neither shuffled nor sorted by metric."""
+    long = spark.range(4000).select(F.concat(F.lit("m"), F.col("id") % 4).alias("metric_name"), (F.col("id") + 1.0).alias("value"))
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as for tables whose size is not known
+    try:
+        errors = sketches.rank_errors(long, profile.profile(long, quantile_mode="approx"))
+        plan = errors._jdf.queryExecution().executedPlan().toString()
+        assert len(errors.collect()) == 4
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    assert "SortMergeJoin" not in plan and "BroadcastHashJoin" in plan
