@@ -9,6 +9,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from gaugework.functions.scalars import epoch_to_timestamp, nan_to_null, quoted
+from gaugework.operators.joins import attach
+from gaugework.session import stored
 
 # The texts that mean "missing" in a metric CSV.
 MISSING_TEXTS = [
@@ -143,13 +145,27 @@ def numeric_columns(text: DataFrame, names: Sequence[str]) -> list[str]:
     return [n for n, kind in number_kinds(text, names).items() if kind != "text"]
 
 
+def _odd(name: str, number: str | None = None) -> Column:
+    """Whether a cell holds a text that is no number; ``number`` may bring what it was cast to.
+
+    A text that casts, begins and ends with a digit and is not hexadecimal needs no pattern.
+    """
+    cell = quoted(name)
+    fits = cell.rlike(NUMBER)
+    if number is not None:
+        digits = [cell.substr(at, 1).between("0", "9") for at in (1, -1)]
+        plain = F.col(number).isNotNull() & digits[0] & digits[1] & ~cell.contains("x") & ~cell.contains("X")
+        fits = F.when(plain, True).otherwise(fits)
+    return cell.isNotNull() & ~fits
+
+
 def _kinds_of(names: Sequence[str]) -> list[Column]:
     """Per column how many present texts are no numbers, how many no integers of 64 bits, how many are missing."""
     found = []
     for i, n in enumerate(names):
         cell = quoted(n)
         found += [
-            F.count_if(cell.isNotNull() & ~cell.rlike(NUMBER)).alias(f"odd{i}"),
+            F.count_if(_odd(n)).alias(f"odd{i}"),
             F.count_if(cell.isNotNull() & ~(cell.rlike(INTEGER) & F.trim(cell).try_cast("bigint").isNotNull())).alias(f"broken{i}"),
             F.count_if(cell.isNull()).alias(f"absent{i}"),
         ]
@@ -225,7 +241,7 @@ class SourceFrame:
         return rows
 
     def only(self, source: str) -> MetricFrame:
-        """One source as a frame of its own, read from its files alone where they are folders."""
+        """One source as a frame of its own."""
         own = self.by_source[source]
         rows = self.df.where(F.col(SOURCE) == source)
         return MetricFrame(rows.select(quoted(self.ts), *[quoted(m) for m in own]), self.ts, own)
@@ -237,32 +253,48 @@ def _plain_path(path: Column) -> Column:
     return F.regexp_replace(bare, r"/+$", "")
 
 
+def _file_sources(files: DataFrame, paths: Mapping[str, str]) -> DataFrame:
+    """``FILE, SOURCE``: the source of each file, named by its own path or by its folder."""
+    decoded = F.url_decode(F.replace(FILE, F.lit("+"), F.lit("%2B")))
+    files = files.withColumn("_plain", _plain_path(decoded))
+    known = files.sparkSession.createDataFrame([(p, n) for n, p in paths.items()], f"path string, {SOURCE} string")
+    known = known.select(_plain_path(F.col("path")).alias("path"), SOURCE)
+    folder = F.regexp_replace("_plain", r"/[^/]*$", "")
+    # a row per source, as the caller names them
+    one, two = F.broadcast(known.withColumnRenamed(SOURCE, "_one")), F.broadcast(known.withColumnRenamed(SOURCE, "_two"))
+    files = files.join(one, F.col("_plain") == one["path"], "left").drop("path").join(two, folder == two["path"], "left").drop("path")
+    return files.select(FILE, F.coalesce("_one", "_two").alias(SOURCE))
+
+
 def read_sources(
     spark: SparkSession, paths: Mapping[str, str], ts_col: str | None = None, metrics: Sequence[str] | None = None, malformed: str = "fail"
 ) -> SourceFrame:
     """Metric CSV files or folders of one header as one table: one scan, one pass for all types.
 
     The header is read from one file; Spark checks the others against it and fails on a difference.
-    A column is a metric of the sources in which all its present texts are numbers. The number of
-    jobs does not depend on the number of files; a row per source reaches the driver.
+    A column is a metric of the sources in which all its present texts are numbers. The text is parsed once:
+    numbers, whether a text is none, and the time's text are stored in the shared folder, where later
+    passes read them. Paths are looked up per file, not per row. The number of jobs does not depend on the
+    number of files; a row per source reaches the driver.
     """
     names = list(paths)
     columns = spark.read.options(**CSV).csv(paths[names[0]]).columns
     scan = _checked(_scan(spark, list(paths.values()), columns, pruned=malformed == "keep"), columns, malformed)
-    decoded = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
-    text = scan.select(*[_present(quoted(c)).alias(c) for c in columns], _plain_path(decoded).alias(FILE))
-    known = spark.createDataFrame([(p, n) for n, p in paths.items()], f"path string, {SOURCE} string").select(_plain_path(F.col("path")).alias("path"), SOURCE)
-    folder = F.regexp_replace(FILE, r"/[^/]*$", "")
-    # a row per source, as the caller names them
-    files, folders = F.broadcast(known.withColumnRenamed(SOURCE, "_one")), F.broadcast(known.withColumnRenamed(SOURCE, "_two"))
-    text = text.join(files, F.col(FILE) == files["path"], "left").drop("path").join(folders, folder == folders["path"], "left").drop("path")
-    text = text.withColumn(SOURCE, F.coalesce("_one", "_two")).drop("_one", "_two", FILE)
-
+    text = scan.select(*[_present(quoted(c)).alias(c) for c in columns], F.col("_metadata.file_path").alias(FILE))
     ts = ts_col or columns[0]
     others = [c for c in columns if c != ts] if metrics is None else list(metrics)
     tested = [ts, *(others if metrics is None else [])]
-    kinds = {row[SOURCE]: [_kind(row, i) for i in range(len(tested))] for row in text.groupBy(SOURCE).agg(*_kinds_of(tested)).collect()}
-    numeric = {c: [s for s, found in kinds.items() if found[i] != "text"] for i, c in enumerate(tested)}
+    cells = [quoted(c).alias(f"text{i}") for i, c in enumerate(others)]
+    # numbers are tried, as a column may hold text in some sources
+    numbers = [nan_to_null(F.trim(quoted(c)).try_cast("double")).alias(f"number{i}") for i, c in enumerate(others)]
+    rows = text.select(FILE, quoted(ts).alias("time"), *cells, *numbers)
+    odd = [_odd("time").alias("odd0"), *[_odd(f"text{i}", f"number{i}").alias(f"odd{i + 1}") for i in range(len(tested) - 1)]]
+    parsed = stored(rows.select(FILE, "time", *[f"number{i}" for i in range(len(others))], *odd))
+    parsed = attach(parsed, _file_sources(parsed.select(FILE).distinct(), paths), [FILE], "left")
+
+    counts = [F.count_if(f"odd{i}").alias(f"odd{i}") for i in range(len(tested))]
+    kinds = {row[SOURCE]: row for row in parsed.groupBy(SOURCE).agg(*counts).collect()}
+    numeric = {c: [s for s, row in kinds.items() if not row[f"odd{i}"]] for i, c in enumerate(tested)}
     for c in others if metrics is not None else ():
         numeric[c] = list(kinds)
 
@@ -272,12 +304,12 @@ def read_sources(
         return F.when(F.col(SOURCE).isin(numeric[c]), value).otherwise(other)
 
     chosen = [c for c in others if numeric[c]]
-    time = where_numeric(ts, _time(quoted(ts), True), _time(quoted(ts), False)) if numeric[ts] else _time(quoted(ts), False)
+    at = F.col("time")
+    time = where_numeric(ts, _time(at, True), _time(at, False)) if numeric[ts] else _time(at, False)
     none = F.lit(None).cast("double")
-    # numbers are tried, as a text column of another source may stand in the same rows
-    cells = [where_numeric(c, nan_to_null(F.trim(quoted(c)).try_cast("double")), none).alias(c) for c in chosen]
+    values = [where_numeric(c, F.col(f"number{i}"), none).alias(c) for i, c in enumerate(others) if numeric[c]]
     by_source = {s: tuple(c for c in chosen if s in numeric[c]) for s in names}
-    return SourceFrame(text.select(F.col(SOURCE), time.alias(ts), *cells), ts, tuple(chosen), by_source)
+    return SourceFrame(parsed.select(F.col(SOURCE), time.alias(ts), *values), ts, tuple(chosen), by_source)
 
 
 def union_sources(frames: Mapping[str, MetricFrame | DataFrame]) -> DataFrame:

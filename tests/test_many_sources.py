@@ -185,3 +185,21 @@ def test_rank_errors_leave_the_values_of_a_metric_spread(spark):
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
     assert "SortMergeJoin" not in plan and "BroadcastHashJoin" in plan
+
+
+def test_sources_are_parsed_once(spark, files):
+    frame = metrics.read_sources(spark, files)
+    plan = frame.long()._jdf.queryExecution().optimizedPlan().toString()
+    assert " csv" not in plan and "regexp_replace" not in plan.split("Join")[0]
+
+
+def test_numbers_of_sources_by_the_pattern(spark, tmp_path):
+    texts = ["0x1p3", "0x13", "1d", "1f", "1e5", "-3", " 4", "inf", "1_0", ".5", "5.", "7", "7.25", "1e", "0X1", "2024-01-01"]
+    paths = {}
+    for i, text in enumerate(texts):
+        (tmp_path / f"s{i}.csv").write_text(f'time,x\n2024-01-01 00:00:00,"{text}"\n')
+        paths[text] = str(tmp_path / f"s{i}.csv")
+    frame = metrics.read_sources(spark, paths)
+    assert [t for t in texts if frame.by_source[t]] == ["1e5", "-3", " 4", "inf", ".5", "5.", "7", "7.25"]
+    found = {r["source"]: r["x"] for r in frame.df.collect()}
+    assert (found["1e5"], found["-3"], found[" 4"], found["5."], found["0x1p3"], found["1d"]) == (1e5, -3.0, 4.0, 5.0, None, None)
