@@ -3,7 +3,8 @@
 Starts are drawn from and first settled on a bounded sample, one task per start.
 From there every pass reads all rows, assigns each to the nearest centre of all
 models still moving and adds up the new centres map-side, so ten starts of nine
-sizes cost as many scans as the slowest single fit.
+sizes cost as many scans as the slowest single fit. Starts that settled on the
+same centres are one model.
 """
 
 from __future__ import annotations
@@ -21,6 +22,7 @@ STARTS = 10
 MAX_PASSES = 300
 TOLERANCE = 1e-4
 SEED_ROWS = 16_384
+BLOCK = 1_024  # rows whose distances to all centres are held at once
 
 
 @dataclass(frozen=True)
@@ -63,7 +65,7 @@ def fit_many(
     slots = [(k, s) for k in ks for s in range(starts)]
     centers = _starts(df.sparkSession, seeds, slots, seed)
     models: list[Model | None] = [None] * len(slots)
-    moving = list(range(len(slots)))
+    moving = _different(slots, centers)
     for step in range(MAX_PASSES + 1):
         totals = _pass(points, len(columns), [centers[m] for m in moving])
         still = []
@@ -81,11 +83,23 @@ def fit_many(
     points.unpersist()
     best = {}
     for (k, _), model in zip(slots, models):
-        if k not in best or model.cost < best[k].cost:
+        if model is not None and (k not in best or model.cost < best[k].cost):
             best[k] = model
     return [best[k] for k in ks]
 
 
+def _different(slots: Sequence[tuple[int, int]], centers: list[np.ndarray]) -> list[int]:
+    """The first slot of each set of centres, in any order: starts that settled on the same ones go one way."""
+    seen, first = set(), []
+    for i, ((k, _), own) in enumerate(zip(slots, centers)):
+        digits = np.round(own / (np.abs(own).max() or 1.0), 9) + 0.0
+        mark = (k, digits[np.lexsort(digits.T)].tobytes())
+        if mark not in seen:
+            seen.add(mark)
+            first.append(i)
+    return first
+
+
 def from_centers(df: DataFrame, columns: Sequence[str], centers: np.ndarray) -> Model:
     """The model of given centres: every row goes to the nearest one, and one scan adds the rows up."""
     centers = np.asarray(centers, float)
@@ -162,18 +176,22 @@ def _pass(points: DataFrame, size: int, models: list[np.ndarray]):
 
     def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = np.zeros((len(stacked), size + 3))
+        lengths = (stacked * stacked).sum(axis=1)[:, None]
         for batch in batches:
-            x = batch[names].to_numpy(float)
-            if not len(x):
-                continue
-            distance = _distances(x, stacked)
-            row = np.column_stack([np.ones(len(x)), (x * x).sum(axis=1), np.zeros(len(x)), x])
-            for lo, hi in zip(offsets[:-1], offsets[1:]):
-                label = distance[:, lo:hi].argmin(axis=1)
-                row[:, 2] = distance[np.arange(len(x)), lo + label]
-                member = np.zeros((hi - lo, len(x)))
-                member[label, np.arange(len(x))] = 1.0
-                total[lo:hi] += member @ row
+            rows = batch[names].to_numpy(float)
+            for a in range(0, len(rows), BLOCK):
+                x = rows[a : a + BLOCK]
+                square = (x * x).sum(axis=1)
+                distance = np.maximum(square + lengths - 2.0 * (stacked @ x.T), 0.0)
+                member = np.zeros(distance.shape)
+                for lo, hi in zip(offsets[:-1], offsets[1:]):
+                    label, least = np.full(len(x), lo), distance[lo].copy()
+                    for i in range(lo + 1, hi):
+                        label[distance[i] < least] = i
+                        np.minimum(least, distance[i], out=least)
+                    member[label, np.arange(len(x))] = 1.0
+                    total[lo, 2] += least.sum()
+                total += member @ np.column_stack([np.ones(len(x)), square, np.zeros(len(x)), x])
         frame = pd.DataFrame(total, columns=[f"s{i}" for i in range(size + 3)])
         frame.insert(0, "slot", np.arange(len(stacked)))
         yield frame

@@ -308,3 +308,26 @@ def test_several_key_columns(spark):
         assert found.columns == [*both.columns, "cluster"]
         rows = found.groupBy((F.col("x0") > 4.5).alias("far"), "cluster").count().where("cluster >= 0").collect()
         assert len(rows) == 2 and {r["cluster"] for r in rows} == {0, 1}
+
+
+def test_starts_on_the_same_centres_are_one_model(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    near = [(i, float(x), float(y)) for i, (x, y) in enumerate(np.vstack([rng.normal(c, 0.1, (40, 2)) for c in (0, 10, 25)]))]
+    df = spark.createDataFrame(near, "id int, a double, b double")
+    asked, plain = [], kmeans._pass
+
+    def counted(points, size, models):
+        asked.append(len(models))
+        return plain(points, size, models)
+
+    monkeypatch.setattr(kmeans, "_pass", counted)
+    two, three = kmeans.fit_many(df, "id", ["a", "b"], [2, 3])
+    assert asked[0] < 20
+    x = np.array([r[1:] for r in near])
+    for model in (two, three):
+        nearest = ((x[:, None] - model.centers) ** 2).sum(axis=2)
+        label = nearest.argmin(axis=1)
+        assert model.sizes.tolist() == np.bincount(label, minlength=model.k).tolist()
+        np.testing.assert_allclose(model.means, [x[label == i].mean(axis=0) for i in range(model.k)], rtol=1e-9)
+        np.testing.assert_allclose(model.cost, nearest.min(axis=1).sum(), rtol=1e-9)
+    assert sorted(three.sizes) == [40, 40, 40]
