@@ -5,8 +5,9 @@ import random
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
-from gaugework.llm.repeats import merged, repeated_bytes
+from gaugework.llm.repeats import dealt_anchors, merged, repeated_anchors, repeated_bytes
 
 
 def brute(texts, length):
@@ -53,5 +54,26 @@ def test_repeated_ids_nulls_and_empty_table(spark):
     assert repeated_bytes(docs.limit(0), length=40, gram=8).count() == 0
 
 
+def test_no_task_holds_a_hot_anchor(spark):
+    hot = [(7, i % 50, i) for i in range(4000)]
+    rows = hot + hot[:300] + [(100 + i // 2, 60 + i, 0) for i in range(400)] + [(1000 + i, 70 + i, 0) for i in range(400)]
+    each = spark.createDataFrame([(h, b"%d" % k, p, p - 5, p + h % 3) for h, k, p in rows], "hash long, key binary, place int, first int, last int")
+    held = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.coalescePartitions.enabled")}
+    for k, v in zip(held, ("-1", "false")):
+        spark.conf.set(k, v)
+    try:
+        members = repeated_anchors(each)
+        found = members.withColumn("task", F.spark_partition_id()).collect()
+        dealt = dealt_anchors(members, 500).withColumn("task", F.spark_partition_id()).collect()
+    finally:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+    assert sorted(tuple(r)[:5] for r in found) == sorted((h, b"%d" % k, p, p - 5, p + h % 3) for h, k, p in set(rows) if h < 1000)
+    assert Counter((r["hash"], r["buckets"]) for r in dealt) == {(7, 8): 4000} | {(100 + i, 1): 2 for i in range(200)}
+    assert len({r["bucket"] for r in dealt if r["hash"] == 7}) == 8
+    assert max(Counter(r["task"] for r in found).values()) < 1500
+    assert max(Counter(r["task"] for r in dealt).values()) < 1500
+
+
 def test_merged():
     assert merged([(5, 9), (0, 3), (3, 4), (8, 12)]) == [(0, 4), (5, 12)]
