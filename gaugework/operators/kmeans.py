@@ -4,16 +4,20 @@ Starts are drawn from and first settled on a bounded sample, one task per start.
 From there every pass reads all rows, assigns each to the nearest centre of all
 models still moving and adds up the new centres map-side, so ten starts of nine
 sizes cost as many scans as the slowest single fit. Starts that settled on the
-same centres are one model.
+same centres are one model. The rows are packed once into blocks of numbers that
+the tasks keep, so that a pass is one short stage and plans nothing.
 """
 
 from __future__ import annotations
 
+import math
+import operator
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+from pyspark import RDD, Row, StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from gaugework.functions.scalars import quoted
@@ -23,6 +27,9 @@ MAX_PASSES = 300
 TOLERANCE = 1e-4
 SEED_ROWS = 16_384
 BLOCK = 1_024  # rows whose distances to all centres are held at once
+TASK_BLOCKS = 16  # blocks below which a task of a pass costs more to start than to run
+TASK_VALUES = 1 << 22  # numbers that a task of a pass reads
+DRIVER_VALUES = 1 << 21  # sums of a pass that the driver adds up without a step between
 
 
 @dataclass(frozen=True)
@@ -66,8 +73,9 @@ def fit_many(
     centers = _starts(df.sparkSession, seeds, slots, seed)
     models: list[Model | None] = [None] * len(slots)
     moving = _different(slots, centers)
+    blocks = _dealt(points, len(columns), rows)
     for step in range(MAX_PASSES + 1):
-        totals = _pass(points, len(columns), [centers[m] for m in moving])
+        totals = _pass(blocks, len(columns), [centers[m] for m in moving])
         still = []
         for m, (sizes, sums, norms, cost) in zip(moving, totals):
             filled = sizes > 0
@@ -80,6 +88,7 @@ def fit_many(
         moving = still
         if not moving:
             break
+    blocks.unpersist()
     points.unpersist()
     best = {}
     for (k, _), model in zip(slots, models):
@@ -104,7 +113,7 @@ def from_centers(df: DataFrame, columns: Sequence[str], centers: np.ndarray) ->
     """The model of given centres: every row goes to the nearest one, and one scan adds the rows up."""
     centers = np.asarray(centers, float)
     points = df.select(*[quoted(c).alias(f"x{i}") for i, c in enumerate(columns)])
-    (sizes, sums, norms, cost), *_ = _pass(points, len(columns), [centers])
+    (sizes, sums, norms, cost), *_ = _pass(_packed(points, len(columns)).rdd, len(columns), [centers])
     means = np.divide(sums, sizes[:, None], out=centers.copy(), where=sizes[:, None] > 0)
     return Model(centers, sizes, means, norms, cost)
 
@@ -127,29 +136,47 @@ def _starts(
 ) -> list[np.ndarray]:
     """Centres per slot, settled on the seed rows; the slots are spread over the tasks."""
 
+    tasks = min(len(slots), spark.sparkContext.defaultParallelism)
+    dealt = [i for task in range(tasks) for i in range(task, len(slots), tasks)]  # small and large k to every task
+
     def settle(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
+            own = [dealt[i] for i in batch["id"]]
             found = []
-            for i in batch["id"]:
-                k, start = slots[i]
+            for k, start in (slots[i] for i in own):
                 centers = _spread_seeds(seeds, k, np.random.default_rng([seed, k, start]))
-                for _ in range(MAX_PASSES):
-                    member = np.eye(k)[_distances(seeds, centers).argmin(axis=1)]
-                    sizes = member.sum(axis=0)[:, None]
-                    moved = np.divide(member.T @ seeds, sizes, out=centers.copy(), where=sizes > 0)
-                    at_rest = np.array_equal(moved, centers)
-                    centers = moved
-                    if at_rest:
-                        break
-                found.append(centers.ravel())
-            yield pd.DataFrame({"id": batch["id"], "centers": found})
+                found.append(_at_rest(seeds, centers).ravel())
+            yield pd.DataFrame({"id": own, "centers": found})
 
-    tasks = min(len(slots), spark.sparkContext.defaultParallelism)
     rows = spark.range(0, len(slots), 1, tasks).mapInPandas(settle, "id long, centers array<double>").collect()
     settled = {r["id"]: np.array(r["centers"]).reshape(slots[r["id"]][0], -1) for r in rows}
     return [settled[i] for i in range(len(slots))]
 
 
+def _at_rest(points: np.ndarray, centers: np.ndarray) -> np.ndarray:
+    """The centres once no row changes its cluster; sums follow the rows that do."""
+    rows = np.column_stack([np.ones(len(points)), points])
+    across = np.ascontiguousarray(points.T)
+    label, sums = None, np.zeros((len(centers), rows.shape[1]))
+    for _ in range(MAX_PASSES):
+        distance = (centers * centers).sum(axis=1)[:, None] - 2.0 * (centers @ across)  # less the row's own square
+        before, label, least = label, np.zeros(len(points), np.intp), distance[0]
+        for i in range(1, len(centers)):
+            label[distance[i] < least] = i
+            np.minimum(least, distance[i], out=least)
+        changed = np.arange(len(points)) if before is None else np.flatnonzero(label != before)
+        if not len(changed):
+            break
+        step = np.zeros((len(centers), len(changed)))
+        step[label[changed], np.arange(len(changed))] = 1.0
+        if before is not None:
+            step[before[changed], np.arange(len(changed))] = -1.0
+        sums += step @ rows[changed]
+        sizes = sums[:, :1]
+        centers = np.divide(sums[:, 1:], sizes, out=centers.copy(), where=sizes > 0)
+    return centers
+
+
 def _spread_seeds(points: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
     """First centres by squared-distance draws (k-means++)."""
     centers = [points[rng.integers(len(points))]]
@@ -168,43 +195,59 @@ def _distances(x: np.ndarray, centers: np.ndarray) -> np.ndarray:
     return np.maximum(square - 2.0 * x @ centers.T, 0.0)
 
 
-def _pass(points: DataFrame, size: int, models: list[np.ndarray]):
-    """Per model: cluster sizes, coordinate sums, summed squared norms, total cost."""
+def _packed(points: DataFrame, size: int) -> DataFrame:
+    """The rows as blocks of numbers, which passes read without taking columns apart."""
     names = [f"x{i}" for i in range(size)]
-    offsets = np.cumsum([0] + [len(m) for m in models])
-    stacked = np.vstack(models)
 
-    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros((len(stacked), size + 3))
-        lengths = (stacked * stacked).sum(axis=1)[:, None]
+    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = batch[names].to_numpy(float)
-            for a in range(0, len(rows), BLOCK):
-                x = rows[a : a + BLOCK]
-                square = (x * x).sum(axis=1)
-                distance = np.maximum(square + lengths - 2.0 * (stacked @ x.T), 0.0)
-                member = np.zeros(distance.shape)
-                for lo, hi in zip(offsets[:-1], offsets[1:]):
-                    label, least = np.full(len(x), lo), distance[lo].copy()
-                    for i in range(lo + 1, hi):
-                        label[distance[i] < least] = i
-                        np.minimum(least, distance[i], out=least)
-                    member[label, np.arange(len(x))] = 1.0
-                    total[lo, 2] += least.sum()
-                total += member @ np.column_stack([np.ones(len(x)), square, np.zeros(len(x)), x])
-        frame = pd.DataFrame(total, columns=[f"s{i}" for i in range(size + 3)])
-        frame.insert(0, "slot", np.arange(len(stacked)))
-        yield frame
-
-    fields = [f"s{i}" for i in range(size + 3)]
-    schema = "slot int, " + ", ".join(f"{f} double" for f in fields)
-    sums = points.select(*names).mapInPandas(partial, schema).groupBy("slot").agg(*[F.sum(f).alias(f) for f in fields])
-    found = sums.toPandas().sort_values("slot")[fields].to_numpy(float)
-    for lo, hi in zip(offsets[:-1], offsets[1:]):
+            yield pd.DataFrame({"block": [rows[a : a + BLOCK].tobytes() for a in range(0, len(rows), BLOCK)]})
+
+    return points.select(*names).mapInPandas(pack, "block binary")
+
+
+def _dealt(points: DataFrame, size: int, rows: int) -> RDD[Row]:
+    """The packed rows, kept by as many tasks as there are cores, fewer for few rows and more for many."""
+    cores = points.sparkSession.sparkContext.defaultParallelism
+    tasks = max(math.ceil(rows * size / TASK_VALUES), min(cores, math.ceil(rows / (TASK_BLOCKS * BLOCK))))
+    return _packed(points, size).repartition(tasks).rdd.persist(StorageLevel.MEMORY_AND_DISK)
+
+
+def _pass(blocks: RDD[Row], size: int, models: list[np.ndarray]):
+    """Per model: cluster sizes, coordinate sums, summed squared norms, total cost."""
+    bounds = np.cumsum([0] + [len(m) for m in models])
+    parts = list(zip(bounds[:-1], bounds[1:]))
+    stacked = np.vstack(models)
+    none = np.zeros((len(stacked), size + 3))
+
+    def add(total: np.ndarray, row: Row) -> np.ndarray:
+        return total + _sums(np.frombuffer(row[0]).reshape(-1, size), stacked, parts)
+
+    depth = 1 if none.size * blocks.getNumPartitions() <= DRIVER_VALUES else 2
+    found = blocks.treeAggregate(none, add, operator.add, depth)
+    for lo, hi in parts:
         part = found[lo:hi]
         yield part[:, 0], part[:, 3:], part[:, 1], float(part[:, 2].sum())
 
 
+def _sums(x: np.ndarray, stacked: np.ndarray, parts: Sequence[tuple[int, int]]) -> np.ndarray:
+    """Per centre: rows nearest to it, their squared norms, their cost (with a model's first centre) and coordinates."""
+    square = (x * x).sum(axis=1)
+    distance = (stacked * stacked).sum(axis=1)[:, None] - 2.0 * (stacked @ x.T)  # less the row's own square
+    member, cost = np.empty(distance.shape), []
+    for lo, hi in parts:
+        least = distance[lo:hi].min(axis=0)
+        np.equal(distance[lo:hi], least, out=member[lo:hi], casting="unsafe")
+        cost.append(np.maximum(square + least, 0.0).sum())
+    if member.sum() != len(parts) * len(x):  # centres equally near: the first one counts
+        for lo, hi in parts:
+            member[lo:hi] = np.arange(hi - lo)[:, None] == distance[lo:hi].argmin(axis=0)
+    total = member @ np.column_stack([np.ones(len(x)), square, np.zeros(len(x)), x])
+    total[[lo for lo, _ in parts], 2] = cost
+    return total
+
+
 def assign(df: DataFrame, columns: Sequence[str], model: Model, name: str = "cluster") -> DataFrame:
     """``df`` plus the number of the nearest centre."""
     return df.withColumn(name, nearest_center(columns, model))

@@ -331,3 +331,57 @@ def test_starts_on_the_same_centres_are_one_model(spark, monkeypatch):
         np.testing.assert_allclose(model.means, [x[label == i].mean(axis=0) for i in range(model.k)], rtol=1e-9)
         np.testing.assert_allclose(model.cost, nearest.min(axis=1).sum(), rtol=1e-9)
     assert sorted(three.sizes) == [40, 40, 40]
+
+
+def test_a_pass_is_one_stage_over_all_cores(spark, monkeypatch):
+    monkeypatch.setattr(kmeans, "SEED_ROWS", 60)
+    monkeypatch.setattr(kmeans, "TASK_BLOCKS", 1)
+    x = np.random.default_rng(8).normal(size=(6_000, 2))
+    df, names = table(spark, x)
+    context, plain, ran = spark.sparkContext, kmeans._pass, []
+
+    def watched(points, size, models):
+        context.setJobGroup(f"pass {len(ran)}", "")
+        totals = list(plain(points, size, models))
+        context.setLocalProperty("spark.jobGroup.id", None)
+        context._jsc.sc().listenerBus().waitUntilEmpty()
+        tracker = context.statusTracker()
+        stages = [s for j in tracker.getJobIdsForGroup(f"pass {len(ran)}") for s in tracker.getJobInfo(j).stageIds]
+        tasks = [tracker.getStageInfo(s).numCompletedTasks for s in stages]
+        ran.append([n for n in tasks if n])  # stages that are read again have none
+        return totals
+
+    monkeypatch.setattr(kmeans, "_pass", watched)
+    model = kmeans.fit(df.coalesce(1), "key", names, 4, starts=2)
+    assert len(ran) > 3
+    assert ran[1:] == [[min(context.defaultParallelism, 6)]] * (len(ran) - 1)  # six blocks of rows
+    label = ((x[:, None] - model.centers) ** 2).sum(axis=2).argmin(axis=1)
+    assert model.sizes.tolist() == np.bincount(label, minlength=4).tolist()
+    np.testing.assert_allclose(model.means, [x[label == i].mean(axis=0) for i in range(4)], rtol=1e-9, atol=1e-12)
+
+
+@pytest.mark.parametrize("at_once", [kmeans.DRIVER_VALUES, 0])  # 0: tasks add up sums before the driver does
+def test_rows_between_equal_centres_count_once(spark, monkeypatch, at_once):
+    monkeypatch.setattr(kmeans, "DRIVER_VALUES", at_once)
+    x = blobs(50, 2, centers=((0, 0), (9, 9)))
+    df, names = table(spark, x, 9)
+    model = kmeans.from_centers(df, names, [[0, 0], [0, 0], [9, 9], [9, 9]])
+    assert model.sizes.tolist() == [50, 0, 50, 0]
+    expected = ((x - np.repeat([[0, 0], [9, 9]], 50, axis=0)) ** 2).sum()
+    assert math.isclose(model.cost, expected, rel_tol=1e-9)
+    assert kmeans.from_centers(df.limit(0), names, [[0, 0], [9, 9]]).sizes.tolist() == [0, 0]
+
+
+@pytest.mark.parametrize("k", [2, 5, 9])
+def test_starts_settle_as_plain_passes_do(k):
+    x = np.random.default_rng(k).normal(size=(700, 3))
+    x[::7] = x[0]  # a point that many rows share
+    centers = np.vstack([x[1:k], [[50.0, 50.0, 50.0]]])  # the last one has no rows
+    expected = centers
+    while True:
+        label = ((x[:, None] - expected) ** 2).sum(axis=2).argmin(axis=1)
+        moved = np.array([x[label == i].mean(axis=0) if (label == i).any() else expected[i] for i in range(k)])
+        if np.allclose(moved, expected, rtol=0, atol=1e-13):
+            break
+        expected = moved
+    np.testing.assert_allclose(kmeans._at_rest(x, centers), expected, rtol=1e-9, atol=1e-12)
